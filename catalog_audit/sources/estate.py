@@ -12,6 +12,8 @@ from collections.abc import Iterator, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalog_audit.session import materialize
+
 NOW = "2024-02-01"
 RUN_ID = "run_current"
 
@@ -63,6 +65,7 @@ class Estate(Mapping):
 
     def __init__(self, spark: SparkSession, sf_dir: str, now: str = NOW, run_id: str = RUN_ID):
         self.spark, self.sf_dir, self.now, self.run_id = spark, sf_dir, now, run_id
+        self.core_metrics = CORE_METRICS
         self._made: dict[str, DataFrame] = {}
 
     def raw(self, table: str) -> DataFrame:
@@ -144,7 +147,7 @@ class Estate(Mapping):
 
     def _dqw(self):
         k = F.col("c_custkey")
-        return self.raw("customer").filter(k % 5 == 0).select(
+        return self.raw("customer").select(
             tagged("dqw_", k).alias("id"), tagged("dsl_", k % self._n("supplier")).alias("asset_luid"),
             (F.col("c_acctbal") > 9500).alias("is_active"),
             (F.col("c_acctbal") > 9800).alias("is_elevated"),
@@ -234,7 +237,7 @@ class Estate(Mapping):
         return self["calc"].unionByName(self["columns"])
 
     def _field_usage(self):
-        return (self.raw("lineitem").filter("l_orderkey % 10 = 0")
+        return (self.raw("lineitem")
                 .select("l_partkey", "l_linenumber", (F.col("l_orderkey") % self._n("part")).alias("w"))
                 .distinct().select(tagged("fld_", "l_partkey").alias("field_id"),
                                    tagged("sh_", "l_linenumber").alias("sheet_id"),
@@ -252,6 +255,38 @@ class Estate(Mapping):
         from catalog_audit.operators.usage import usage_rollup
         return usage_rollup(self, now=self.now, window_days=90)
 
+    # -- stored stages: each is written once and read by many operators ---------
+    def _stage(self, name: str, df: DataFrame) -> DataFrame:
+        return materialize(df, name)
+
+    def _bindings(self):
+        from catalog_audit.operators.graph import token_bind
+        return self._stage("bindings", token_bind(self))
+
+    def _resolved(self):
+        from catalog_audit.operators.graph import resolve_formulas
+        return self._stage("resolved", resolve_formulas(self))
+
+    def _field_views(self):
+        from catalog_audit.operators.usage import field_views
+        return field_views(self)
+
+    def _candidates(self):
+        from catalog_audit.operators.groups import grouping_candidates
+        return self._stage("candidates", grouping_candidates(self, self.core_metrics))
+
+    def _groups(self):
+        from catalog_audit.operators.groups import metric_groups
+        return self._stage("groups", metric_groups(self))
+
+    def _ranked(self):
+        from catalog_audit.operators.ranking import usage_rank
+        return self._stage("ranked", usage_rank(self))
+
+    def _variants(self):
+        from catalog_audit.operators.ranking import rank_groups
+        return self._stage("variants", rank_groups(self))
+
     # -- configuration ---------------------------------------------------------
     def _coverage(self):
         rows = [(m, "ok", "") for m in FEEDS]
