@@ -235,3 +235,20 @@ def table_row_counts(tables, names) -> DataFrame:
         part = tables[name].agg(n().alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def top_evidence(tables, k: int) -> DataFrame:
+    """The first ``k`` calculated fields of each source by id (a ranked filter: limited per map task)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("datasource_id").orderBy("id")
+    return (tables["fields"].filter("is_calculated").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+            .select("datasource_id", "id", "name"))
+
+
+def iso_probe(tables, now: str = "2024-01-15") -> DataFrame:
+    """Text dates of view events, parsed leniently, with their age."""
+    from catalog_audit.functions.names import days_ago, parse_iso
+    text = F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    parsed = parse_iso(text)
+    return tables["raw_usage"].filter("event_name = 'view'").select(
+        "event_id", F.date_format(parsed, "yyyy-MM-dd").alias("parsed"), days_ago(F.lit(now), parsed).alias("days_ago"))
