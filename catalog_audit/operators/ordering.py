@@ -65,27 +65,28 @@ def cover_counts(df: DataFrame, keys: Sequence[str], value: str, fractions: dict
     Works on the histogram of values: equal values are interchangeable, so the rows
     ordered are the distinct values of a group, not its members. 0 when the total is 0.
     """
-    hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    hist = hist.filter(F.col(value) > 0).withColumn("_mass", F.col(value) * F.col("_n"))
-    cum = running(hist, keys, [F.col(value).desc()], {"_cum": F.col("_mass")}, max_group_rows)
-    totals = df.groupBy(*keys).agg(F.coalesce(F.sum(value), F.lit(0)).alias("total"))
-    joined = cum.join(totals.withColumnsRenamed({k: f"_t_{k}" for k in keys}),
-                      [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys], "inner") if keys \
-        else cum.withColumn("total", totals.select("total").scalar())
-    before = F.col("_cum") - F.col("_mass")
+    df = df.select(*keys, F.col(value).alias("_v"))
+    hist = df.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    hist = hist.filter("_v > 0").withColumn("_mass", F.col("_v") * F.col("_n"))
+    cum = running(hist, keys, [F.col("_v").desc()], {"_cum": F.col("_mass")}, max_group_rows)
+    totals = df.groupBy(*keys).agg(F.coalesce(F.sum("_v"), F.lit(0)).cast("bigint").alias("total"))
+    named = totals.withColumnsRenamed({k: f"_t_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]
+    joined = cum.join(named, same) if keys else cum.withColumn("total", totals.select("total").scalar())
+    before, item = F.col("_cum") - F.col("_mass"), F.col("_v").cast("double")
     out = {}
     for name, fraction in fractions.items():
         # items of this value still needed: settle the division's rounding by comparing
-        target, value_d = F.lit(fraction) * F.col("total"), F.col(value).cast("double")
-        guess = F.floor((target - before) / value_d)
-        least = (F.when(before + (guess - 1) * value_d >= target, guess - 1)
-                 .when(before + guess * value_d >= target, guess).otherwise(guess + 1))
+        target = F.lit(fraction) * F.col("total")
+        guess = F.floor((target - before) / item)
+        least = (F.when(before + (guess - 1) * item >= target, guess - 1)
+                 .when(before + guess * item >= target, guess).otherwise(guess + 1))
         needed = F.when(before < target, F.least(F.col("_n"), least)).otherwise(F.lit(0))
         out[name] = F.coalesce(F.sum(needed), F.lit(0)).cast("bigint")
     counted = joined.groupBy(*keys).agg(*[c.alias(n) for n, c in out.items()])
     if not keys:
         return counted.withColumn("total", totals.select("total").scalar())
-    left = totals.withColumnsRenamed({k: f"_t_{k}" for k in keys})
-    full = left.join(counted, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys], "left")
-    return full.select(*[F.col(f"_t_{k}").alias(k) for k in keys], "total",
-                       *[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n) for n in fractions])
+    # a group without any positive value has no histogram row and covers with 0
+    return named.join(counted, same, "left").select(
+        *[F.col(f"_t_{k}").alias(k) for k in keys], "total",
+        *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in fractions])
