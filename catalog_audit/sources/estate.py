@@ -287,6 +287,10 @@ class Estate(Mapping):
         from catalog_audit.operators.ranking import rank_groups
         return self._stage("variants", rank_groups(self))
 
+    def _multiplicity(self):
+        from catalog_audit.plans.findings import definition_multiplicity
+        return self._stage("multiplicity", definition_multiplicity(self))
+
     # -- configuration ---------------------------------------------------------
     def _coverage(self):
         rows = [(m, "ok", "") for m in FEEDS]
