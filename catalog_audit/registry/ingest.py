@@ -1 +1,126 @@
-from catalog_audit.registry.base import add  # noqa: F401
+"""Landed pages, loaders, coverage."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog_audit.plans import findings as fnd
+from catalog_audit.plans.coverage import coverage_register
+from catalog_audit.registry.base import add
+from catalog_audit.sources import feeds, flatten, landed
+
+
+def pages(e, *names):
+    """Stored pages of the named feeds; written once per estate and feed."""
+    parts = []
+    for n in names or feeds.FEEDS:
+        key = f"pages:{n}"
+        if key not in e._made:
+            e.put(key, e._stage(f"pages-{n}", feeds.landed_pages(e, n)))
+        parts.append(e[key])
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def faulty(e):
+    return feeds.with_faults(pages(e))
+
+
+add("landed_pages", lambda e: landed.accepted_nodes(pages(e, "workbooks"), "workbooks", flatten.NODES["workbooks"]).select("id", "luid", "name"),
+    "SELECT id, luid, name FROM e_workbooks")
+add("response_class", lambda e: landed.response_class(faulty(e).filter(F.col("query_name").isin("workbooks", "data_quality_warnings"))).select(
+        "query_name", "cursor", "seq", "response", "error"),
+    """SELECT 'workbooks' AS query_name, pg::VARCHAR AS cursor, pg*2+a AS seq, CASE WHEN a=1 THEN 'ok' ELSE 'partial' END AS response, NULL AS error
+       FROM (SELECT DISTINCT p_partkey//200 AS pg FROM part), (VALUES (0),(1)) v(a) WHERE a=1 OR pg%5=0 UNION ALL
+       SELECT 'data_quality_warnings', pg::VARCHAR, pg*2+a, 'fatal', 'Field ''isElevated'' is undefined' FROM (SELECT DISTINCT c_custkey//200 AS pg FROM customer), (VALUES (0),(1)) v(a)
+       WHERE a=1 OR pg%5=0""")
+_BROKEN = "s_suppkey%13=5"
+add("shard_completeness", lambda e: landed.shard_completeness(faulty(e).filter(F.col("query_name").isin(
+        "workbooks", "data_quality_warnings", "datasource_fields", "projects"))).select("query_name", "scope_id", "nodes", "status"),
+    f"""SELECT 'workbooks' AS query_name, '' AS scope_id, count(*) AS nodes, 'complete' AS status FROM part UNION ALL SELECT 'projects','',count(*),'complete' FROM nation
+        UNION ALL SELECT 'data_quality_warnings','',0,'unavailable' UNION ALL SELECT 'datasource_fields','ds_'||s_suppkey, CASE WHEN {_BROKEN} THEN 0 ELSE 5+coalesce(n,0) END,
+        CASE WHEN {_BROKEN} THEN 'failed' ELSE 'complete' END FROM supplier LEFT JOIN (SELECT datasource_id, sum(greatest(blocks,1))::BIGINT AS n FROM e_calc LEFT JOIN
+        (SELECT 'fld_'||l_partkey AS id, count(DISTINCT l_orderkey//10000) AS blocks FROM lineitem GROUP BY 1) USING (id) GROUP BY 1) ON datasource_id='ds_'||s_suppkey""")
+add("load_projects", lambda e: flatten.load_projects(pages(e, "projects")),
+    """SELECT 'prj_'||n.n_nationkey AS id, n.n_name AS name, 'prj_'||p.n_nationkey AS parent_id FROM nation n LEFT JOIN nation p ON p.n_nationkey=n.n_regionkey""")
+add("load_datasources", lambda e: flatten.load_datasources(pages(e, "projects", "published_datasources")).select(
+        "id", "luid", "name", "kind", "project_id", "owner", "is_certified", "field_count", F.col("upstream_table_count").cast("bigint").alias("upstream_table_count")),
+    """SELECT id, luid, name, 'published' AS kind, project_id, owner, is_certified, (s_suppkey%7)::BIGINT AS field_count,
+       CASE WHEN s_suppkey%10<>3 THEN 1 ELSE 0 END::BIGINT AS upstream_table_count FROM e_datasources JOIN supplier ON id='ds_'||s_suppkey""")
+add("load_workbooks", lambda e: flatten.load_workbooks(pages(e, "projects", "workbooks")).select(
+        "id", "luid", "name", "project_name", "owner", "sheet_count", "embedded_ds_count"),
+    """SELECT id, luid, name, project_name, owner, 1 AS sheet_count, coalesce(n,0) AS embedded_ds_count FROM e_workbooks LEFT JOIN (SELECT downstream_id,
+       count(*) FILTER (upstream_type='embedded_datasource') AS n FROM e_lineage WHERE downstream_type='workbook' GROUP BY 1) ON downstream_id=id""")
+add("load_views", lambda e: flatten.load_views(pages(e, "workbooks")).select("luid", "workbook_id", "kind"), "SELECT luid, workbook_id, kind FROM e_views")
+add("load_fields", lambda e: flatten.load_fields(pages(e, "datasource_fields")).select(
+        "id", "name", "description", "datasource_id", "role", "data_type", "formula", "is_calculated"),
+    "SELECT id, name, description, datasource_id, role, data_type, formula, is_calculated FROM e_fields")
+add("load_field_usage", lambda e: flatten.load_field_usage(pages(e, "datasource_fields")), "SELECT field_id, sheet_id, workbook_id FROM e_field_usage")
+add("load_lineage", lambda e: flatten.load_lineage(pages(e, "published_datasources", "workbooks")).select(
+        "downstream_type", "downstream_id", "upstream_type", "upstream_id"),
+    "SELECT downstream_type, downstream_id, upstream_type, upstream_id FROM e_lineage")
+add("load_column_projection", lambda e: flatten.load_column_projection(pages(e, "datasource_fields")).select(
+        "datasource_id", "table_key", "column_name", "field_data_type"),
+    """SELECT datasource_id, table_key, column_name, CASE WHEN column_name[2:]::INT%5<4 THEN 'REAL' ELSE 'STRING' END AS field_data_type FROM e_projection""")
+add("load_custom_sql", lambda e: flatten.load_custom_sql(pages(e, "custom_sql")).select("id", "datasource_id", "char_length", "has_group_by", "has_user_function"),
+    r"""SELECT id, datasource_id, length(query) AS char_length, regexp_matches(query, '(?i)\bGROUP\s+BY\b') AS has_group_by,
+        regexp_matches(query, '(?i)(\b(CURRENT_USER|SESSION_USER|SYSTEM_USER)\b|\b(USER|USERNAME)\s*\()') AS has_user_function FROM e_custom_sql""")
+add("load_database_tables", lambda e: flatten.load_database_tables(pages(e, "database_tables")).select(
+        "id", "is_embedded", "is_certified", "column_count", "downstream_datasource_count"),
+    "SELECT id, is_embedded, is_certified, column_count, downstream_datasource_count FROM e_database_tables")
+add("load_dq_warnings", lambda e: flatten.load_dq_warnings(pages(e, "data_quality_warnings")).select(
+        "id", "asset_luid", "is_active", "is_elevated", "warning_type"), "SELECT id, asset_luid, is_active, is_elevated, warning_type FROM e_dqw")
+add("load_refresh_jobs", lambda e: flatten.load_refresh_jobs(pages(e, "refresh_jobs")).select(
+        "task_id", "datasource_id", F.date_format("completed_at", "yyyy-MM-dd").alias("completed"), "status"),
+    "SELECT task_id::VARCHAR AS task_id, datasource_id, strftime(completed_at, '%Y-%m-%d') AS completed, status FROM e_refresh")
+add("load_permissions", lambda e: flatten.load_permissions(pages(e, "permissions")),
+    "SELECT object_type, object_id, 'group' AS grantee_type, grantee_id, capability, mode FROM e_permissions")
+add("load_usage", lambda e: flatten.load_usage(pages(e, "usage_events")).select("workbook_id", "event_count", "last_viewed_days_ago"),
+    "SELECT workbook_id, event_count, last_viewed_days_ago FROM usage")
+add("load_interview", lambda e: _interview_scope(e),
+    """SELECT facet_id, score, n AS sources_in_scope FROM (VALUES ('governance.preventive',4),('governance.detective',4),('governance.corrective',3),
+       ('semantic.singularity',5),('semantic.consensus',2)) k(facet_id,score), (SELECT count(*) AS n FROM e_datasources)""")
+_REG = {"fcov": f"SELECT count(*) AS t, count(*) FILTER ({_BROKEN}) AS f FROM supplier",
+        "proj_ok": f"SELECT count(*) AS n FROM e_projection JOIN supplier ON datasource_id='ds_'||s_suppkey WHERE NOT ({_BROKEN})",
+        "own": "SELECT count(*) AS n, count(*) FILTER (coalesce(owner,'')='') AS gap FROM (SELECT owner FROM e_datasources UNION ALL SELECT owner FROM e_workbooks)",
+        "register": """SELECT 'projects' AS measure, 'ok' AS status, count(*)||' nodes' AS reason FROM nation UNION ALL SELECT 'datasources','ok',count(*)||' nodes' FROM supplier
+          UNION ALL SELECT 'workbooks','ok',count(*)||' nodes' FROM part UNION ALL SELECT 'custom_sql','ok',count(*)||' nodes' FROM customer
+          UNION ALL SELECT 'database_tables','ok',count(*)||' nodes' FROM part UNION ALL
+          SELECT 'data_quality_warnings','unavailable','not supported by this site''s Metadata API schema: Field ''isElevated'' is undefined'
+          UNION ALL SELECT 'fields', CASE WHEN f=0 THEN 'ok' WHEN f<t THEN 'partial' ELSE 'failed' END, f||' of '||t||' source field shards failed' FROM fcov
+          UNION ALL SELECT 'column_lineage','ok',n||' column projections captured' FROM proj_ok UNION ALL SELECT 'usage_events','ok',count(*)||' events' FROM usage
+          UNION ALL SELECT 'adoption_depth','skipped','usage events carry no per-user identity (aggregate counts only)'
+          UNION ALL SELECT 'refresh_jobs','ok',count(*)||' refresh records' FROM e_refresh UNION ALL SELECT 'permissions','ok',count(*)||' permission grants' FROM e_permissions
+          UNION ALL SELECT 'owner_attribution','partial','owner unavailable on '||gap||' of '||n||' objects (deployment/permission limited)' FROM own WHERE gap>0
+          UNION ALL SELECT 'query_execution','skipped','full mode only; scan mode never executes queries'
+          UNION ALL SELECT 'adoption_trajectory','skipped','retention < 90d; sourced from account records, not the scan'"""}
+
+
+def _register(e):
+    if "register" not in e._made:
+        e.put("register", e._stage("register", coverage_register(faulty(e))))
+    return e["register"]
+
+
+def _interview_scope(e):
+    """Answers beside the number of sources they speak for."""
+    n = e["datasources"].agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    return e["interview"].select("facet_id", "score").withColumn("sources_in_scope", n)
+
+
+def _gates(e):
+    t = {"coverage": _register(e)}
+    out = None
+    for m in ("fields", "usage_events", "refresh_jobs", "permissions", "data_quality_warnings", "nothing"):
+        g = fnd.coverage_gate(t, m)
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+add("coverage_register", _register, "SELECT measure, status, reason FROM register", _REG)
+add("coverage_gaps", lambda e: fnd.coverage_gaps(_register(e)), "SELECT measure, status, reason FROM register WHERE status<>'ok'", _REG)
+add("coverage_gate", _gates,
+    """SELECT m AS measure, coalesce(status='ok', false) AS measured, coalesce(status,'absent') AS status, coalesce(reason,'measure not recorded for this run') AS reason
+       FROM (VALUES ('fields'),('usage_events'),('refresh_jobs'),('permissions'),('data_quality_warnings'),('nothing')) k(m) LEFT JOIN register ON measure=m""", _REG)
