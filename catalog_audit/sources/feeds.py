@@ -105,7 +105,7 @@ def workbooks(e: Estate) -> DataFrame:
 
 
 def fields(e: Estate) -> DataFrame:
-    calc = e["calc"].withColumn("k", F.substring("id", 5, 20).cast("bigint"))
+    calc = e["calc"].withColumn("k", F.substring("id", 5, 20).cast("bigint")).withColumn("ns", row_count(e.raw("supplier")))
     usage = e.raw("lineitem").select(
         F.col("l_partkey").alias("k"), F.floor(F.col("l_orderkey") / 10000).alias("block"),
         F.struct(tagged("sh_", "l_linenumber").alias("id"),
@@ -114,7 +114,7 @@ def fields(e: Estate) -> DataFrame:
     usage = usage.groupBy("k", "block").agg(F.collect_set("s").alias("sheets"))
     empty = F.lit(None).cast("array<struct<name: string, remoteType: string, table: struct<id: string, luid: string, fullName: string>>>")
     cnode = calc.join(usage, "k", "left").select(
-        F.col("datasource_id").alias("scope"), F.col("k").alias("n"),
+        F.col("datasource_id").alias("scope"), (F.lit(5) + F.floor(F.col("k") / F.col("ns"))).alias("n"),
         F.struct(F.lit("CalculatedField").alias("__typename"), "id", "name", "description", "formula", F.col("data_type").alias("dataType"), "role",
                  F.col("sheets").alias("sheetsUsedIn"), empty.alias("upstreamColumns")).alias("node"))
     s = e["columns"].withColumn("sk", F.split("id", "_")[1].cast("bigint")).withColumn("i", F.split("id", "_")[2].cast("int"))
@@ -127,7 +127,6 @@ def fields(e: Estate) -> DataFrame:
         F.col("datasource_id").alias("scope"), F.col("i").cast("bigint").alias("n"),
         F.struct(F.lit("ColumnField").alias("__typename"), "id", "name", "description", "formula", F.col("data_type").alias("dataType"), "role",
                  none.alias("sheetsUsedIn"), F.col("up").alias("upstreamColumns")).alias("node"))
-    # the last part key of a source closes its shard; an estate has more parts than sources
     both = snode.unionByName(cnode)
     last = both.groupBy("scope").agg(F.floor(F.max("n") / SIZE).alias("last_page"))
     return _graph_pages(both.join(last, "scope"), "datasource_fields", F.col("last_page"), scoped=True)
