@@ -1 +1,129 @@
-from catalog_audit.registry.base import add  # noqa: F401
+"""Run comparison and the documented measures."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+from catalog_audit.operators import documented as doc
+from catalog_audit.oracle.ctes import CTES
+from catalog_audit.plans import comparison as cmp, scoring
+from catalog_audit.registry.base import add
+from catalog_audit.registry.ingest import _REG, _register
+from catalog_audit.registry.reports import _EXTRA, _RULE_SQL, _SCORES
+from catalog_audit.sources.estate import Estate
+
+
+def baseline(e: Estate) -> Estate:
+    """The same estate scanned in mid January: less usage, facts shipped before 1998."""
+    if "_baseline" not in e._made:
+        b = Estate(e.spark, e.sf_dir)
+        for shared in ("bindings", "resolved"):
+            b.put(shared, e[shared])
+        b.put("raw_usage", e["raw_usage"].filter(F.col("event_ts") < "2024-01-16"))
+        e._made["_baseline"] = b
+    return e._made["_baseline"]
+
+
+def earlier_lineage(e: Estate) -> Estate:
+    b = Estate(e.spark, e.sf_dir)
+    b.put("raw:lineitem", e.raw("lineitem").filter(F.col("l_shipdate") < "1998-01-01"))
+    return b
+
+
+def _before(text: str, names: list[str]) -> str:
+    for n in names:
+        text = re.sub(rf"\b{n}\b", f"{n}_b", text)
+    return text
+
+
+_CHAIN = ["e_raw_usage", "usage", "field_views", "candidates", "groups", "members", "def_totals", "def_ranked", "dominance", "variants", "failed_views"]
+_OLD = {f"{n}_b": _before((CTES | _EXTRA)[n], [x for x in _CHAIN if x != "e_raw_usage" or n != "e_raw_usage"]) for n in _CHAIN}
+_OLD["e_raw_usage_b"] = "SELECT * FROM e_raw_usage WHERE event_ts < TIMESTAMP '2024-01-16'"
+_LIVE = [f for f in _RULE_SQL if f != "DF-07"]
+_NOW = " UNION ALL ".join(f"SELECT '{f}' AS flag_id, fires, count FROM ({_RULE_SQL[f]})" for f in _LIVE)
+_THEN = " UNION ALL ".join(f"SELECT '{f}' AS flag_id, fires, count FROM ({_before(_RULE_SQL[f], _CHAIN)})" for f in _LIVE)
+
+add("run_compare", lambda e: cmp.flag_lifecycle(cmp.flag_states(baseline(e)), cmp.flag_states(e)),
+    """SELECT flag_id, b.count AS baseline_count, c.count AS current_count, CASE WHEN b.fires AND c.fires THEN 'persisting' WHEN b.fires THEN 'resolved'
+       WHEN c.fires THEN 'new' ELSE 'silent' END AS state FROM flags_then b FULL JOIN flags_now c USING (flag_id)""",
+    _EXTRA | _OLD | {"flags_now": _NOW, "flags_then": _THEN})
+add("facet_movement", lambda e: cmp.facet_movement(scoring.facet_threshold_scores(baseline(e)), scoring.facet_threshold_scores(e)),
+    """SELECT id, b.score AS baseline_score, c.score AS current_score, c.score-b.score AS delta FROM banded_then b FULL JOIN banded c USING (id)""",
+    _SCORES | _OLD | {"banded_then": _before(_SCORES["banded"], _CHAIN)})
+add("variant_convergence", lambda e: cmp.variant_convergence(baseline(e), e).select(
+        F.substring_index("concept_key", ":", 1).alias("kind"), "baseline_variants", "current_variants", "baseline_dominant", "current_dominant"),
+    """SELECT split_part(concept_key, ':', 1) AS kind, b.variant_count AS baseline_variants, c.variant_count AS current_variants, b.won AS baseline_dominant, c.won AS current_dominant
+       FROM (SELECT concept_key, variant_count, (SELECT bool_or(is_dominant) FROM variants_b v WHERE v.group_id=g.group_id) AS won FROM groups_b g) b FULL JOIN
+       (SELECT concept_key, variant_count, (SELECT bool_or(is_dominant) FROM variants v WHERE v.group_id=g.group_id) AS won FROM groups g) c USING (concept_key)""", _OLD)
+add("estate_drift", lambda e: cmp.estate_drift(earlier_lineage(e), e),
+    """SELECT kind, count(*) FILTER (b IS NULL) AS new_debt, count(*) FILTER (c IS NULL) AS cleared_debt, count(*) FILTER (b IS NOT NULL AND c IS NOT NULL) AS persisting
+       FROM (SELECT kind, item, 1 AS b FROM debt_then) FULL JOIN (SELECT kind, item, 1 AS c FROM debt_now) USING (kind, item) GROUP BY 1""",
+    {"same_debt": r"""SELECT 'unowned_source' AS kind, id AS item FROM e_datasources WHERE trim(coalesce(owner,''))='' UNION ALL SELECT 'workbook_security_rule', id FROM e_calc
+       WHERE regexp_matches(formula, '(?i)\b(USERNAME|ISMEMBEROF|FULLNAME|USERDOMAIN)\s*\(')""",
+     "debt_now": "SELECT * FROM same_debt UNION ALL SELECT DISTINCT 'embedded_source', 'wb_'||l_partkey||'/ds_'||l_suppkey FROM lineitem WHERE l_returnflag='R'",
+     "debt_then": """SELECT * FROM same_debt UNION ALL SELECT DISTINCT 'embedded_source', 'wb_'||l_partkey||'/ds_'||l_suppkey FROM lineitem WHERE l_returnflag='R'
+       AND l_shipdate < DATE '1998-01-01'"""})
+add("coverage_change", lambda e: cmp.coverage_change(_register(e), e["coverage"]),
+    """SELECT measure, b.status AS was, c.status AS now, CASE WHEN coalesce(c.status='ok',false) AND NOT coalesce(b.status='ok',false) THEN 'newly available'
+       WHEN coalesce(b.status='ok',false) AND NOT coalesce(c.status='ok',false) THEN 'newly missing' ELSE 'unchanged' END AS change
+       FROM register b FULL JOIN (SELECT unnest(['projects','datasources','workbooks','fields','column_lineage','custom_sql','database_tables','data_quality_warnings',
+       'usage_events','adoption_depth','refresh_jobs','permissions','lineage','views']) AS measure, 'ok' AS status) c USING (measure)""", _REG)
+add("comparability_guard", lambda e: cmp.comparability_guard(
+        e.raw("orders").select(F.col("o_custkey").alias("site"), F.col("o_orderkey").alias("run"), F.col("o_orderpriority").alias("query_set_version"),
+                               F.col("o_orderstatus").alias("rules_version"), (F.col("o_orderkey") % 2).alias("adoption_source")),
+        "site", "run", ["query_set_version", "rules_version", "adoption_source"]),
+    """SELECT site, run, CASE WHEN mm='' THEN 'comparable' ELSE 'incomparable' END AS verdict, mm AS mismatches FROM (SELECT o.o_custkey AS site, o.o_orderkey AS run,
+       array_to_string(list_filter([CASE WHEN o.o_orderpriority IS DISTINCT FROM b.o_orderpriority THEN 'query_set_version' END,
+       CASE WHEN o.o_orderstatus IS DISTINCT FROM b.o_orderstatus THEN 'rules_version' END, CASE WHEN o.o_orderkey%2<>b.o_orderkey%2 THEN 'adoption_source' END],
+       lambda x: x IS NOT NULL), ',') AS mm FROM orders o JOIN (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY 1) f USING (o_custkey)
+       JOIN orders b ON b.o_orderkey=f.k WHERE o.o_orderkey>f.k)""")
+add("stale_refresh", lambda e: doc.stale_refresh(e, "2001-08-20").withColumn("age_days", F.col("age_days").cast("bigint")),
+    """SELECT datasource_id, age_days FROM (SELECT datasource_id, date_diff('day', min(completed_at)::DATE, max(completed_at)::DATE)::DOUBLE/(count(*)-1) AS iv,
+       date_diff('day', (max(completed_at) FILTER (status<>'Failed'))::DATE, DATE '2001-08-20') AS age_days FROM e_refresh GROUP BY 1)
+       WHERE (age_days IS NULL OR age_days > 2*iv) AND datasource_id IN (SELECT l.upstream_id FROM e_lineage l JOIN usage ON workbook_id=l.downstream_id
+       WHERE l.downstream_type='workbook' AND l.upstream_type='datasource' AND last_viewed_days_ago<=30)""")
+
+
+def _scope(e):
+    """Brands ending in an even digit are mapped projects; the first twenty users are mapped owners."""
+    brand = F.substring_index("project_name", "#", -1).cast("int")
+    projects = e["workbooks"].select("project_name").distinct().filter(brand % 2 == 0).select(
+        "project_name", F.concat(F.lit("brand_"), (brand % 3).cast("string")).alias("project_domain"))
+    uid = F.expr("cast(substring(owner, 5) as int)")
+    owners = e["workbooks"].select("owner").distinct().filter(uid < 20).select("owner", F.lit("owner_unit").alias("owner_domain"))
+    return doc.domain_scope(e, projects, owners)
+
+
+add("domain_scope", lambda e: _scope(e).groupBy("mechanism", "domain").agg(F.count(F.lit(1)).alias("workbooks")),
+    """SELECT mechanism, domain, count(*) AS workbooks FROM (SELECT CASE WHEN b%2=0 THEN 'project' WHEN u<20 THEN 'owner' WHEN act THEN 'manual' ELSE 'unmappable' END AS mechanism,
+       CASE WHEN b%2=0 THEN 'brand_'||(b%3) WHEN u<20 THEN 'owner_unit' END AS domain FROM (SELECT id, split_part(project_name,'#',2)::INT AS b, owner[5:]::INT AS u,
+       coalesce(a.act, false) AS act FROM e_workbooks LEFT JOIN (SELECT workbook_id, cum-event_count < 0.8::DOUBLE*t AS act FROM (SELECT *, sum(event_count) OVER (ORDER BY event_count DESC,
+       workbook_id ROWS UNBOUNDED PRECEDING) AS cum, sum(event_count) OVER () AS t FROM usage)) a ON a.workbook_id=id)) GROUP BY 1,2""")
+add("active_user_penetration", lambda e: doc.active_user_penetration(e, e.raw("customer").select(F.col("c_custkey").alias("user_id"))),
+    """SELECT a AS active, n AS licensed, a::DOUBLE/n AS penetration, a::DOUBLE/n<0.3 AS fires FROM (SELECT count(DISTINCT c_custkey) AS n,
+       count(DISTINCT c_custkey) FILTER (c_custkey IN (SELECT user_id FROM e_raw_usage WHERE event_name='view')) AS a FROM customer)""")
+add("rule_editors", doc.rule_editors,
+    """SELECT grantee_id, count(DISTINCT object_id) AS workbooks FROM e_permissions WHERE mode='Allow' AND capability='Write' AND object_id IN
+       (SELECT workbook_id FROM e_field_usage JOIN e_calc ON id=field_id) GROUP BY 1""")
+add("description_divergence", lambda e: doc.description_divergence(e["fields"], e["fields"].filter("id <> 'fld_1'").withColumn(
+        "description", F.when(F.col("datasource_id").endswith("7"), F.concat("description", F.lit(" (cached)"))).otherwise(F.col("description")))),
+    """SELECT id, description AS first_description, CASE WHEN id<>'fld_1' THEN description||' (cached)' END AS second_description FROM e_fields
+       WHERE (datasource_id LIKE '%7' AND id<>'fld_1' AND description IS NOT NULL) OR (id='fld_1' AND description IS NOT NULL)""")
+add("duplicate_logic", doc.duplicate_logic,
+    """SELECT normalized_hash, count(*) AS fields, count(DISTINCT datasource_id) AS sources FROM resolved JOIN e_calc ON id=field_id WHERE normalized_hash<>''
+       GROUP BY 1 HAVING count(DISTINCT datasource_id)>=2""")
+add("cryptic_name_rate", lambda e: doc.cryptic_name_rate(e["fields"], "name"),
+    r"""SELECT count(*) AS names, count(*) FILTER (s) AS short, count(*) FILTER (v) AS versioned, count(*) FILTER (a) AS abbreviated,
+        (count(*) FILTER (s OR v OR a))::DOUBLE/count(*) AS rate FROM (SELECT length(trim(name))<4 AS s, regexp_matches(trim(name), '(?i)[_ ]v?[0-9]+$') AS v,
+        regexp_matches(trim(name), '(?i)\b(rev|amt|qty|avg|cnt|pct|num|tot|yoy|ytd|adj)\b') AS a FROM e_fields)""")
+add("reuse_depth", doc.reuse_depth,
+    """SELECT id, (SELECT count(DISTINCT downstream_id) FROM e_lineage l WHERE l.upstream_id=d.id AND downstream_type='workbook' AND upstream_type='datasource') AS workbooks,
+       (SELECT count(DISTINCT upstream_id) FROM e_lineage l WHERE l.downstream_id=d.id AND downstream_type='datasource' AND upstream_type='table') AS tables FROM e_datasources d""")
+add("unused_fields", doc.unused_fields, "SELECT id, name FROM e_fields WHERE id NOT IN (SELECT field_id FROM e_field_usage)")
+add("fuzzy_name_groups", doc.fuzzy_name_groups,
+    """SELECT array_to_string(key, ' ') AS key, count(*) AS word_sets, sum(names)::BIGINT AS names, min(words) AS first_words, 'medium' AS confidence FROM (
+       SELECT names, array_to_string(toks, ' ') AS words, unnest(list_distinct([toks] || list_filter(list_transform(toks, lambda t: list_filter(toks, lambda x: x<>t)),
+       lambda s: len(s)>=1))) AS key FROM (SELECT toks, count(*) AS names FROM (SELECT field_id, list_sort(list(tok)) AS toks FROM name_tokens GROUP BY 1) GROUP BY 1))
+       GROUP BY 1 HAVING count(*)>=2""")
