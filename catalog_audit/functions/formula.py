@@ -6,7 +6,7 @@ row of a narrow projection and nothing here shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Aggregate and user-context function names, native-aggregate names.
@@ -95,16 +95,20 @@ def formula_hash(formula: Column) -> Column:
     return hash_normalized(normalize_formula(formula))
 
 
-def signature_of(norm: Column) -> dict[str, Column]:
-    """Base columns, aggregate functions and ratio marker of a normalised formula."""
-    names = F.transform(F.regexp_extract_all(norm, F.lit(r"\[([^\]]*)\]"), F.lit(1)), lambda c: F.trim(c))
-    cols = F.array_sort(F.array_distinct(F.filter(names, lambda c: c != "")))
-    code = norm
+def with_signature(df: DataFrame, norm: str) -> DataFrame:
+    """Add base columns, aggregate functions, ratio marker and definition key of a normalised formula.
+
+    Built in steps so that the stripped text is computed once per row.
+    """
+    code = F.col(norm)
     for literal in (REFERENCE, r'"[^"]*"', r"#[^#]*#"):
         code = F.regexp_replace(code, literal, " ")
-    words = F.regexp_extract_all(code, F.lit(r"[a-z_][\p{L}\p{N}_]*"), F.lit(0))
-    funcs = F.array_sort(F.array_intersect(words, F.array(*map(F.lit, AGGREGATES))))
-    return {"cols": cols, "funcs": funcs, "has_ratio": F.contains(code, F.lit("/"))}
+    names = F.transform(F.regexp_extract_all(norm, F.lit(r"\[([^\]]*)\]"), F.lit(1)), lambda c: F.trim(c))
+    words = F.regexp_extract_all("_code", F.lit(r"[a-z_][\p{L}\p{N}_]*"), F.lit(0))
+    df = df.withColumns({"_code": code, "cols": F.array_sort(F.array_distinct(F.filter(names, lambda c: c != "")))})
+    df = df.withColumns({"funcs": F.array_sort(F.array_intersect(words, F.array(*map(F.lit, AGGREGATES)))),
+                         "has_ratio": F.contains("_code", F.lit("/"))}).drop("_code")
+    return df.withColumn("definition_key", definition_key(F.col("cols"), F.col("funcs"), F.col("has_ratio")))
 
 
 def definition_key(cols: Column, funcs: Column, has_ratio: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog_audit.functions import formula as fx
-from catalog_audit.session import materialize
+from catalog_audit.session import materialize, materialize_counted
 
 MAX_DEPTH = 12
 STATUS = ["resolved", "unresolved_reference", "too_deep", "cycle"]  # worst last
@@ -72,37 +72,37 @@ def resolve_formulas(tables, max_depth: int = MAX_DEPTH) -> DataFrame:
         F.bool_or(F.col("ref_id").isNull()).alias("loose"), F.count_if("ref_calc").alias("n_calc"))
     calc = tables["fields"].filter("is_calculated").select(
         F.col("id").alias("field_id"), F.coalesce("formula", F.lit("")).alias("formula"))
-    base = materialize(calc.join(facts, "field_id", "left").select(
+    base, size = materialize_counted(calc.join(facts, "field_id", "left").select(
         "field_id", "formula", F.coalesce("loose", F.lit(False)).alias("loose"),
-        F.coalesce("n_calc", F.lit(0)).alias("n_calc")), "formulas")
-    uses = materialize(bind.filter("ref_calc").select("field_id", "pos", "ref_id"), "calc-uses")
+        F.coalesce("n_calc", F.lit(0)).alias("n_calc")), "formulas", parents=F.count_if(F.col("n_calc") > 0))
+    uses = bind.filter("ref_calc").select("field_id", "pos", "ref_id")
 
     done = base.filter("n_calc = 0").select(
         "field_id", F.col("formula").alias("text"), F.lit(0).alias("height"), "loose")
-    pending = uses
-    finished = not uses.isEmpty()
-    level = 0
-    while finished and level < max_depth:
-        level += 1
+    pending, waiting = uses, size["parents"]
+    for level in range(1, max_depth + 1):
+        if not waiting:
+            break
         known = done.select(F.col("field_id").alias("ref_id"), "text", "height", F.col("loose").alias("child_loose"))
         ready = (pending.join(known, "ref_id", "left").groupBy("field_id").agg(
             F.bool_and(F.col("height").isNotNull()).alias("all_known"),
             (F.max("height") + 1).alias("height"), F.bool_or("child_loose").alias("child_loose"),
             # bounded by the tokens of one formula
             F.map_from_entries(F.collect_list(F.struct("pos", "text"))).alias("texts")).filter("all_known"))
-        new = materialize(ready.join(base, "field_id").select(
+        new, got = materialize_counted(ready.join(base, "field_id").select(
             "field_id", _spliced(F.col("formula"), F.col("texts")).alias("text"), "height",
             (F.col("loose") | F.col("child_loose")).alias("loose")), f"level-{level}")
-        finished = not new.isEmpty()
-        if finished:
-            done = done.unionByName(new)
-            pending = pending.join(new.select("field_id"), "field_id", "left_anti")
+        if not got["rows"]:
+            break  # all that is left reaches a cycle
+        done = done.unionByName(new)
+        waiting -= got["rows"]
+        pending = pending.join(new.select("field_id"), "field_id", "left_anti")
 
     closed = done.select("field_id", F.col("text").alias("resolved_formula"),
                          (F.col("height") + 1).cast("bigint").alias("resolution_depth"),
                          F.when(F.col("loose"), STATUS[1]).otherwise(STATUS[0]).alias("resolution_status"))
-    roots = pending.select("field_id").distinct() if level else None
-    if roots is not None and not roots.isEmpty():
+    if waiting:
+        roots = pending.select("field_id").distinct()
         closed = closed.unionByName(_walk(roots, base, uses, done, max_depth))
     norm = fx.normalize_formula(F.col("resolved_formula"))
     return (closed.withColumn("norm", norm)
@@ -128,11 +128,11 @@ def _walk(roots: DataFrame, base: DataFrame, uses: DataFrame, done: DataFrame, m
         nxt = nxt.join(heights, "child", "left").join(own, "child", "left").withColumn("kind", kind)
         rank = (F.when(F.col("kind") == "cycle", 3).when(F.col("kind") == "too_deep", 2)
                 .when(F.col("kind") == "done", F.col("sub_loose").cast("int")).otherwise(F.col("own_loose").cast("int")))
-        level = materialize(nxt.select(
+        level, got = materialize_counted(nxt.select(
             "root", F.concat("path", F.array("child")).alias("path"), F.col("child").alias("node"), "kind",
             F.when(F.col("kind") == "done", F.lit(depth) + F.col("height")).otherwise(F.lit(depth)).alias("deepest"),
             rank.alias("rank")), f"frames-{depth}")
-        if level.isEmpty():
+        if not got["rows"]:
             break
         levels.append(level)
 
@@ -172,20 +172,22 @@ def resolution_status_counts(tables) -> DataFrame:
 
 def source_chain_depth(tables) -> DataFrame:
     """Longest source-on-source chain (edges); a step back onto the path is skipped."""
-    edges = materialize(tables["lineage"].filter("downstream_type = 'datasource' AND upstream_type = 'datasource'")
-                        .select(F.col("downstream_id").alias("node"), F.col("upstream_id").alias("up")).distinct(), "chains")
-    spark = edges.sparkSession
-    done = materialize(edges.select(F.col("up").alias("id")).distinct().join(
-        edges.select(F.col("node").alias("id")), "id", "left_anti").withColumn("height", F.lit(0)), "chain-0")
-    pending = edges
-    while True:
+    edges, size = materialize_counted(
+        tables["lineage"].filter("downstream_type = 'datasource' AND upstream_type = 'datasource'")
+        .select(F.col("downstream_id").alias("node"), F.col("upstream_id").alias("up")).distinct(), "chains")
+    done = edges.select(F.col("up").alias("id")).distinct().join(
+        edges.select(F.col("node").alias("id")), "id", "left_anti").withColumn("height", F.lit(0))
+    pending, waiting = edges, size["rows"]
+    while waiting:
         known = done.select(F.col("id").alias("up"), "height")
-        new = materialize(pending.join(known, "up", "left").groupBy("node").agg(
-            F.bool_and(F.col("height").isNotNull()).alias("all_known"), (F.max("height") + 1).alias("height"))
-            .filter("all_known").select(F.col("node").alias("id"), "height"), "chain-level")
-        if new.isEmpty():
-            break
-        done = done.unionByName(new)
+        new, got = materialize_counted(pending.join(known, "up", "left").groupBy("node").agg(
+            F.bool_and(F.col("height").isNotNull()).alias("all_known"), (F.max("height") + 1).alias("height"),
+            F.count(F.lit(1)).alias("edges")).filter("all_known").select(F.col("node").alias("id"), "height", "edges"),
+            "chain-level", edges=F.sum("edges"))
+        if not got["rows"]:
+            break  # all that is left reaches a cycle
+        waiting -= got["edges"]
+        done = done.unionByName(new.drop("edges"))
         pending = pending.join(new.select(F.col("id").alias("node")), "node", "left_anti")
     best = [done.agg(F.coalesce(F.max("height"), F.lit(0)).alias("depth"))]
 
@@ -193,12 +195,13 @@ def source_chain_depth(tables) -> DataFrame:
     frames = pending.select(F.array("node").alias("path"), "node").distinct()
     heights = done.select(F.col("id").alias("up"), "height")
     depth = 0
-    while not frames.isEmpty():
+    while waiting:
         depth += 1
         step = frames.join(edges, "node").filter(
             ~F.array_contains(F.slice("path", F.lit(1), F.size("path") - 1), F.col("up"))).join(heights, "up", "left")
-        step = materialize(step.select(F.concat("path", F.array("up")).alias("path"), F.col("up").alias("node"), "height"),
-                           "chain-walk")
+        step, got = materialize_counted(
+            step.select(F.concat("path", F.array("up")).alias("path"), F.col("up").alias("node"), "height"), "chain-walk",
+            open=F.count_if(F.col("height").isNull()))
         best.append(step.agg(F.max(F.lit(depth) + F.coalesce("height", F.lit(0))).alias("depth")))
-        frames = step.filter("height IS NULL").select("path", "node")
+        frames, waiting = step.filter("height IS NULL").select("path", "node"), got["open"]
     return reduce(DataFrame.unionByName, best).agg(F.coalesce(F.max("depth"), F.lit(0)).cast("bigint").alias("depth"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog_audit.functions import formula as fx
@@ -12,10 +12,7 @@ from catalog_audit.operators.ordering import MAX_GROUP_ROWS, numbered
 
 def formula_fingerprint(tables) -> DataFrame:
     """Normal form, hash, signature and definition key of each resolved formula."""
-    s = fx.signature_of(F.col("norm"))
-    r = tables["resolved"].select("field_id", "norm", "normalized_hash")
-    return r.withColumns(s).withColumn(
-        "definition_key", fx.definition_key(F.col("cols"), F.col("funcs"), F.col("has_ratio")))
+    return fx.with_signature(tables["resolved"].select("field_id", "norm", "normalized_hash"), "norm")
 
 
 def core_metric_tokens(core_metrics: list[str]) -> list[tuple[str, list[str], list[str]]]:
@@ -34,8 +31,8 @@ def core_metric_tokens(core_metrics: list[str]) -> list[tuple[str, list[str], li
     return [(label, toks, [t for t in toks if owners[t] == 1]) for label, toks in prepared]
 
 
-def core_metric_match(name: Column, core_metrics: list[str]) -> Column:
-    """The one declared metric a name names, or NULL.
+def with_core_match(df: DataFrame, name: str, core_metrics: list[str]) -> DataFrame:
+    """Add ``core``: the one declared metric a name names, or NULL.
 
     Scored by (coverage, shared words); the best must beat the runner-up strictly and be
     anchored: every word of the metric, or a word no other metric has. The declared list
@@ -43,7 +40,7 @@ def core_metric_match(name: Column, core_metrics: list[str]) -> Column:
     """
     metrics = core_metric_tokens(core_metrics)
     if not metrics:
-        return F.lit(None).cast("string")
+        return df.withColumn("core", F.lit(None).cast("string"))
 
     def words(ws):
         return F.array(*map(F.lit, ws)) if ws else F.array().cast("array<string>")
@@ -52,16 +49,17 @@ def core_metric_match(name: Column, core_metrics: list[str]) -> Column:
                       for m, t, d in metrics])
 
     def scored(m):
-        shared = F.array_intersect(m["toks"], content_tokens(name))
+        shared = F.array_intersect(m["toks"], F.col("_toks"))
         k = F.size(shared)
         return F.struct((k.cast("double") / F.size(m["toks"])).alias("coverage"), k.alias("shared"),
                         ((k == F.size(m["toks"])) | F.arrays_overlap(shared, m["own"])).alias("anchored"),
                         m["label"].alias("label"))
 
-    ranked = F.sort_array(F.filter(F.transform(table, scored), lambda s: s["shared"] > 0), asc=False)
-    top, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
-    tie = F.coalesce((top["coverage"] == second["coverage"]) & (top["shared"] == second["shared"]), F.lit(False))
-    return F.when(top["anchored"] & ~tie, top["label"])
+    df = df.withColumn("_toks", content_tokens(F.col(name)))
+    df = df.withColumn("_ranked", F.sort_array(F.filter(F.transform(table, scored), lambda s: s["shared"] > 0), asc=False))
+    df = df.withColumns({"_top": F.get("_ranked", F.lit(0)), "_next": F.get("_ranked", F.lit(1))})
+    tie = F.coalesce((F.col("_top.coverage") == F.col("_next.coverage")) & (F.col("_top.shared") == F.col("_next.shared")), F.lit(False))
+    return df.withColumn("core", F.when(F.col("_top.anchored") & ~tie, F.col("_top.label"))).drop("_toks", "_ranked", "_top", "_next")
 
 
 def measure_candidates(tables) -> DataFrame:
@@ -75,7 +73,7 @@ def measure_candidates(tables) -> DataFrame:
 
 def grouping_candidates(tables, core_metrics: list[str]) -> DataFrame:
     """Candidates with their concept key and measured usage."""
-    c = measure_candidates(tables).withColumn("core", core_metric_match(F.col("name"), core_metrics))
+    c = with_core_match(measure_candidates(tables), "name", core_metrics)
     solo = F.concat(F.lit("solo:"), F.to_json(F.struct("funcs", "has_ratio", "cols")))
     c = c.withColumn("concept_key", F.when(F.col("core").isNotNull(), F.concat(F.lit("core:"), F.col("core"))).otherwise(solo))
     return c.join(tables["field_views"], "field_id", "left").select(

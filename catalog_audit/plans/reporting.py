@@ -19,7 +19,7 @@ def labels(spark) -> DataFrame:
     return spark.createDataFrame([(k, n, d) for k, (n, d) in catalog.LABELS.items()], "code string, name string, description string")
 
 
-def label_join(tables, df: DataFrame, code: str) -> DataFrame:
+def label_join(df: DataFrame, code: str) -> DataFrame:
     """Reader-facing names for a code column (and ``facet`` when present); unknown codes are humanised."""
     lab = labels(df.sparkSession)  # the shipped catalog: a few dozen rows
     out = df.join(F.broadcast(lab.withColumnRenamed("code", code)), code, "left").withColumn(
@@ -39,13 +39,13 @@ def band_table(tables) -> DataFrame:
 
 
 def facet_rows(tables) -> DataFrame:
-    return scoring.score_facets(tables).select(
+    return tables["facets"].select(
         "id", "dimension", "score", "evidence", "confidence", "derivation", "value", F.array_join(F.col("gates").cast("array<string>"), ",").alias("gates"))
 
 
 def score_findings(tables) -> DataFrame:
     """Facets and domains as rows; domains only where a target stage is declared."""
-    facets = scoring.score_facets(tables)
+    facets = tables["facets"]
     f = facets.select(F.lit("facet").alias("kind"), "id", "score", F.col("evidence").alias("confidence"), F.col("derivation").alias("detail"))
     domains = tables["domains"].filter("target_stage IS NOT NULL")
     d = scoring.domain_register(facets, domains).select(
@@ -56,8 +56,8 @@ def score_findings(tables) -> DataFrame:
 
 SECTIONS = {
     "facets": facet_rows,
-    "domains": lambda t: scoring.domain_register(scoring.score_facets(t), t["domains"]),
-    "flags": lambda t: flags_table(t),
+    "domains": lambda t: scoring.domain_register(t["facets"], t["domains"]),
+    "flags": lambda t: flags_table(t["outcomes"]),
     "coverage": lambda t: t["coverage"],
     "definition_multiplicity": lambda t: t["multiplicity"],
     "variants": fnd.variant_sheet,
@@ -103,13 +103,16 @@ def write_findings(tables, path: str | None = None, build: str = "working") -> D
 
 
 def write_variant_sheets(tables, path: str | None = None) -> DataFrame:
-    """One Parquet folder per metric group plus the overview; returns rows per group."""
+    """The variant sheets clustered by metric group, plus the overview; returns rows per group.
+
+    Rows are range-partitioned on (group, rank): a reader of one group touches only the
+    files whose statistics cover it, a very large group spans several files, and millions
+    of small groups do not become millions of folders.
+    """
     spark = tables["fields"].sparkSession
     path = path or stage_path(spark, "variant-sheets")
-    sheet = fnd.variant_sheet(tables)
-    # spread each group over several tasks so a very large one is not one writer's work
-    sheet.withColumn("_salt", F.pmod(F.xxhash64("field_name"), F.lit(8))).repartition("group_id", "_salt").drop("_salt") \
-        .write.mode("overwrite").partitionBy("group_id").parquet(f"{path}/groups")
+    fnd.variant_sheet(tables).repartitionByRange("group_id", "usage_rank").sortWithinPartitions("group_id", "usage_rank") \
+        .write.mode("overwrite").parquet(f"{path}/groups")
     tables["multiplicity"].write.mode("overwrite").parquet(f"{path}/overview")
     return spark.read.parquet(f"{path}/groups").groupBy("group_id").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -119,7 +122,7 @@ def report_tables(tables, framing: str = "full") -> DataFrame:
     def rows(name, df, item, text):
         return df.select(F.lit(name).alias("section"), item.alias("item"), text.alias("text"))
 
-    flags = label_join(tables, flags_table(tables), "flag_id")
+    flags = label_join(flags_table(tables["outcomes"]), "flag_id")
     parts = [
         rows("definitions", tables["multiplicity"], F.col("label"), F.format_string(
             "defined %d ways across %d fields; %s", "definition_count", "variant_count", "dominance")),
@@ -132,11 +135,11 @@ def report_tables(tables, framing: str = "full") -> DataFrame:
         rows("coverage", fnd.coverage_gaps(tables["coverage"]), F.col("measure"), F.concat_ws(": ", "status", "reason")),
     ]
     if framing != "light":
-        facets = scoring.score_facets(tables)
+        facets = tables["facets"]
         stage = F.try_element_at(F.create_map(*[F.lit(x) for kv in catalog.STAGES.items() for x in kv]), F.col("readiness"))
         reg = scoring.domain_register(facets, tables["domains"])
         parts += [
-            rows("facets", label_join(tables, facets, "id"), F.col("name"), F.format_string("%d (%s)", "score", "evidence")),
+            rows("facets", label_join(facets, "id"), F.col("name"), F.format_string("%d (%s)", "score", "evidence")),
             rows("register", reg, F.col("domain"), F.concat_ws(
                 " ", F.coalesce(F.col("readiness").cast("string"), F.lit("unscored")), stage, F.lit("bound by"), F.array_join("binding_constraints", ", "))),
         ]

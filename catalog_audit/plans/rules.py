@@ -253,20 +253,28 @@ def evaluate_rules(tables, rules: dict | None = None, domains: list[str] | None
     return reduce(DataFrame.unionByName, parts).join(meta, "flag_id")
 
 
-def flags_table(tables, rules: dict | None = None, domains: list[str] | None = None) -> DataFrame:
+def flags_table(outcomes: DataFrame) -> DataFrame:
     """The flags a report shows: fired and not suppressed."""
-    return evaluate_rules(tables, rules, domains).filter("outcome = 'fired'").select(
-        "flag_id", "severity", "confidence", "facet", "domain", "count", "evidence")
+    return outcomes.filter("outcome = 'fired'").select("flag_id", "severity", "confidence", "facet", "domain", "count", "evidence")
 
 
-def rule_log(tables, rules: dict | None = None) -> DataFrame:
+def rule_log(outcomes: DataFrame) -> DataFrame:
     """One readable line per flag, suppressed and unimplemented ones included."""
     line = (F.when(F.col("outcome") == "fired", F.format_string("FLAG %s [%s] count=%s facet=%s", "flag_id", "severity", "count", "facet"))
             .when(F.col("outcome") == "suppressed", F.format_string("SUPPRESSED %s (would_fire=%s, count=%s)", "flag_id", "fires", "count"))
             .when(F.col("outcome") == "skipped", F.format_string("SKIPPED %s -- no evaluator", "flag_id"))
             .when(F.col("outcome") == "unimplemented", F.format_string("UNIMPLEMENTED %s", "flag_id"))
             .otherwise(F.format_string("SILENT %s count=%s", "flag_id", "count")))
-    return evaluate_rules(tables, rules).select("flag_id", "outcome", line.alias("line"))
+    return outcomes.select("flag_id", "outcome", line.alias("line")).distinct()
+
+
+def rule_catalog(spark, rules: dict | None = None) -> DataFrame:
+    """The catalog as rows, thresholds as JSON text."""
+    import json
+    rows = [(f, s["rule"], s["severity"], s["confidence"], s["facet"], s["scope"], s["implemented"], s["suppress"],
+             json.dumps(s.get("threshold") or {}, sort_keys=True)) for f, s in (rules or catalog.load_rules())["flags"].items()]
+    return spark.createDataFrame(rows, "flag_id string, rule string, severity string, confidence string, facet string, scope string, "
+                                       "implemented boolean, suppress boolean, threshold string")
 
 
 def flag_evidence(tables, rules: dict | None = None) -> DataFrame:

@@ -51,10 +51,11 @@ add("resolution_status_counts", graph.resolution_status_counts,
 # -- groups -----------------------------------------------------------------------------
 add("measure_candidates", lambda e: groups.measure_candidates(e).select("field_id", "definition_key"),
     "SELECT field_id, definition_key FROM candidates")
-add("core_metric_match", lambda e: e["calc"].select(F.col("id").alias("field_id"), groups.core_metric_match(F.col("name"), e.core_metrics).alias("core")),
+add("core_metric_match", lambda e: groups.with_core_match(e["calc"], "name", e.core_metrics).select(F.col("id").alias("field_id"), "core"),
     "SELECT id AS field_id, core FROM e_calc LEFT JOIN core_match ON field_id=id")
-add("core_match_tie", lambda e: e["calc"].select(F.col("id").alias("field_id"), groups.core_metric_match(
-        F.regexp_replace("name", "Churn Rate|Bounce Rate", "Bounce Churn Rate"), e.core_metrics).alias("core")),
+add("core_match_tie", lambda e: groups.with_core_match(
+        e["calc"].withColumn("name", F.regexp_replace("name", "Churn Rate|Bounce Rate", "Bounce Churn Rate")), "name", e.core_metrics).select(
+        F.col("id").alias("field_id"), "core"),
     """SELECT id AS field_id, CASE WHEN name LIKE 'Churn Rate%' OR name LIKE 'Bounce Rate%' THEN NULL ELSE core END AS core
        FROM e_calc LEFT JOIN core_match ON field_id=id""")
 add("token_intersection", lambda e: e["calc"].select(F.col("id").alias("field_id"), F.explode(content_tokens(F.col("name"))).alias("tok")).join(

@@ -59,12 +59,40 @@ _DOMAINS = ["revenue_ops", "all"]
 add("evaluate_rules", lambda e: rules.evaluate_rules(e, domains=_DOMAINS).select("flag_id", "severity", "facet", "domain", "outcome", "fires", "count"),
     """SELECT flag_id, severity, facet, unnest(CASE WHEN outcome='fired' AND scope='domain' THEN ['revenue_ops','all'] ELSE [''] END) AS domain,
        outcome, fires, count FROM outcomes""", _OUT)
-add("rule_log", rules.rule_log,
+add("rule_log", lambda e: rules.rule_log(e["outcomes"]),
     """SELECT flag_id, outcome, CASE outcome WHEN 'fired' THEN format('FLAG {} [{}] count={} facet={}', flag_id, severity, count, facet)
        WHEN 'suppressed' THEN format('SUPPRESSED {} (would_fire={}, count={})', flag_id, fires, count)
        WHEN 'unimplemented' THEN 'UNIMPLEMENTED '||flag_id ELSE format('SILENT {} count={}', flag_id, count) END AS line FROM outcomes""", _OUT)
-add("flag_evidence", lambda e: rules.flag_evidence(e).groupBy("flag_id").agg(F.count(F.lit(1)).alias("items"), F.min("item").alias("first_item")))
-add("label_join", lambda e: rep.label_join(e, rules.evaluate_rules(e), "flag_id").select("flag_id", "facet", "name", "facet_name"))
+add("flag_evidence", lambda e: rules.flag_evidence(e).groupBy("flag_id").agg(F.count(F.lit(1)).alias("items"), F.min("item").alias("first_item")),
+    f"""SELECT flag_id, count(*) AS items, min(item) AS first_item FROM (SELECT 'SEC-01' AS flag_id, id AS item FROM e_calc WHERE regexp_matches(formula, '{USER_CTX}')
+        UNION ALL SELECT 'SEC-02', object_type||'/'||object_id||'/'||grantee_id||'/'||capability FROM e_permissions WHERE mode='Allow' AND grantee_id='AllUsers'
+        AND capability IN ('Write','Delete','ChangePermissions','ProjectLeader') UNION ALL SELECT 'SEM-01', group_id FROM groups WHERE variant_count>5
+        UNION ALL SELECT 'SEM-04', datasource_id FROM e_fields GROUP BY datasource_id HAVING count(*)>300 UNION ALL SELECT 'DF-02', upstream_id FROM fanout WHERE sources>10
+        UNION ALL SELECT 'DF-04', id FROM e_datasources d WHERE NOT EXISTS (SELECT 1 FROM e_lineage l WHERE l.downstream_type='datasource' AND l.downstream_id=d.id)
+        UNION ALL SELECT 'DF-08', table_key||'/'||column_name FROM e_projection WHERE table_key IN (SELECT table_key FROM e_projection GROUP BY 1
+        HAVING count(DISTINCT datasource_id)>=2) GROUP BY table_key, column_name HAVING count(DISTINCT field_data_type)>=2
+        UNION ALL SELECT 'GOV-01', id FROM e_datasources WHERE trim(coalesce(owner,''))=''
+        UNION ALL SELECT 'EST-01', id FROM e_workbooks w LEFT JOIN usage ON workbook_id=w.id WHERE coalesce(event_count,0)=0) GROUP BY 1""", _EXTRA)
+
+
+def _q(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+_LABELS = {"labels_k": "SELECT * FROM (VALUES " + ", ".join(f"({_q(k)},{_q(n)})" for k, (n, _) in catalog.LABELS.items()) + ") k(code,name)"}
+_HUMAN = "upper(trim(replace(replace({0},'.',' · '),'_',' '))[1]) || lower(trim(replace(replace({0},'.',' · '),'_',' '))[2:])"
+add("label_join", lambda e: rep.label_join(e["outcomes"].select("flag_id", "facet", "outcome"), "flag_id").select("flag_id", "facet", "outcome", "name", "facet_name"),
+    """SELECT flag_id, facet, outcome, a.name, b.name AS facet_name FROM outcomes JOIN labels_k a ON a.code=flag_id JOIN labels_k b ON b.code=facet""", _OUT | _LABELS)
+add("label_join_codes", lambda e: rep.label_join(e["lineage"].select("upstream_type").distinct(), "upstream_type").select("upstream_type", "name"),
+    f"""SELECT upstream_type, {_HUMAN.format('upstream_type')} AS name FROM (SELECT DISTINCT upstream_type FROM e_lineage)""")
+add("load_rules", lambda e: rules.rule_catalog(e.spark).join(e["outcomes"].select("flag_id", "outcome"), "flag_id").select(
+        "flag_id", "severity", "facet", "scope", "implemented", "suppress", "outcome"),
+    "SELECT flag_id, severity, facet, scope, implemented, suppress, outcome FROM outcomes", _OUT)
+add("evidence_json", lambda e: rules.rule_result(e, "DF-06").unionByName(rules.rule_result(e, "SEM-03")).select("flag_id", "evidence"),
+    """SELECT 'DF-06' AS flag_id, json_object('failed', f, 'failure_rate', round(f::DOUBLE/t,4), 'threshold', 0.1::DOUBLE, 'total', t)::VARCHAR AS evidence FROM
+       (SELECT count(*) AS t, count(*) FILTER (status='Failed') AS f FROM e_refresh) UNION ALL SELECT 'SEM-03',
+       json_object('coverage', round(d::DOUBLE/t,4), 'described', d, 'threshold', 0.4::DOUBLE, 'total', t)::VARCHAR FROM (SELECT count(*) AS t,
+       count(*) FILTER (trim(coalesce(description,''))<>'') AS d FROM e_fields)""")
 
 # -- scoring ---------------------------------------------------------------------------------
 _BANDS = "CASE WHEN v>0.7 THEN 4 WHEN v>=0.4 AND v<=0.7 THEN 3 WHEN v<0.4 THEN 2 ELSE 1 END"
@@ -97,21 +125,21 @@ _SCORES = _EXTRA | {
 add("facet_threshold_scores", lambda e: scoring.facet_threshold_scores(e).select("id", "score", "value"), "SELECT id, score, value FROM banded", _SCORES)
 add("facet_capped_scores", lambda e: scoring.facet_capped_scores(e).select("id", "score"), "SELECT id, score FROM capped", _SCORES)
 add("arc_scores", lambda e: scoring.arc_scores(e).select("id", "score", "value"), "SELECT id, score, value FROM arcs", _SCORES)
-add("scan_interview_reconcile", lambda e: scoring.score_facets(e).select("id", "dimension", "score", "evidence"),
+add("scan_interview_reconcile", lambda e: e["facets"].select("id", "dimension", "score", "evidence"),
     "SELECT id, dimension, score, evidence FROM facets", _SCORES)
 add("INT-01", lambda e: scoring.interview_conflicts(scoring.scan_facets(e), e["interview"]).select("flag_id", "facet", "count", "scan_score", "interview_score"),
     "SELECT 'INT-01' AS flag_id, s.id AS facet, 1::BIGINT AS count, s.score AS scan_score, i.score AS interview_score FROM said i JOIN scanned s USING (id) WHERE i.score>s.score", _SCORES)
-add("dimension_rollup", lambda e: scoring.dimension_rollup(scoring.score_facets(e), e["domains"]).select("domain", "dimension", "score", F.array_join("facets", ",").alias("facets")),
+add("dimension_rollup", lambda e: scoring.dimension_rollup(e["facets"], e["domains"]).select("domain", "dimension", "score", F.array_join("facets", ",").alias("facets")),
     "SELECT domain, dimension, score, facets FROM rolled", _SCORES)
-add("governance_closure", lambda e: scoring.governance_rollup(scoring.score_facets(e), e["domains"]).select("domain", "score"),
+add("governance_closure", lambda e: scoring.governance_rollup(e["facets"], e["domains"]).select("domain", "score"),
     "SELECT domain, score FROM governed", _SCORES)
-add("governance_binding", lambda e: scoring.governance_rollup(scoring.score_facets(e), e["domains"]).select("domain", F.array_join("facets", ",").alias("facets")),
+add("governance_binding", lambda e: scoring.governance_rollup(e["facets"], e["domains"]).select("domain", F.array_join("facets", ",").alias("facets")),
     "SELECT domain, facets FROM gov_bound", _SCORES)
 _DIMS = "['action_surface','adoption','data','governance','operating_model','semantic','value']"
-add("unscored_dimensions", lambda e: scoring.domain_register(scoring.score_facets(e), e["domains"]).select("domain", F.array_join("unscored_dimensions", ",").alias("unscored")),
+add("unscored_dimensions", lambda e: scoring.domain_register(e["facets"], e["domains"]).select("domain", F.array_join("unscored_dimensions", ",").alias("unscored")),
     f"""SELECT t.domain, array_to_string(list_filter({_DIMS}, lambda d: NOT list_contains(list(dimension), d)), ',') AS unscored
         FROM targets t JOIN dims USING (domain) GROUP BY t.domain""", _SCORES)
-add("domain_register", lambda e: scoring.domain_register(scoring.score_facets(e), e["domains"]).select(
+add("domain_register", lambda e: scoring.domain_register(e["facets"], e["domains"]).select(
         "domain", "target_stage", "readiness", "gap", F.array_join("binding_constraints", ",").alias("binding"), "confidence"),
     """SELECT t.domain, t.target_stage, min(score) AS readiness, t.target_stage-min(score) AS gap,
        coalesce((SELECT string_agg(DISTINCT fid, ',' ORDER BY fid) FROM bound_facets b WHERE b.domain=t.domain),'') AS binding,
@@ -251,10 +279,11 @@ add("most_material_pair", lambda e: dis.execution_summary(_executed(e)).select("
        OVER (PARTITION BY group_id ORDER BY rel_diff DESC, field_id) AS rn FROM gaps WHERE NOT is_reference AND rel_diff IS NOT NULL) w ON w.group_id=g.group_id AND w.rn=1""", _VAL)
 
 # -- report tables ------------------------------------------------------------------------------------
-add("write_variant_sheets", rep.write_variant_sheets)
+add("write_variant_sheets", rep.write_variant_sheets, "SELECT group_id, count(*) AS rows FROM variants GROUP BY 1")
 add("write_findings", rep.write_findings)
 add("report_tables", rep.report_tables)
 add("payload_projection", lambda e: fnd.payload_projection(e).select("group_id", "field_name", "usage_rank", "view_count", "resolved_formula", "owner"),
     """SELECT group_id, field_name, usage_rank::BIGINT AS usage_rank, views AS view_count, CASE WHEN resolved_formula IS NOT NULL THEN '[redacted]' END AS resolved_formula,
        CASE WHEN owner IS NOT NULL THEN '[redacted]' END AS owner FROM detail""", _DETAIL)
-add("score_findings", rep.score_findings)
+add("score_findings", lambda e: rep.score_findings(e).select("kind", "id", "score"),
+    "SELECT 'facet' AS kind, id, score FROM facets UNION ALL SELECT 'domain', domain, min(score) FROM dims GROUP BY domain", _SCORES)

@@ -171,7 +171,7 @@ class Estate(Mapping):
             F.lit("datasource").alias("downstream_type"), tagged("ds_", k).alias("downstream_id"),
             F.explode(up).alias("u")).filter("u IS NOT NULL")
             .select("downstream_type", "downstream_id", "u.upstream_type", "u.upstream_id"))
-        return books.unionByName(sources).withColumn("upstream_label", F.col("upstream_id"))
+        return self._stage("lineage", books.unionByName(sources).withColumn("upstream_label", F.col("upstream_id")))
 
     def _permissions(self):
         seg = F.col("c_mktsegment")
@@ -191,7 +191,7 @@ class Estate(Mapping):
             F.when(F.col("o_orderstatus") == "F", "Failed").otherwise("Success").alias("status"))
 
     def _projection(self):
-        return (self.raw("lineitem").groupBy(
+        return self._stage("projection", self.raw("lineitem").groupBy(
             tagged("ds_", "l_suppkey").alias("datasource_id"),
             tagged("tbl_", F.col("l_suppkey") % 9).alias("table_key"),
             tagged("c", F.col("l_partkey") % 40).alias("column_name"))
@@ -237,7 +237,7 @@ class Estate(Mapping):
         return self["calc"].unionByName(self["columns"])
 
     def _field_usage(self):
-        return (self.raw("lineitem")
+        return self._stage("field-usage", self.raw("lineitem")
                 .select("l_partkey", "l_linenumber", (F.col("l_orderkey") % self._n("part")).alias("w"))
                 .distinct().select(tagged("fld_", "l_partkey").alias("field_id"),
                                    tagged("sh_", "l_linenumber").alias("sheet_id"),
@@ -253,7 +253,7 @@ class Estate(Mapping):
 
     def _usage_events(self):
         from catalog_audit.operators.usage import usage_rollup
-        return usage_rollup(self, now=self.now, window_days=90)
+        return self._stage("usage", usage_rollup(self, now=self.now, window_days=90))
 
     # -- stored stages: each is written once and read by many operators ---------
     def _stage(self, name: str, df: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ class Estate(Mapping):
 
     def _field_views(self):
         from catalog_audit.operators.usage import field_views
-        return field_views(self)
+        return self._stage("field-views", field_views(self))
 
     def _candidates(self):
         from catalog_audit.operators.groups import grouping_candidates
@@ -291,6 +291,14 @@ class Estate(Mapping):
         from catalog_audit.plans.findings import definition_multiplicity
         return self._stage("multiplicity", definition_multiplicity(self))
 
+    def _outcomes(self):
+        from catalog_audit.plans.rules import evaluate_rules
+        return self._stage("outcomes", evaluate_rules(self))
+
+    def _facets(self):
+        from catalog_audit.plans.scoring import score_facets
+        return self._stage("facets", score_facets(self))
+
     # -- configuration ---------------------------------------------------------
     def _coverage(self):
         rows = [(m, "ok", "") for m in FEEDS]
