@@ -63,7 +63,7 @@ def canonical_number(token: Column) -> Column:
     huge = value >= 1e38
     return (F.when(token.rlike(r"^[0-9]+$"), digits)
             .when(value.isNull() | huge, token)
-            .when(value == F.floor(value), whole.cast("string"))
+            .when(value == F.rint(value), whole.cast("string"))
             .when(value < 1e-4, tiny)
             .otherwise(plain))
 
