@@ -21,6 +21,8 @@ NATIVE_AGGREGATES = [
 ]
 
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
+SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+          "\u2028\u2029\u202f\u205f\u3000")  # the same class, for trimming without a pattern
 WORD = r"[\p{L}\p{Nl}\p{No}_][\p{L}\p{N}_]*"
 NUMBER = r"(?:[0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)(?:[eE][+-]?[0-9]+)?"
 REFERENCE = r"\[[^\]]*\]"
@@ -76,14 +78,14 @@ def _canonical_token(t: Column) -> Column:
             .when(long & t.startswith("'"), F.concat(F.lit('"'), inner, F.lit('"')))
             .when(long & t.startswith("["), ident)
             .when(t.rlike(r"^\.?[0-9]"), canonical_number(t))
-            .when(t.rlike(rf"^{WORD}$"), F.lower(t))
+            .when(t.rlike(r"^[\p{L}\p{Nl}\p{No}_]"), F.lower(t))  # the lexer made it a word
             .otherwise(t))
 
 
 def normalize_formula(formula: Column) -> Column:
     """Space-joined canonical tokens; comments and white space dropped; NULL -> ''."""
     tokens = F.filter(tokenize_formula(formula), lambda t: ~(
-        t.startswith("/*") | t.startswith("//") | t.rlike(rf"^{SPACE}$")))
+        t.startswith("/*") | t.startswith("//") | (F.btrim(t, F.lit(SPACES)) == "")))
     return F.coalesce(F.array_join(F.transform(tokens, _canonical_token), " "), F.lit(""))
 
 
@@ -123,7 +125,7 @@ def bracket_refs(formula: Column) -> Column:
 
 def reference_key(token_or_name: Column) -> Column:
     """Case- and edge-space-insensitive lookup key of a field name."""
-    return F.lower(F.regexp_replace(token_or_name, rf"^{SPACE}|{SPACE}$", ""))
+    return F.lower(F.btrim(token_or_name, F.lit(SPACES)))
 
 
 def is_user_context(formula: Column) -> Column:

@@ -11,8 +11,14 @@ from catalog_audit.operators.ordering import MAX_GROUP_ROWS, numbered
 
 
 def formula_fingerprint(tables) -> DataFrame:
-    """Normal form, hash, signature and definition key of each resolved formula."""
-    return fx.with_signature(tables["resolved"].select("field_id", "norm", "normalized_hash"), "norm")
+    """Normal form, hash, signature and definition key of each resolved formula.
+
+    A stored ``resolved`` stage carries the signature already.
+    """
+    r = tables["resolved"]
+    if "definition_key" not in r.columns:
+        r = fx.with_signature(r, "norm")
+    return r.select("field_id", "norm", "normalized_hash", "cols", "funcs", "has_ratio", "definition_key")
 
 
 def core_metric_tokens(core_metrics: list[str]) -> list[tuple[str, list[str], list[str]]]:

@@ -264,8 +264,9 @@ class Estate(Mapping):
         return self._stage("bindings", token_bind(self))
 
     def _resolved(self):
+        from catalog_audit.functions.formula import with_signature
         from catalog_audit.operators.graph import resolve_formulas
-        return self._stage("resolved", resolve_formulas(self))
+        return self._stage("resolved", with_signature(resolve_formulas(self), "norm"))
 
     def _field_views(self):
         from catalog_audit.operators.usage import field_views
