@@ -160,12 +160,13 @@ def refresh_failure_rate(tables) -> DataFrame:
 def latest_refresh(tables) -> DataFrame:
     """Latest completion per source and whether any job finishing then failed.
 
-    One combinable aggregate: the greatest (time, failed) pair keeps the tie rule.
+    Two maxima in one hash aggregate: a failure at the latest time is a latest failure,
+    whatever else finished at the same moment.
     """
-    failed = (F.col("status") == "Failed").cast("int")
-    return (tables["refresh_jobs"].filter("completed_at IS NOT NULL")
-            .groupBy("datasource_id").agg(F.max(F.struct("completed_at", failed.alias("failed"))).alias("m"))
-            .select("datasource_id", F.col("m.completed_at").alias("completed_at"), (F.col("m.failed") == 1).alias("failed")))
+    failure = F.when(F.col("status") == "Failed", F.col("completed_at"))
+    return (tables["refresh_jobs"].filter("completed_at IS NOT NULL").groupBy("datasource_id")
+            .agg(F.max("completed_at").alias("completed_at"), F.max(failure).alias("_failure"))
+            .select("datasource_id", "completed_at", F.coalesce(F.col("_failure") == F.col("completed_at"), F.lit(False)).alias("failed")))
 
 
 def failed_source_recent_views(tables) -> DataFrame:
@@ -219,14 +220,16 @@ def permission_sample(tables, per_type: int = 50) -> DataFrame:
     content = objects.filter("object_type <> 'project'").withColumn("rn", F.row_number().over(w)).filter(
         F.col("rn") <= per_type).drop("rn")
     chosen = objects.filter("object_type = 'project'").unionByName(content)
-    totals = objects.groupBy("object_type").agg(n().alias("total"))
-    sampled = chosen.groupBy("object_type").agg(n().alias("sampled"))
-    grants = (tables["permissions"].join(chosen, ["object_type", "object_id"], "left_semi")
-              .groupBy("object_type").agg(n().alias("grants")))
-    return (totals.join(sampled, "object_type", "left").join(grants, "object_type", "left")
-            .select("object_type", "total", F.coalesce("sampled", F.lit(0)).alias("sampled"),
-                    F.when(F.coalesce("sampled", F.lit(0)) >= F.col("total"), "all").otherwise("sampled").alias("coverage"),
-                    F.coalesce("grants", F.lit(0)).alias("grants")))
+    granted = tables["permissions"].join(chosen, ["object_type", "object_id"], "left_semi")
+    none = {"total": F.lit(0), "sampled": F.lit(0), "grants": F.lit(0)}
+
+    def tally(df, what):
+        return df.select("object_type", *[(F.lit(1) if k == what else zero).alias(k) for k, zero in none.items()])
+
+    sums = tally(objects, "total").unionByName(tally(chosen, "sampled")).unionByName(tally(granted, "grants"))
+    basis = sums.groupBy("object_type").agg(*[F.sum(k).alias(k) for k in none])
+    return basis.select("object_type", "total", "sampled",
+                        F.when(F.col("sampled") >= F.col("total"), "all").otherwise("sampled").alias("coverage"), "grants")
 
 
 def table_row_counts(tables, names) -> DataFrame:

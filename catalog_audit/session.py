@@ -50,8 +50,21 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/catalog_audit/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/catalog_audit/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def release_stages(spark: SparkSession) -> int:
+    """Delete the stage tables this process wrote; frames read from them become invalid."""
+    conf, done = spark._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -37,8 +37,8 @@ def trailing_views(daily: DataFrame, days: int = 30) -> DataFrame:
 
 def stream_latest_refresh(jobs: DataFrame, path: str | None = None) -> DataFrame:
     """Latest completion per source and whether any job finishing then failed."""
-    failed = (F.col("status") == "Failed").cast("int")
+    at = as_instant("completed_at")
     state = jobs.filter("completed_at IS NOT NULL").groupBy("datasource_id").agg(
-        F.max(F.struct(as_instant("completed_at").alias("at"), failed.alias("failed"))).alias("m")).select(
-        "datasource_id", F.col("m.at").alias("completed_at"), (F.col("m.failed") == 1).alias("failed"))
+        F.max(at).alias("completed_at"), F.max(F.when(F.col("status") == "Failed", at)).alias("failure")).select(
+        "datasource_id", "completed_at", F.coalesce(F.col("failure") == F.col("completed_at"), F.lit(False)).alias("failed"))
     return latest(run_available(state, "latest-refresh", path=path), ["datasource_id"])
