@@ -72,23 +72,28 @@ def _connection(query: Column, data: Column) -> Column:
     return F.when(query == "datasource_fields", fields).otherwise(outer)
 
 
-def accepted_pages(pages: DataFrame) -> DataFrame:
-    """Complete responses only; a partial page is never accepted, its retry is."""
-    return response_class(pages).filter("response = 'ok'")
-
-
 def accepted_nodes(pages: DataFrame, query_name: str, node_schema: str) -> DataFrame:
-    """Typed nodes of one query with their arrival order (seq, pos)."""
-    ok = accepted_pages(pages.filter(F.col("query_name") == query_name))
+    """Typed nodes of one query with their arrival order (seq, pos).
+
+    Complete responses only: a partial page is never accepted, its retry is. The body is
+    parsed once, straight into the node type.
+    """
+    p = pages.filter(F.col("query_name") == query_name)
     if query_name in REST_ITEMS:
         raw = F.from_json(_items(F.col("body"), REST_ITEMS[query_name]), f"array<{node_schema}>")
-    elif query_name == "datasource_fields":
-        shape = f"{CONNECTIONS[query_name]} struct<nodes: array<struct<fieldsConnection: struct<nodes: array<{node_schema}>>>>>"
-        raw = F.get(F.from_json("data", shape)[CONNECTIONS[query_name]]["nodes"], F.lit(0))["fieldsConnection"]["nodes"]
+        ok = p.filter(F.col("status").between(200, 299)).withColumn("_nodes", raw)
     else:
-        shape = f"{CONNECTIONS[query_name]} struct<nodes: array<{node_schema}>>"
-        raw = F.from_json("data", shape)[CONNECTIONS[query_name]]["nodes"]
-    return ok.select("scope_id", "seq", F.posexplode(raw)).select("scope_id", "seq", "pos", "col.*")
+        inner = f"struct<nodes: array<{node_schema}>>"
+        if query_name == "datasource_fields":  # one level deeper, under the source
+            inner = f"struct<nodes: array<struct<fieldsConnection: {inner}>>>"
+        shape = f"SESSION_EXPIRED string, errors array<string>, data struct<{CONNECTIONS[query_name]}: {inner}>"
+        found = F.col(f"_e.data.{CONNECTIONS[query_name]}.nodes")
+        if query_name == "datasource_fields":
+            found = F.get(found, F.lit(0))["fieldsConnection"]["nodes"]
+        p = p.filter("status = 200").withColumn("_e", F.from_json("body", shape))
+        clean = ~_present(F.col("_e.SESSION_EXPIRED")) & (F.coalesce(F.size("_e.errors"), F.lit(0)) <= 0)
+        ok = p.filter(clean).withColumn("_nodes", found)
+    return ok.select("scope_id", "seq", F.posexplode("_nodes")).select("scope_id", "seq", "pos", "col.*")
 
 
 def _items(body: Column, key: str) -> Column:

@@ -33,12 +33,15 @@ def latest(table: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def file_stream(spark, folder: str, name: str, max_files: int | None = None) -> DataFrame:
-    """Stream one Parquet table of a folder of tables."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """Stream one Parquet table of a folder of tables (a single file or a folder of files)."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def as_instant(column: str):
