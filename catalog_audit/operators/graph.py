@@ -83,7 +83,9 @@ def resolve_formulas(tables, max_depth: int = MAX_DEPTH) -> DataFrame:
     for level in range(1, max_depth + 1):
         if not waiting:
             break
-        known = done.select(F.col("field_id").alias("ref_id"), "text", "height", F.col("loose").alias("child_loose"))
+        # only texts some waiting formula names are carried into the join
+        known = done.select(F.col("field_id").alias("ref_id"), "text", "height", F.col("loose").alias("child_loose")).join(
+            pending.select("ref_id").distinct(), "ref_id", "left_semi")
         ready = (pending.join(known, "ref_id", "left").groupBy("field_id").agg(
             F.bool_and(F.col("height").isNotNull()).alias("all_known"),
             (F.max("height") + 1).alias("height"), F.bool_or("child_loose").alias("child_loose"),
