@@ -37,9 +37,8 @@ def blank(text: Column) -> Column:
 def parse_iso(text: Column) -> Column:
     """Lenient ISO timestamp: the whole text, else its first ten characters, else NULL."""
     trimmed = F.trim(text)
-    return F.coalesce(
-        F.when(trimmed.rlike(r"^\d{4}-\d{2}-\d{2}"), trimmed.try_cast("timestamp")),
-        F.substring(trimmed, 1, 10).try_cast("date").cast("timestamp"))
+    whole = F.coalesce(trimmed.try_cast("timestamp"), F.substring(trimmed, 1, 10).try_cast("date").cast("timestamp"))
+    return F.when(trimmed.rlike(r"^\d{4}-\d{2}-\d{2}"), whole)  # a cast alone would accept a bare year
 
 
 def days_ago(now: Column, then: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog_audit.operators import measures as m
-from catalog_audit.plans import catalog, rules, scoring
+from catalog_audit.plans import catalog, rules
 
 # run attribute -> what a mismatch voids
 GUARDS = {

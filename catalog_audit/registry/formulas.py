@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog_audit.functions import formula as fx
 from catalog_audit.functions.names import content_tokens, int_or_null
-from catalog_audit.operators import detail, graph, groups, measures, ranking, stats
+from catalog_audit.operators import detail, graph, groups, ranking
 from catalog_audit.oracle.ctes import TOKEN, USER_CTX, norm_sql
 from catalog_audit.registry.base import add
 from catalog_audit.sources import upsert

@@ -9,7 +9,7 @@ from catalog_audit.oracle.ctes import USER_CTX
 from catalog_audit.plans import catalog, findings as fnd, reporting as rep, rules, scoring
 from catalog_audit.registry.base import add
 from catalog_audit.registry.formulas import _DETAIL
-from catalog_audit.registry.measures import _FAILED, _FANOUT, GROUP_BY, USER_FN
+from catalog_audit.registry.measures import _FAILED, _FANOUT, GROUP_BY
 
 _RULE_SQL = {
     "SEC-01": f"SELECT count(*)>=1 AS fires, count(*) AS count FROM e_calc WHERE regexp_matches(formula, '{USER_CTX}')",

@@ -1,5 +1,4 @@
 import pytest
-from conftest import rows
 from pyspark.sql import functions as F
 
 from catalog_audit.functions.bands import band_score, capped_score, clause_holds
