@@ -33,3 +33,11 @@ def test_trailing_windows(frame):
     daily = frame("day string, workbook_id string, views bigint", [("2025-01-01", "A", 2), ("2025-01-03", "A", 5)])
     got = dict((r.window_start.isoformat(), r.views) for r in su.trailing_views(daily, 3).collect())
     assert got == {"2024-12-30": 2, "2024-12-31": 2, "2025-01-01": 7, "2025-01-02": 5, "2025-01-03": 5}
+
+
+def test_tables_may_be_files_or_folders(spark, frame, tmp_path):
+    from catalog_audit.streaming.sinks import file_stream
+    jobs = frame("datasource_id string, completed_at string, status string", [("a", "2025-01-01", "Success"), ("a", "2025-01-02", "Failed")])
+    jobs.repartition(2).write.parquet(str(tmp_path / "jobs.parquet"))  # a folder of part files
+    stream = file_stream(spark, str(tmp_path), "jobs", max_files=1)
+    assert rows(su.stream_latest_refresh(stream), "datasource_id", "failed") == [("a", True)]
