@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_audit.llm import quality_rules
+from catalog_audit.llm import exact_dedup, quality_rules
 from catalog_audit.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("counts")
     return judged.select("row.doc_id", c["n_words"].alias("n_words"), *[c[x].alias(x) for x in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
                          "base_failed", "kept", "reason")
+
+
+@query
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+ORACLES["op1_exact_dedup"] = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
+FROM n JOIN g ON n.t = g.t"""
