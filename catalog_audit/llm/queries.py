@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_audit.llm import exact_dedup, near_dedup, quality_rules
+from catalog_audit.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality_rules
 from catalog_audit.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,21 @@ FROM n JOIN g ON n.t = g.t"""
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_components(table(spark, sf_dir, "documents"), k=2, threshold=0.8)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+@query
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.replicate(table(spark, sf_dir, "documents"))
+    return drawn.select("row.*", "copy", "copies")
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Per document the number of ids, their digest, and the digest of what they decode to."""
+    made = docs.select("doc_id", byte_bpe.ByteBpe(docs.sparkSession).round_trip(F.col("text")).alias("t"))
+    return made.select("doc_id", (F.octet_length("t.ids") / 4).cast("long").alias("n_tokens"), F.sha2("t.ids", 256).alias("ids_sha256"),
+                       F.sha2("t.decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"))
