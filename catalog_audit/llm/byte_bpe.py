@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,9 +30,10 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: States with their transitions, and remembered pieces, held per Python worker before a fresh start.
-MAX_TRANSITIONS = 1_000_000
-MAX_PIECES = 400_000
+MAX_TRANSITIONS = 400_000
+MAX_PIECES = 600_000
 RANKS = "byte_bpe_50k.tiktoken"
+_WIDE_SPACE = re.compile(r" \s").search
 
 
 class Transducer:
@@ -41,9 +43,13 @@ class Transducer:
         self.ranks = ranks
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         # entries that their own merges do not reach never occur in an encoding
-        self.entries = {t for t in ranks if len(t) == 1 or self._reached(t)}
+        self.halves = {t: tuple(h) for t in ranks if len(t) > 1 and len(h := self._merged(t, 2)) == 2 and h[0] + h[1] == t}
+        self.entries = {t for t in ranks if len(t) == 1 or t in self.halves and self._reached(t)}
         self.prefixes = {t[:n] for t in self.entries for n in range(1, len(t))}
         self.longest = max(map(len, self.entries), default=1)
+        self.bytes = [bytes((b,)) for b in range(256)]
+        self.none = max(ranks.values(), default=0) + 2
+        self.any = b""  # stands for a token before the cut that no later pair can touch
         self._restart()
 
     def _restart(self) -> None:
@@ -52,11 +58,11 @@ class Transducer:
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.pairs.clear()
 
-    def _merged(self, word: bytes) -> list[bytes]:
-        """The merges themselves, for words as short as two entries: the lowest rank first, then the leftmost."""
+    def _merged(self, word: bytes, until: int = 1) -> list[bytes]:
+        """The merges of one entry, down to ``until`` parts: the lowest rank first, then the leftmost."""
         parts = [word[i:i + 1] for i in range(len(word))]
         ranks = self.ranks
-        while len(parts) > 1:
+        while len(parts) > until:
             best = min(((r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None), default=None)
             if best is None:
                 break
@@ -68,42 +74,70 @@ class Transducer:
         return len(self._merged(entry)) == 1
 
     def _stable(self, left: bytes, right: bytes) -> bool:
+        """Whether no merge crosses the cut between two entries before both are complete.
+
+        The merges of both sides are undone at the cut, the later one first. The two parts that then touch
+        would have merged instead if their union ranks below the merges undone so far.
+        """
         known = self.pairs.get((left, right))
-        if known is None:
-            known = self.pairs[(left, right)] = self._merged(left + right) == [left, right]
+        if known is not None:
+            return known
+        ranks, halves, a, b = self.ranks, self.halves, left, right
+        bound = self.none  # the cut's own merge must come before this rank to win (ties: the left one wins)
+        while True:
+            joint = ranks.get(a + b)
+            if joint is not None and joint < bound:
+                known = False
+                break
+            ra = ranks[a] if len(a) > 1 else -1
+            rb = ranks[b] if len(b) > 1 else -1
+            if ra < 0 and rb < 0:
+                known = True
+                break
+            if ra > rb:
+                bound, a = ra, halves[a][1]
+            else:
+                bound, b = rb + 1, halves[b][0]
+        self.pairs[(left, right)] = known
         return known
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         before, past, lengths = self.states[state]
-        text = past + bytes((byte,))
+        text = past + self.bytes[byte]
         n = len(text)
-        for size in range(min(n, self.longest), 0, -1):
-            token = text[n - size:]
-            if token in self.entries:
-                at = n - size
+        entries, longest = self.entries, self.longest
+        for at in range(n - longest if n > longest else 0, n):
+            token = text[at:]
+            if token in entries:
                 left = before if at == 0 else text[at - lengths[at]:at]
                 if left is None or self._stable(left, token):
                     break
-        lengths += (size,)
+        lengths += (n - at,)
         # a later token can start no earlier than the longest suffix that begins some entry
-        open_from = n
-        for at in range(max(0, n - self.longest), n):
+        first = n
+        for at in range(n - longest if n > longest else 0, n):
             if text[at:] in self.prefixes:
-                open_from = at
+                first = at
                 break
-        cuts = set(range(open_from, n + 1))
-        while len(cuts) > 1:
-            last = max(cuts)
-            cuts.discard(last)
-            cuts.add(last - lengths[last])
-        settled = cuts.pop()
-        out = self._back(text, lengths, settled)
-        left = before if settled == 0 else text[settled - lengths[settled]:settled]
-        key = (left, text[settled:])
+        settled = n
+        for cut in range(n - 1, first - 1, -1):
+            while cut != settled:  # the last cut that both pasts share
+                if cut > settled:
+                    cut -= lengths[cut]
+                else:
+                    settled -= lengths[settled]
+        if settled == 0:
+            out, key = (), (before, text)
+        else:
+            out = self._back(text, lengths, settled)
+            key = (text[settled - lengths[settled]:settled] if first == settled else None, text[settled:])
+            lengths = (0, *[min(lengths[p], p - settled) for p in range(settled + 1, n + 1)])
+            if key[0] is None:
+                key = (self.any, key[1])
         known = self.ids.get(key)
         if known is None:
             known = self.ids[key] = len(self.states)
-            self.states.append((left, text[settled:], (0, *(min(lengths[p], p - settled) for p in range(settled + 1, n + 1)))))
+            self.states.append((*key, lengths))
         move = self.moves[state << 8 | byte] = (known, out)
         return move
 
@@ -164,10 +198,11 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.entries = dict((r, t) for t, r in ranks.items())
         self.pieces = regex.compile(pattern).findall
+        self.plain = pattern == public_tokenizers.PATTERN
         self.known: dict[str, bytes] = {}
+        self.known_runs: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
+    def _pieces(self, text: str) -> bytes:
         known, out = self.known, []
         if len(known) > MAX_PIECES:
             known.clear()
@@ -180,6 +215,28 @@ class Codec:
             out.append(packed)
         return b"".join(out)
 
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers.
+
+        Under the usual pattern a piece always begins at a space that stands before a non-space, so the runs between such
+        spaces are independent and may be remembered whole; other patterns and odd spacing take the general way.
+        """
+        if not self.plain or text.endswith(" ") or _WIDE_SPACE(text):
+            return self._pieces(text)
+        known = self.known_runs
+        if len(known) > MAX_PIECES:
+            known.clear()
+        first, *runs = text.split(" ")
+        out = [self._pieces(first)]
+        for run in runs:
+            packed = known.get(run)
+            if packed is None:
+                packed = self._pieces(" " + run)
+                if len(packed) <= 256:
+                    known[run] = packed
+            out.append(packed)
+        return b"".join(out)
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.entries.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 

@@ -22,6 +22,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalog_audit.session import materialize
+
 TEMPERATURE = 0.5
 _STEPS = float(1 << 52)
 
@@ -69,7 +71,7 @@ def replicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
               weights: Mapping[str | None, float] | None = None, temperature: float = TEMPERATURE, epochs: float = 1.0,
               seed: int = 17) -> DataFrame:
     """(row, copy, copies): each document as often as drawn (``copy`` counts from 0), dealt out in hashed order."""
-    table = rates(docs, source, weights, temperature, epochs).select(F.col("source").alias("s"), "steps")
+    table = materialize(rates(docs, source, weights, temperature, epochs), "rates").select(F.col("source").alias("s"), "steps")
     key = F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text))).otherwise(F.col(doc_id).cast("long"))
     own = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), key.alias("key"))
     drawn = own.join(table, F.col("source").eqNullSafe(F.col("s")))
