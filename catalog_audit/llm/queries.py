@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_audit.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality_rules
+from catalog_audit.llm import byte_bpe, exact_dedup, language_id, mixing, near_dedup, quality_rules, url_filter
 from catalog_audit.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,18 @@ def token_digests(docs: DataFrame) -> DataFrame:
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages"), keep=("page_id",))
+    return judged.select("row.page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept_out = F.coalesce(language_id.held_out(F.col("doc_id")), F.lit(False))
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    told = language_id.identify(docs.withColumn("held_out", kept_out), model, keep=("doc_id", "held_out"))
+    return told.select("row.doc_id", "row.held_out", "lang_pred", "score")

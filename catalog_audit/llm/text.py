@@ -94,8 +94,8 @@ class Words:
         return mix(h ^ (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, bytes, bounds) of consecutive texts of about ``limit`` bytes; null counts as empty."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, bytes, bounds) of consecutive texts of about ``limit`` bytes, ``rows`` at most; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary()).fill_null(b"")
@@ -106,7 +106,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + rows)
         yield i, j, data[off[i]:off[j]], off[i:j + 1] - off[i]
         i = j
 
