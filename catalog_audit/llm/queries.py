@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_audit.llm import byte_bpe, exact_dedup, language_id, mixing, near_dedup, quality_rules, url_filter
+from catalog_audit.llm import byte_bpe, exact_dedup, html_text, language_id, mixing, near_dedup, quality_rules, url_filter
 from catalog_audit.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
     told = language_id.identify(docs.withColumn("held_out", kept_out), model, keep=("doc_id", "held_out"))
     return told.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
+@query
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"), keep=("page_id", "url"))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
