@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_audit.llm import byte_bpe, exact_dedup, html_text, language_id, mixing, near_dedup, quality_rules, url_filter
+from catalog_audit.llm import byte_bpe, exact_dedup, html_text, language_id, lm_score, mixing, near_dedup, perplexity, quality_rules, url_filter
 from catalog_audit.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(table(spark, sf_dir, "pages"), keep=("page_id", "url"))
     return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return perplexity.judge_perplexity(table(spark, sf_dir, "documents"), trusted)
