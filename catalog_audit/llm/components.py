@@ -21,7 +21,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # large star: each vertex's larger neighbours move to the smallest of its neighbourhood
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
-        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
         # small star: smaller neighbours move to the smallest of them
         small = large.groupBy("v").agg(F.min("u").alias("m"))
         moved = large.join(small, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u")

@@ -6,8 +6,9 @@
    ``BRANCHES`` of the minwise coordinates; a text goes down one branch for each, named by its own token there. Two texts
    of similarity s stay together in a branch with probability s, so with two branches a pair at 0.8 survives any depth
    in one tree with probability 0.94 and in at least one of three with 0.9997. Nodes of one text end; nodes of at
-   most ``SMALL`` texts are compared exhaustively; larger ones branch again. A node still large at ``DEPTH`` holds
-   texts that agreed on every selected token; its members become candidates of one another by a star, not by pairs.
+   most ``SMALL`` texts are compared exhaustively; larger ones branch again. The depth follows the logarithm of the number
+   of texts, which parts unlike texts; a node still large at the last level holds texts that agreed on every
+   selected token, and its members become candidates of one another by a star, not by pairs.
 3. *Candidates.* In small nodes the sketches' agreement decides: at or above the threshold less ``SLACK`` (over four
    standard errors) the texts are joined into a candidate class. Only a spanning forest per node is emitted.
 4. *Verification.* A text lies in one candidate class, so its words move once. Inside a class all links are
@@ -23,6 +24,7 @@ result; other columns ride in ``row``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,7 @@ COORDINATES = 128
 TREES = 3
 BRANCHES = 2
 SMALL = 64
-DEPTH = 8
+SHRINK = 8  # a level parts unlike texts by at least this factor
 SLACK = 0.15
 BLOCK_SHINGLES = 4_000_000
 BLOCK_TEXTS = 2048
@@ -139,13 +141,14 @@ def _agreeing(members: DataFrame, cut: float) -> DataFrame:
     return members.mapInArrow(run, "a long, b long").distinct()
 
 
-def candidate_edges(sets: DataFrame, threshold: float) -> DataFrame:
+def candidate_edges(sets: DataFrame, texts: int, threshold: float) -> DataFrame:
     """Edges that tie together all candidate partners (not all pairs) among distinct sets."""
     cut = threshold - SLACK
     roots = mix(np.arange(1, TREES + 1, dtype=U64)).view(np.int64).tolist()
     alive = sets.select("id", "tokens", F.array(*[F.lit(r) for r in roots]).alias("nodes"))
     edges = None
     depth, step = 0, 2
+    deepest = max(3, 1 + math.ceil(math.log(max(texts, SMALL) / SMALL) / math.log(SHRINK)))
     while True:
         rows = materialize(_descend(alive, step), "paths")
         depth, step = depth + step, 1
@@ -155,7 +158,7 @@ def candidate_edges(sets: DataFrame, threshold: float) -> DataFrame:
                  .groupBy("node").agg(F.collect_list(F.struct("id", "bits")).alias("members")).select("members"))
         found = _agreeing(small, cut)
         large = sized.where(F.col("size") > SMALL)
-        last = not seen["large"] or depth >= DEPTH
+        last = not seen["large"] or depth >= deepest
         if last:
             found = found.unionByName(large.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
         found = materialize(found, "candidates")
@@ -261,7 +264,7 @@ def confirmed_edges(texts: DataFrame, classes: DataFrame, sizes: DataFrame, k: i
             .groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("main")))
     labelled = materialize(labelled.join(main, "root"), "labelled")
     rest = labelled.where("part <> main")
-    chunks = rest.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_TEXTS // 8)).cast("long").alias("chunks"))
+    chunks = rest.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(max(1, BLOCK_TEXTS // 8))).cast("long").alias("chunks"))
     both = labelled.join(chunks, "root").join(big.select("id", "text"), "id")
     chunk, block = F.pmod(F.xxhash64(F.lit(7), F.col("id")), F.col("chunks")), F.pmod(F.xxhash64("id"), F.col("width").cast("long"))
     asked = both.where("part <> main").select("id", F.col("part").alias("root"), "text", F.col("root").alias("class"), chunk.alias("c"),
@@ -276,10 +279,10 @@ def near_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, doc_id:
     """(id, n_shingles, component_id) of every row; ``component_id`` is the smallest id reachable over links."""
     drawn = materialize(sketch(docs, k, doc_id, text), "sketches")
     linkable = drawn.where("n_shingles > 0 AND id IS NOT NULL")
-    sets = materialize(linkable.groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("id"), F.any_value("tokens").alias("tokens"), F.any_value("bits").alias("bits")), "sets")
+    sets, seen = materialize_counted(linkable.groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("id"), F.any_value("tokens").alias("tokens"), F.any_value("bits").alias("bits")), "sets")
     same = linkable.join(sets.select("n_shingles", "set_a", "set_b", F.col("id").alias("a")), ["n_shingles", "set_a", "set_b"])
     same = same.where("id <> a").select("a", F.col("id").alias("b"))
-    classes = components(candidate_edges(sets, threshold))
+    classes = components(candidate_edges(sets, seen["rows"], threshold))
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     links = confirmed_edges(texts, classes, sets.select("id", "n_shingles"), k, round(100 * threshold))
     parts = components(links.unionByName(same))
