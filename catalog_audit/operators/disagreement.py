@@ -7,14 +7,13 @@ variants never multiplies passes over the facts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog_audit.operators.detail import variant_class
-from catalog_audit.operators.ordering import numbered
+from catalog_audit.operators.ordering import numbered, running
 
-# Defaults of the execution budget and tolerance.
-MAX_GROUPS, MAX_QUERIES, TOLERANCE = 10, 1000, 0.005
+TOLERANCE = 0.005
 DOMINANCE_ORDER = {"contested": 0, "unmeasured": 1, "dominant": 2, "singular": 3}
 
 
@@ -27,19 +26,33 @@ def backlog_order(groups: DataFrame) -> list[Column]:
             F.coalesce("label", F.lit("")), F.col("group_id")]
 
 
-def budget_prefix(groups: DataFrame, executable: DataFrame, max_groups: int = MAX_GROUPS,
-                  max_queries: int = MAX_QUERIES) -> DataFrame:
-    """The longest priority prefix within both caps; a group runs whole or not at all.
+def budget_prefix(groups: DataFrame, executable: DataFrame, max_groups: int | None = None,
+                  max_queries: int | None = None) -> DataFrame:
+    """Every group with its priority, the queries up to it, and whether it runs.
 
-    The group cap is a distributed top-k, so only ``max_groups`` rows are ordered for the
-    query cap.
+    Without a budget all groups run. With one, the longest priority prefix within both limits runs, each group whole or
+    not at all; the others stay in the result as ``not_run`` with the limit that stopped them.
     """
-    sized = groups.join(executable, "group_id", "left").withColumn("n_exec", F.coalesce("n_exec", F.lit(0)))
+    sized = groups.join(executable, "group_id", "left").withColumn("n_exec", F.coalesce("n_exec", F.lit(0)).cast("bigint"))
     order = backlog_order(groups)
-    top = sized.orderBy(*order).limit(max_groups).withColumn("_one", F.lit(0))
-    w = Window.partitionBy("_one").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = top.withColumn("queries_upto", F.sum("n_exec").over(w)).withColumn("priority", F.count(F.lit(1)).over(w))
-    return ranked.filter(F.col("queries_upto") <= max_queries).select("group_id", "priority", "n_exec", "queries_upto")
+    ranked = running(sized, [], order, {"queries_upto": F.col("n_exec"), "priority": F.lit(1).cast("bigint")})
+    reason = F.lit("")
+    if max_queries is not None:
+        reason = F.when(F.col("queries_upto") > max_queries, "query budget spent").otherwise(reason)
+    if max_groups is not None:
+        reason = F.when(F.col("priority") > max_groups, "group budget spent").otherwise(reason)
+    return ranked.select("group_id", "priority", "n_exec", "queries_upto", F.when(reason == "", "run").otherwise("not_run").alias("state"),
+                         reason.alias("state_reason"))
+
+
+def disagreement_coverage(plan: DataFrame) -> DataFrame:
+    """The coverage row of the measure: ok, partial or skipped, with how many groups ran."""
+    n, ran, queries = F.count(F.lit(1)), F.count_if(F.col("state") == "run"), F.sum(F.when(F.col("state") == "run", F.col("n_exec")).otherwise(0))
+    status = F.when(F.col("ran") == 0, "skipped").when(F.col("ran") < F.col("n"), "partial").otherwise("ok")
+    why = F.when(F.col("n") == 0, "no groups to test").otherwise(
+        F.format_string("%d of %d groups tested with %d queries", "ran", "n", F.coalesce("queries", F.lit(0))))
+    return plan.agg(n.alias("n"), ran.alias("ran"), queries.alias("queries")).select(
+        F.lit("material_disagreement").alias("measure"), status.alias("status"), why.alias("reason"))
 
 
 def definition_values(fact: DataFrame, source: Column, period: Column, measures: dict[str, Column]) -> DataFrame:
@@ -52,8 +65,8 @@ def definition_values(fact: DataFrame, source: Column, period: Column, measures:
 
 
 def material_disagreement(tables, groups: DataFrame, values: DataFrame, period: str, tolerance: float = TOLERANCE,
-                          abs_floor: float = 0.0, max_groups: int = MAX_GROUPS, max_queries: int = MAX_QUERIES) -> DataFrame:
-    """Each variant of the groups within budget, its value, and its gap to the reference.
+                          abs_floor: float = 0.0, max_groups: int | None = None, max_queries: int | None = None) -> DataFrame:
+    """Each variant of every group, its value where its group runs, and its gap to the reference.
 
     The reference is an executable variant, preferring one that returned a value, then
     the dominant one, then the best usage rank.
@@ -61,9 +74,9 @@ def material_disagreement(tables, groups: DataFrame, values: DataFrame, period:
     rows = variant_class(tables)
     runnable = rows.filter("executability_class = 'executable'").groupBy("group_id").agg(F.count(F.lit(1)).alias("n_exec"))
     chosen = budget_prefix(groups, runnable, max_groups, max_queries)
-    rows = rows.join(chosen.select("group_id", "priority"), "group_id")
+    rows = rows.join(chosen.select("group_id", "priority", "state", "state_reason"), "group_id")
     rows = rows.join(values, ["datasource_id", "definition_key"], "left").withColumn(
-        "value", F.when(F.col("executability_class") == "executable", F.col("value")))
+        "value", F.when((F.col("executability_class") == "executable") & (F.col("state") == "run"), F.col("value")))
     preference = F.struct(F.col("value").isNull(), ~F.col("is_dominant"), F.coalesce("usage_rank", F.lit(1 << 30)), "field_id")
     best = rows.filter("executability_class = 'executable'").groupBy("group_id").agg(
         F.min_by(F.struct(F.col("field_id").alias("ref_field"), F.col("value").alias("ref_value")), preference).alias("r")).select(
@@ -73,7 +86,7 @@ def material_disagreement(tables, groups: DataFrame, values: DataFrame, period:
     out = rows.join(best, "group_id", "left").withColumns({
         "is_reference": F.coalesce(F.col("field_id") == F.col("ref_field"), F.lit(False)), "abs_diff": gap, "rel_diff": rel})
     return out.select(
-        "group_id", "label", "priority", "field_id", "field_name", "executability_class", "untested_reason", "is_reference",
+        "group_id", "label", "priority", "state", "state_reason", "field_id", "field_name", "executability_class", "untested_reason", "is_reference",
         F.lit(period).alias("period"), "value", "abs_diff", "rel_diff",
         # no relative gap can be stated against a zero reference
         (F.coalesce(F.col("ref_value") == 0, F.lit(False)) & F.coalesce(F.col("abs_diff") > 0, F.lit(False))).alias("zero_reference"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog_audit.functions import formula as fx
 from catalog_audit.functions.names import content_tokens
-from catalog_audit.operators.ordering import MAX_GROUP_ROWS, numbered
+from catalog_audit.operators.ordering import numbered
 
 
 def formula_fingerprint(tables) -> DataFrame:
@@ -87,7 +87,7 @@ def grouping_candidates(tables, core_metrics: list[str]) -> DataFrame:
         F.coalesce("views", F.lit(0)).alias("views"), F.coalesce("workbooks", F.lit(0)).alias("workbooks"))
 
 
-def metric_groups(tables, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def metric_groups(tables) -> DataFrame:
     """One row per concept: label, size, method, and its ordinal id."""
     hashed = F.when(F.col("normalized_hash") != "", F.col("normalized_hash"))
     g = tables["candidates"].groupBy("concept_key").agg(
@@ -96,7 +96,7 @@ def metric_groups(tables, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
         F.min("field_id").alias("first_field"),
         # one hash or none, without a second distinct aggregate
         F.coalesce(F.min(hashed) == F.max(hashed), F.lit(True)).alias("exact"))
-    g = numbered(g, [], [F.col("variant_count").desc(), F.col("first_field")], "ordinal", max_group_rows)
+    g = numbered(g, [], [F.col("variant_count").desc(), F.col("first_field")], "ordinal")
     digits = F.col("ordinal").cast("string")
     return g.select(
         F.concat(F.lit("grp_"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)).alias("group_id"),

@@ -1,10 +1,8 @@
-"""Row numbers and running totals that survive one very large group.
+"""Row numbers and running totals without one task per group.
 
-``Window.partitionBy(group)`` puts a whole group into one task. When the largest group
-is small that is the cheapest plan and it is what is used. Beyond ``max_group_rows`` the
-rows are range-sorted on (group, order) and stored, each stored partition numbers its
-own slice of each group, and the slice offsets (one row per partition and group) are
-added. Every task then sees at most one range partition, and the result is the same.
+Rows are range-sorted on (group, order) and stored; each stored partition sums its own slice of each group, and
+what the slices before it hold is added (one number per slice and group). Every task sees at most one range partition
+whatever the largest group, and small tables take the same way.
 """
 
 from __future__ import annotations
@@ -16,50 +14,41 @@ from pyspark.sql import functions as F
 
 from catalog_audit.session import materialize
 
-MAX_GROUP_ROWS = 1_000_000
 
-
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-            measures: dict[str, Column], max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], measures: dict[str, Column]) -> DataFrame:
     """Add, per ``keys`` group in ``order``, the inclusive running sum of each measure.
 
     ``order`` must be a total order within the group. Measures must not be NULL.
     """
     named = df.withColumns({f"_m_{n}": c for n, c in measures.items()})
-    if _largest_group(df, keys) <= max_group_rows:
-        w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order)
-        w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return named.withColumns({n: F.sum(f"_m_{n}").over(w) for n in measures}).drop(*[f"_m_{n}" for n in measures])
-
-    stored = materialize(
-        named.sort(*keys, *order).withColumn("_pos", F.monotonically_increasing_id()), "ordered")
+    stored = materialize(named.sort(*keys, *order).withColumn("_pos", F.monotonically_increasing_id()), "ordered")
     # the id holds the partition in its upper bits and the row in its lower 33
     stored = stored.withColumn("_slice", F.shiftright("_pos", 33))
     local = Window.partitionBy("_slice", *keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = stored.withColumns({n: F.sum(f"_m_{n}").over(local) for n in measures})
-    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_slice") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    sums = stored.groupBy("_slice", *keys).agg(*[F.sum(f"_m_{n}").alias(f"_s_{n}") for n in measures])
-    offsets = sums.select("_slice", *[F.col(k).alias(f"_k_{k}") for k in keys],
-                          *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in measures])
+    sums = stored.groupBy("_slice", *keys).agg(*[F.sum(f"_m_{n}").alias(n) for n in measures])
+    # a group's slices are no more than the stored partitions
+    slices = sums.groupBy(*keys).agg(F.collect_list(F.struct("_slice", *measures)).alias("_all"))
+    each = slices.select("*", F.explode("_all").alias("_here"))
+
+    def before(n: str) -> Column:
+        kind = sums.schema[n].dataType
+        earlier = F.filter("_all", lambda x: x["_slice"] < F.col("_here._slice"))
+        return F.aggregate(earlier, F.lit(0).cast(kind), lambda total, x: (total + x[n]).cast(kind))
+
+    offsets = each.select(F.col("_here._slice").alias("_oslice"), *[F.col(k).alias(f"_k_{k}") for k in keys],
+                          *[before(n).alias(f"_o_{n}") for n in measures])
     cond = [F.col("_slice") == F.col("_oslice")] + [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    joined = inside.join(offsets.withColumnRenamed("_slice", "_oslice"), cond)
+    joined = inside.join(offsets, cond)
     return joined.select(*df.columns, *[(F.col(n) + F.col(f"_o_{n}")).alias(n) for n in measures])
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str,
-             max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """Add a 1-based row number per group."""
-    return running(df, keys, order, {name: F.lit(1).cast("bigint")}, max_group_rows)
-
-
-def _largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+    return running(df, keys, order, {name: F.lit(1).cast("bigint")})
 
 
-def cover_counts(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float],
-                 max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def cover_counts(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float]) -> DataFrame:
     """How many of the largest values reach each fraction of the group's total.
 
     Works on the histogram of values: equal values are interchangeable, so the rows
@@ -68,7 +57,7 @@ def cover_counts(df: DataFrame, keys: Sequence[str], value: str, fractions: dict
     df = df.select(*keys, F.col(value).alias("_v"))
     hist = df.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     hist = hist.filter("_v > 0").withColumn("_mass", F.col("_v") * F.col("_n"))
-    cum = running(hist, keys, [F.col("_v").desc()], {"_cum": F.col("_mass")}, max_group_rows)
+    cum = running(hist, keys, [F.col("_v").desc()], {"_cum": F.col("_mass")})
     totals = df.groupBy(*keys).agg(F.coalesce(F.sum("_v"), F.lit(0)).cast("bigint").alias("total"))
     named = totals.withColumnsRenamed({k: f"_t_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalog_audit.operators.ordering import MAX_GROUP_ROWS, cover_counts, numbered
+from catalog_audit.operators.ordering import cover_counts, numbered
 
 # Provisional dominance thresholds.
 MIN_SHARE, MIN_RATIO, COVER = 0.6, 2.0, 0.8
 
 
-def usage_rank(tables, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def usage_rank(tables) -> DataFrame:
     """Members of each group, ranked 1..n by views then field id."""
     members = tables["candidates"].join(tables["groups"].select("concept_key", "group_id", "label"), "concept_key").select(
         "group_id", "label", "field_id", "name", "normalized_hash", "definition_key", "views", "workbooks")
-    return numbered(members, ["group_id"], [F.col("views").desc(), F.col("field_id")], "usage_rank", max_group_rows)
+    return numbered(members, ["group_id"], [F.col("views").desc(), F.col("field_id")], "usage_rank")
 
 
 def definition_views(members: DataFrame) -> DataFrame:
@@ -45,8 +45,7 @@ def dominance(members: DataFrame, min_share: float = MIN_SHARE, min_ratio: float
         "top_ratio", F.when(F.col("second_total") > 0, F.col("top_total") / F.col("second_total")))
 
 
-def rank_groups(tables, min_share: float = MIN_SHARE, min_ratio: float = MIN_RATIO,
-                max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def rank_groups(tables, min_share: float = MIN_SHARE, min_ratio: float = MIN_RATIO) -> DataFrame:
     """Ranked members with the dominant field of each settled group marked."""
     members = tables["ranked"]
     dom = dominance(members, min_share, min_ratio).select(
@@ -56,9 +55,9 @@ def rank_groups(tables, min_share: float = MIN_SHARE, min_ratio: float = MIN_RAT
     ).drop("_rank", "has_dominant")
 
 
-def cover_count(members: DataFrame, fraction: float = COVER, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def cover_count(members: DataFrame, fraction: float = COVER) -> DataFrame:
     """Definitions per group that reach ``fraction`` of its views; 0 without views."""
-    return cover_counts(definition_views(members), ["group_id"], "total", {"cover": fraction}, max_group_rows)
+    return cover_counts(definition_views(members), ["group_id"], "total", {"cover": fraction})
 
 
 def view_share(variants: DataFrame) -> DataFrame:

@@ -9,21 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog_audit.operators.ordering import MAX_GROUP_ROWS, running
+from catalog_audit.operators.ordering import running
 
 
 def int_histogram(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def five_number_stats(df: DataFrame, column: str, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def five_number_stats(df: DataFrame, column: str) -> DataFrame:
     """n, min, p25, median, p75, max, mean with linear interpolation (one row).
 
     The quantiles are read off the running histogram by rank; n is 0 and the rest NULL
     when there is nothing to describe.
     """
     hist = int_histogram(df, column)
-    cum = running(hist, [], [F.col("value")], {"upto": F.col("n")}, max_group_rows)
+    cum = running(hist, [], [F.col("value")], {"upto": F.col("n")})
     total = F.col("total")
     cum = cum.withColumn("total", hist.agg(F.sum("n").alias("t")).scalar())
 

@@ -252,7 +252,7 @@ _VAL = _DETAIL | _BACK | {
         UNION ALL SELECT datasource_id, 'funcs=countd|ratio=0|cols=customer id', c FROM wide UNION ALL SELECT datasource_id, 'funcs=sum|ratio=1|cols=cost,sales', d FROM wide
         UNION ALL SELECT datasource_id, 'funcs=sum|ratio=0|cols=amount,region', e FROM wide""",
     "budget": """SELECT * FROM (SELECT b.group_id, position, coalesce(x.n,0) AS n_exec, sum(coalesce(x.n,0)) OVER (ORDER BY position) AS upto FROM backlog b LEFT JOIN
-        (SELECT group_id, count(*) AS n FROM classed WHERE executability_class='executable' GROUP BY 1) x USING (group_id) WHERE position<=10) WHERE upto<=1000""",
+        (SELECT group_id, count(*) AS n FROM classed WHERE executability_class='executable' GROUP BY 1) x USING (group_id))""",
     "ran": """SELECT c.*, b.position, CASE WHEN executability_class='executable' THEN v.value END AS value FROM classed c JOIN budget b USING (group_id) LEFT JOIN vals v
         ON v.datasource_id=c.datasource_id AND v.definition_key=c.definition_key""",
     "refs": """SELECT group_id, field_id AS ref_field, value AS ref_value FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY value IS NULL, NOT is_dominant, usage_rank, field_id) AS rn
@@ -261,9 +261,19 @@ _VAL = _DETAIL | _BACK | {
         CASE WHEN ref_value<>0 THEN abs(value-ref_value)/abs(ref_value) WHEN abs(value-ref_value)=0 THEN 0.0 END AS rel_diff FROM ran r LEFT JOIN refs f USING (group_id)""",
 }
 add("definition_values", lambda e: _values(e).withColumn("value", F.round("value", 4)), "SELECT datasource_id, definition_key, round(value, 4) AS value FROM vals", _VAL)
-add("budget_prefix", lambda e: dis.budget_prefix(e["multiplicity"], detail.variant_class(e).filter("executability_class = 'executable'").groupBy("group_id").agg(
-        F.count(F.lit(1)).alias("n_exec"))).select("group_id", "priority", "n_exec", "queries_upto"),
-    "SELECT group_id, position::BIGINT AS priority, n_exec, upto::BIGINT AS queries_upto FROM budget", _VAL)
+def _budget(e, **limits):
+    runnable = detail.variant_class(e).filter("executability_class = 'executable'").groupBy("group_id").agg(F.count(F.lit(1)).alias("n_exec"))
+    return dis.budget_prefix(e["multiplicity"], runnable, **limits)
+
+
+add("budget_prefix", lambda e: _budget(e).select("group_id", "priority", "n_exec", "queries_upto", "state"),
+    "SELECT group_id, position::BIGINT AS priority, n_exec, upto::BIGINT AS queries_upto, 'run' AS state FROM budget", _VAL)
+add("budget_states", lambda e: _budget(e, max_groups=10, max_queries=1000).select("group_id", "priority", "state", "state_reason"),
+    """SELECT group_id, position::BIGINT AS priority, CASE WHEN position>10 OR upto>1000 THEN 'not_run' ELSE 'run' END AS state, CASE WHEN position>10 THEN 'group budget spent'
+       WHEN upto>1000 THEN 'query budget spent' ELSE '' END AS state_reason FROM budget""", _VAL)
+add("disagreement_coverage", lambda e: dis.disagreement_coverage(_budget(e)),
+    """SELECT 'material_disagreement' AS measure, CASE WHEN count(*)=0 THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN count(*)=0 THEN 'no groups to test' ELSE
+       count(*)||' of '||count(*)||' groups tested with '||sum(n_exec)::BIGINT||' queries' END AS reason FROM budget""", _VAL)
 add("pick_reference", lambda e: _executed(e).filter("is_reference").select("group_id", "field_id"), "SELECT group_id, ref_field AS field_id FROM refs", _VAL)
 add("material_disagreement", lambda e: _executed(e).select("group_id", "field_id", "executability_class", "is_reference", F.round("value", 4).alias("value"),
                                                            F.round("abs_diff", 4).alias("abs_diff"), F.round("rel_diff", 6).alias("rel_diff"), "material"),

@@ -155,10 +155,13 @@ def test_zero_reference_states_no_relative_gap(frame):
 def test_budget_is_a_prefix(frame):
     g = groups_of(frame, "g1", "g2", "g3")
     n = frame("group_id string, n_exec bigint", [("g1", 5), ("g2", 6), ("g3", 1)])
-    assert rows(dis.budget_prefix(g, n, 1, 1000), "group_id") == [("g1",)]
-    assert rows(dis.budget_prefix(g, n, 10, 10), "group_id") == [("g1",)]  # g2 overflows; g3 would fit but comes later
-    assert rows(dis.budget_prefix(g, n, 10, 4), "group_id") == []
-    assert rows(dis.budget_prefix(g, n, 10, 12), "group_id") == [("g1",), ("g2",), ("g3",)]
+    ran = lambda *limits: rows(dis.budget_prefix(g, n, *limits).filter("state = 'run'"), "group_id")
+    assert ran() == ran(10, 12) == [("g1",), ("g2",), ("g3",)] and ran(1, 1000) == [("g1",)]
+    assert ran(10, 10) == [("g1",)]  # g2 overflows; g3 would fit but comes later
+    assert ran(10, 4) == []
+    assert rows(dis.budget_prefix(g, n, 2, 10), "group_id", "state_reason") == [("g1", ""), ("g2", "query budget spent"), ("g3", "group budget spent")]
+    cover = lambda *limits: dis.disagreement_coverage(dis.budget_prefix(g, n, *limits)).first()
+    assert [cover().status, cover(1).status, cover(0).status] == ["ok", "partial", "skipped"] and cover(1).reason == "1 of 3 groups tested with 5 queries"
 
 
 def test_variant_classes(frame):
