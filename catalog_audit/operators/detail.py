@@ -41,11 +41,10 @@ def variant_class(tables) -> DataFrame:
     measure = F.lower(F.trim(F.coalesce(role, F.lit("")))) == "measure"
     kind = (F.when(unresolved, "unresolvable").when(bound, "context_bound")
             .when(blank(F.col("datasource_luid")) | ~measure, "not_comparable").otherwise("executable"))
-    reason = (F.when(unresolved, F.concat(F.lit("formula did not resolve ("), status, F.lit(")")))
-              .when(bound, "resolved formula depends on user context")
-              .when(blank(F.col("datasource_luid")), "owning data source has no queryable LUID")
-              .when(~measure, F.concat(F.lit("field is not an aggregatable measure (role="),
-                                       F.when(blank(role), "?").otherwise(role), F.lit(")"))).otherwise(""))
+    reason = (F.when(unresolved, F.concat(F.lit("unresolved: "), status))
+              .when(bound, "reads the signed-in user")
+              .when(blank(F.col("datasource_luid")), "source has no public id")
+              .when(~measure, F.concat(F.lit("not a measure but "), F.when(blank(role), "unknown").otherwise(role))).otherwise(""))
     return d.withColumns({"executability_class": kind, "untested_reason": reason,
                           "native_aggregate": fx.is_native_aggregate(F.col("resolved_formula"))})
 

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from catalog_audit.functions import formula as fx
 from catalog_audit.functions.names import blank
 
-# The shipped policy on broad grants.
-EVERYONE = ["AllUsers"]
-SENSITIVE = ["Write", "Delete", "ChangePermissions", "ProjectLeader"]
-
 
 def n(cond: Column | None = None) -> Column:
     return F.count(F.lit(1)) if cond is None else F.count_if(cond)
@@ -85,9 +81,10 @@ def column_divergence(tables) -> DataFrame:
     p = tables["projection"]
     sources = p.groupBy("table_key").agg(F.count_distinct("datasource_id").alias("table_sources")).filter("table_sources >= 2")
     cols = p.groupBy("table_key", "column_name").agg(
-        F.count_distinct("field_data_type").alias("types"), F.count_distinct("datasource_id").alias("sources"))
+        F.count_distinct("field_data_type").alias("types"), F.count_distinct("datasource_id").alias("sources"),
+        F.array_join(F.sort_array(F.collect_set("field_data_type")), ",").alias("type_names"))
     return cols.join(sources, "table_key").select(
-        "table_key", "column_name", "types", "sources", "table_sources",
+        "table_key", "column_name", "types", "type_names", "sources", "table_sources",
         (F.col("types") >= 2).alias("type_divergent"), (F.col("sources") < F.col("table_sources")).alias("not_shared"))
 
 
@@ -108,12 +105,10 @@ def certified_with_active_warning(tables) -> DataFrame:
     return active.join(certified, "luid").select("id", "name", "warning_id", "is_elevated", "warning_type")
 
 
-def certified_clean(tables, limit: int | None = None) -> DataFrame:
-    """Certified sources with no active warning; with ``limit``, the first ones by id."""
+def certified_clean(tables) -> DataFrame:
+    """Certified sources with no active warning."""
     active = tables["dqw"].filter("is_active").select(F.col("asset_luid").alias("luid"))
-    clean = (tables["datasources"].filter("is_certified").select("id", "name", "luid")
-             .join(active, "luid", "left_anti").select("id", "name"))
-    return clean if limit is None else clean.orderBy("id").limit(limit)
+    return tables["datasources"].filter("is_certified").select("id", "name", "luid").join(active, "luid", "left_anti").select("id", "name")
 
 
 def dq_warning_counts(tables) -> DataFrame:
@@ -180,11 +175,11 @@ def failed_source_recent_views(tables) -> DataFrame:
 
 
 # -- permissions ---------------------------------------------------------------
-def is_permissive(everyone=EVERYONE, sensitive=SENSITIVE) -> Column:
+def is_permissive(everyone, sensitive) -> Column:
     return ((F.col("mode") == "Allow") & F.col("grantee_id").isin(*everyone) & F.col("capability").isin(*sensitive))
 
 
-def permissive_grants(tables, everyone=EVERYONE, sensitive=SENSITIVE) -> DataFrame:
+def permissive_grants(tables, everyone, sensitive) -> DataFrame:
     return tables["permissions"].filter(is_permissive(everyone, sensitive)).select(
         "object_type", "object_id", "grantee_id", "capability")
 
@@ -195,7 +190,7 @@ def permission_counts(tables) -> DataFrame:
         n(F.col("mode") == "Deny").alias("deny_rules"))
 
 
-def permission_exposure(tables, everyone=EVERYONE, sensitive=SENSITIVE) -> DataFrame:
+def permission_exposure(tables, everyone, sensitive) -> DataFrame:
     """Permissive grants and exposed objects per capability, and the total (NULL capability)."""
     spark = tables["permissions"].sparkSession
     hits = permissive_grants(tables, everyone, sensitive)

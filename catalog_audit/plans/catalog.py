@@ -86,53 +86,59 @@ DIMENSION_LABELS = {
     "action_surface": "Action surface", "operating_model": "Operating model", "value": "Value",
 }
 
-# code -> (name, description)
+# code -> (name, what is measured)
 LABELS = {
-    "semantic.singularity": ("Metric singularity", "Whether each core metric has one agreed definition rather than competing variants."),
-    "semantic.describability": ("Metric describability", "Whether fields carry descriptions, so their meaning is documented rather than tacit."),
-    "semantic.exposure_shape": ("Data-source exposure shape", "Whether analysis draws on governed published data sources rather than embedded one-off extracts."),
-    "semantic.consensus": ("Definition consensus", "Whether stakeholders have ratified shared metric definitions."),
-    "semantic.lifecycle": ("Semantic lifecycle", "Whether changes to business rules follow a managed lifecycle rather than ad-hoc edits."),
-    "adoption.reach": ("Adoption reach", "The share of published content that is actually used."),
-    "adoption.decision_culture": ("Decision culture", "Whether decisions are routinely made from the analytics rather than around them."),
-    "data.entitlement_at_source": ("Entitlement at source", "Whether row-level access is enforced in the data source rather than in view-layer formulas."),
-    "data.provenance": ("Data provenance", "Whether published data traces cleanly to governed upstream sources."),
-    "data.freshness": ("Data freshness", "Whether extracts and refreshes keep data current and reliable."),
-    "data.retained_grain": ("Retained grain", "Whether custom SQL preserves the detail needed for correct aggregation downstream."),
-    "data.integrity": ("Data-integrity signals", "Whether data-quality warnings are in use to flag integrity issues."),
-    "action.reversibility": ("Action reversibility", "Whether automated actions taken on analytics can be reviewed and reversed."),
-    "operating.ownership": ("Operating ownership", "Whether analytics assets have clear, accountable owners in the operating model."),
-    "value.attribution": ("Value attribution", "Whether business value is attributed back to analytics investments."),
-    "governance.accountability": ("Ownership accountability", "The share of data sources with a named, accountable owner."),
-    "governance.assurance": ("Certification assurance", "The share of data sources certified as trusted."),
-    "governance.preventive": ("Preventive controls", "Whether access is scoped and restricted before problems occur."),
-    "governance.detective": ("Detective controls", "Whether monitoring catches issues, such as certified content that carries a live data-quality warning."),
-    "governance.corrective": ("Corrective controls", "Whether detected problems are actually remediated."),
-    "SEC-01": ("Access rule buried in a formula", "A calculated field enforces row-level access in the view layer, which a direct query to the data source can bypass."),
-    "SEC-02": ("Overly broad permission", "A sensitive capability (write, delete, or change permissions) is granted to an everyone-group rather than a scoped, named group."),
-    "SEM-01": ("Many variants of one metric", "A core metric is defined many different ways across the estate."),
-    "SEM-02": ("No agreed metric definition", "A core metric has multiple competing definitions in active use, with none dominant."),
-    "SEM-03": ("Undocumented fields", "Too few fields carry a description, so meaning is tacit rather than documented."),
-    "SEM-04": ("Oversized data source", "A data source exposes an unusually large number of fields, making it hard to navigate and govern."),
-    "SEM-05": ("Inconsistent field descriptions", "A field's description differs between the REST and Metadata views of the same asset."),
-    "DF-01": ("Reliance on embedded extracts", "Too much analysis draws on embedded one-off extracts rather than governed published sources."),
-    "DF-02": ("Redundant upstream tables", "One upstream table feeds many published sources, a candidate for consolidation."),
-    "DF-03": ("Chained published sources", "Published sources built on other published sources add fragile indirection."),
-    "DF-04": ("Source without a traceable origin", "A published source has no discoverable upstream lineage."),
-    "DF-05": ("Stale data still in use", "Content viewed recently is backed by a data source whose refresh is failing."),
-    "DF-06": ("High refresh-failure rate", "Scheduled refreshes fail often enough to threaten data currency."),
-    "DF-07": ("Grain loss in custom SQL", "Custom SQL aggregates away detail needed for correct downstream analysis."),
-    "DF-08": ("Divergent source columns", "Sources sharing a root table expose divergent columns, hinting at drift."),
-    "GOV-01": ("Data source without an owner", "A published source has no named, accountable owner."),
-    "GOV-02": ("No data-quality monitoring", "Data-quality warnings are not in use, so integrity issues go unflagged."),
-    "GOV-03": ("Certified but flagged content", "Content marked certified nonetheless carries an active data-quality warning: the trust and health signals disagree."),
-    "EST-01": ("Unused workbooks", "Workbooks drew no views in the window: recoverable capacity and retirement candidates."),
-    "EST-02": ("Many business-rule editors", "A wide set of people can edit business rules, raising change-control risk."),
-    "ADO-01": ("Shallow user adoption", "Only a small share of intended users actively engage with the content."),
-    "ADO-02": ("Concentrated viewership", "Views concentrate in a few workbooks; the long tail is largely unused."),
+    "semantic.singularity": ("One formula per metric", "Share of metric groups in which a single formula draws most of the views."),
+    "semantic.describability": ("Described fields", "Fields with a non-blank description, over all fields."),
+    "semantic.exposure_shape": ("Published versus embedded", "Published sources over all sources; very wide sources count against it."),
+    "semantic.consensus": ("Interviewed agreement", "Interview score: do owners accept the same formulas?"),
+    "semantic.lifecycle": ("Rule changes", "How edits to formulas are made; not measured by a scan."),
+    "adoption.reach": ("Viewed content", "Workbooks with at least one view in the window, over all workbooks."),
+    "adoption.decision_culture": ("Use in decisions", "Interview score: are decisions taken with these reports open?"),
+    "data.entitlement_at_source": ("Row filters", "Starts full and is capped while formulas filter rows by the signed-in user."),
+    "data.provenance": ("Lineage", "Edges from sources to tables: missing ones, long chains, and tables with many readers."),
+    "data.freshness": ("Refresh outcome", "Failed against finished refresh jobs, and what was viewed after a failure."),
+    "data.retained_grain": ("Query grain", "Custom queries that group, deduplicate or limit rows."),
+    "data.integrity": ("Warnings set", "Count of quality warnings on the estate."),
+    "action.reversibility": ("Undo", "Interview score: can an automatic action be taken back?"),
+    "operating.ownership": ("Operating roles", "Interview score: is every asset somebody's job?"),
+    "value.attribution": ("Attributed value", "Interview score: is benefit booked to the reports that brought it?"),
+    "governance.accountability": ("Owned sources", "Sources with an owner name or address, over all sources."),
+    "governance.assurance": ("Certified sources", "Sources marked certified, over all sources."),
+    "governance.preventive": ("Before the fact", "Interview score, lowered by sensitive grants to everyone."),
+    "governance.detective": ("While it happens", "Interview score, lowered by certified items under a live warning."),
+    "governance.corrective": ("After the fact", "Interview score: does a finding get fixed?"),
+    "SEC-01": ("User test in a formula", "Formulas that call a user or group function after their references are expanded."),
+    "SEC-02": ("Sensitive grant to all", "Allow grants of a listed capability to a group that holds every user."),
+    "SEM-01": ("Crowded metric group", "Groups with more members than the limit."),
+    "SEM-02": ("Contested metric group", "Groups in which two or more formulas are viewed and none meets the share and ratio tests."),
+    "SEM-03": ("Blank descriptions", "Description share under the limit."),
+    "SEM-04": ("Very wide source", "Sources with more fields than the limit."),
+    "SEM-05": ("Two descriptions", "Fields whose text differs between two feeds of the same object."),
+    "DF-01": ("Mostly embedded", "Embedded references over all references, above the limit."),
+    "DF-02": ("Table read many times", "Tables that more published sources read than the limit."),
+    "DF-03": ("Source on source", "Longest chain of published sources, at or above the limit."),
+    "DF-04": ("No table upstream", "Published sources whose lineage never reaches a table."),
+    "DF-05": ("Viewed after a failure", "Sources whose latest refresh failed and whose workbooks were opened within the window."),
+    "DF-06": ("Failing jobs", "Failed refresh jobs over all jobs, above the limit."),
+    "DF-07": ("Coarser query", "Custom queries with a sign of lost rows."),
+    "DF-08": ("Columns differ", "Sources on one table that type a shared column differently, or, if asked for, project other columns."),
+    "GOV-01": ("Ownerless source", "Published sources with neither owner name nor address."),
+    "GOV-02": ("No warnings at all", "The warning feed was read and is empty."),
+    "GOV-03": ("Certified under warning", "Certified sources with an active warning."),
+    "EST-01": ("Never opened", "Workbooks without a view and older than the idle limit."),
+    "EST-02": ("Rule writers", "People who may edit formulas; not measured by a scan."),
+    "ADO-01": ("Few active people", "Distinct viewers over licensed people, under the limit."),
+    "ADO-02": ("Views in few places", "The smallest number of workbooks that reaches the given part of all views."),
 }
 
 
+def broad_grant_policy(rules: dict | None = None) -> tuple[list[str], list[str]]:
+    """(groups that hold everyone, sensitive capabilities): the thresholds of SEC-02, which all measures share."""
+    threshold = (rules or load_rules())["flags"]["SEC-02"].get("threshold") or {}
+    return threshold.get("everyone_grantees", EVERYONE), threshold.get("sensitive_capabilities", SENSITIVE)
+
+
 def load_rules(path: str | None = None) -> dict:
     """The catalog, overlaid with a JSON or YAML file of the same shape.
 

@@ -99,11 +99,12 @@ def governance_posture(tables) -> DataFrame:
     ])
 
 
-def posture_examples(tables, k: int = 10) -> DataFrame:
-    """First good and bad examples behind the posture, and how many there are of each."""
-    p = tables["permissions"].filter((F.col("mode") == "Allow") & F.col("capability").isin(*catalog.SENSITIVE))
+def posture_examples(tables, rules: dict | None = None) -> DataFrame:
+    """All good and bad examples behind the posture, and how many there are of each."""
+    everyone, sensitive = catalog.broad_grant_policy(rules)
+    p = tables["permissions"].filter((F.col("mode") == "Allow") & F.col("capability").isin(*sensitive))
     item = F.concat_ws("/", "object_type", "object_id", "grantee_id", "capability").alias("item")
-    broad = F.col("grantee_id").isin(*catalog.EVERYONE)
+    broad = F.col("grantee_id").isin(*everyone)
     warned = m.certified_with_active_warning(tables).select("id").distinct()
     ok_perm = is_measured(tables, "permissions")
     ok_dq = is_measured(tables, "datasources") & is_measured(tables, "data_quality_warnings")
@@ -114,11 +115,8 @@ def posture_examples(tables, k: int = 10) -> DataFrame:
         m.certified_clean(tables).select(F.lit("detective").alias("arc"), F.lit("good").alias("kind"), F.col("id").alias("item")).filter(ok_dq),
     ]
     every = reduce(DataFrame.unionByName, rows)
-    from pyspark.sql import Window
-    w = Window.partitionBy("arc", "kind").orderBy("item")
-    first = every.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
     totals = every.groupBy("arc", "kind").agg(F.count(F.lit(1)).alias("total"))
-    return first.join(totals, ["arc", "kind"]).select("arc", "kind", "item", "total")
+    return every.join(totals, ["arc", "kind"]).select("arc", "kind", "item", "total")
 
 
 # -- header ----------------------------------------------------------------------------------
@@ -139,7 +137,7 @@ def coverage_gate(tables, measure: str) -> DataFrame:
     return row.select(
         F.lit(measure).alias("measure"), F.coalesce(F.col("s") == "ok", F.lit(False)).alias("measured"),
         F.coalesce("s", F.lit("absent")).alias("status"),
-        F.when(F.col("s").isNull(), "measure not recorded for this run").otherwise(F.coalesce("r", F.lit(""))).alias("reason"))
+        F.when(F.col("s").isNull(), "no such row in the register").otherwise(F.coalesce("r", F.lit(""))).alias("reason"))
 
 
 def coverage_gaps(coverage: DataFrame) -> DataFrame:
@@ -194,9 +192,9 @@ def calibrate_freshness(tables, within: int = 30) -> DataFrame:
         "n", "min", "p25", "median", "p75", "max", F.round("mean", 6).alias("mean"), "within_window")
 
 
-def calibrate_permissions(tables) -> DataFrame:
+def calibrate_permissions(tables, rules: dict | None = None) -> DataFrame:
     gate = is_measured(tables, "permissions")
-    return m.permission_exposure(tables).filter(gate)
+    return m.permission_exposure(tables, *catalog.broad_grant_policy(rules)).filter(gate)
 
 
 # -- presentation builds ------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Rule evaluation: one aggregate per flag, unioned into one frame.
 
-Every evaluator returns one row (fires, count, evidence). Evidence lists carry the first
-50 examples in key order; ``flag_evidence`` has all of them as rows.
+Every evaluator returns one row (fires, count, evidence). Evidence holds the measured numbers; the items behind
+them, all of them, are the rows of ``flag_evidence``.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from catalog_audit.operators import graph, measures as m, usage as u
 from catalog_audit.plans import catalog
 
-EXAMPLES = 50
 EVALUATORS: dict[str, Callable] = {}
 
 
@@ -31,15 +30,6 @@ def outcome(df: DataFrame, fires: Column, count: Column, /, **evidence: Column)
     return df.select(fires.alias("fires"), count.cast("bigint").alias("count"), facts.alias("evidence"))
 
 
-def examples(df: DataFrame, order: list[str], *shown: str, k: int = EXAMPLES) -> Column:
-    """The first ``k`` rows by ``order`` as an array (scalar subquery over a top-k)."""
-    top = df.select(*order, *[c for c in shown if c not in order]).orderBy(*order).limit(k)
-    value = (lambda x: x["v"]) if len(shown) == 1 else (lambda x: F.struct(*[x[c].alias(c) for c in shown]))
-    fields = [F.col(shown[0]).alias("v")] if len(shown) == 1 else [F.col(c) for c in shown if c not in order]
-    packed = F.array_sort(F.collect_list(F.struct(*order, *fields)))
-    return top.agg(F.transform(packed, value).alias("xs")).select("xs").scalar()
-
-
 def counted(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"))
 
@@ -48,7 +38,7 @@ def counted(df: DataFrame) -> DataFrame:
 def _user_context(t, th):
     hits = m.user_context_fields(t)
     n = F.col("n")
-    return outcome(counted(hits), n >= th.get("min_count", 1), n, count=n, fields=examples(hits, ["id"], "name"))
+    return outcome(counted(hits), n >= th.get("min_count", 1), n, count=n)
 
 
 @evaluator("permissive_grants")
@@ -58,9 +48,7 @@ def _permissive(t, th):
     n = F.col("n")
     return outcome(counted(hits), n >= th.get("min_count", 1), n, count=n,
                    everyone_grantees=F.array(*map(F.lit, sorted(everyone))),
-                   sensitive_capabilities=F.array(*map(F.lit, sorted(sensitive))),
-                   grants=examples(hits, ["object_type", "object_id", "grantee_id", "capability"],
-                                   "object_type", "object_id", "grantee_id", "capability"))
+                   sensitive_capabilities=F.array(*map(F.lit, sorted(sensitive))))
 
 
 @evaluator("metric_group_variant_count")
@@ -68,17 +56,21 @@ def _variant_count(t, th):
     limit = th.get("variant_count_gt", 5)
     labels = t["groups"].filter(F.col("variant_count") > limit).groupBy("label").agg(F.max("variant_count").alias("fields"))
     n = F.col("n")
-    return outcome(counted(labels), n > 0, n, threshold=F.lit(limit), groups=examples(labels, ["label"], "label", "fields"))
+    return outcome(counted(labels), n > 0, n, threshold=F.lit(limit))
+
+
+def contested_labels(t, least: int) -> DataFrame:
+    """Labels of groups with several viewed members and no dominant one."""
+    return (t["variants"].groupBy("group_id", "label").agg(
+        F.bool_or("is_dominant").alias("dominant"), F.count_if(F.col("views") > 0).alias("used"))
+        .filter((~F.col("dominant")) & (F.col("used") >= least)).select("label").distinct())
 
 
 @evaluator("metric_group_no_dominant")
 def _no_dominant(t, th):
     least = th.get("min_usage_variants", 2)
-    labels = (t["variants"].groupBy("group_id", "label").agg(
-        F.bool_or("is_dominant").alias("dominant"), F.count_if(F.col("views") > 0).alias("used"))
-        .filter((~F.col("dominant")) & (F.col("used") >= least)).select("label").distinct())
     n = F.col("n")
-    return outcome(counted(labels), n > 0, n, min_usage_variants=F.lit(least), groups=examples(labels, ["label"], "label"))
+    return outcome(counted(contested_labels(t, least)), n > 0, n, min_usage_variants=F.lit(least))
 
 
 @evaluator("description_coverage")
@@ -99,12 +91,11 @@ def _embedded(t, th):
 @evaluator("upstream_table_fanout")
 def _fanout(t, th):
     most = th.get("max_sources_per_table", 10)
-    fan = m.table_fanout(t).withColumn("table", F.coalesce("upstream_label", "upstream_id"))
+    fan = m.table_fanout(t)
     over = F.count_if(F.col("sources") > most)
     top = fan.agg(F.coalesce(F.max("sources"), F.lit(0)).alias("top"), over.alias("over"))
     # the flag's count is the largest fan-out, not the number of tables
-    return outcome(top, F.col("over") > 0, F.col("top"), max_sources_per_table=F.col("top"), threshold=F.lit(most),
-                   tables_over_threshold=examples(fan.filter(F.col("sources") > most), ["table"], "table", "sources"))
+    return outcome(top, F.col("over") > 0, F.col("top"), max_sources_per_table=F.col("top"), tables_over_threshold=F.col("over"), threshold=F.lit(most))
 
 
 @evaluator("published_on_published_depth")
@@ -117,8 +108,7 @@ def _chain(t, th):
 def _zero_view(t, th):
     hits = u.zero_view_workbooks(t)
     n = F.col("n")
-    return outcome(counted(hits), n >= th.get("min_count", 1), n, count=n, idle_days=F.lit(th.get("idle_days", 90)),
-                   workbooks=examples(hits, ["id"], "name"))
+    return outcome(counted(hits), n >= th.get("min_count", 1), n, count=n, idle_days=F.lit(th.get("idle_days", 90)))
 
 
 @evaluator("view_concentration")
@@ -134,15 +124,14 @@ def _field_count(t, th):
     most = th.get("max_field_count", 300)
     per = m.fields_per_source(t)
     top = per.agg(F.coalesce(F.max("fields"), F.lit(0)).alias("top"), F.count_if(F.col("fields") > most).alias("over"))
-    return outcome(top, F.col("over") > 0, F.col("over"), max_field_count=F.col("top"), threshold=F.lit(most),
-                   datasources_over_threshold=examples(per.filter(F.col("fields") > most), ["datasource_id"], "datasource_id", "fields"))
+    return outcome(top, F.col("over") > 0, F.col("over"), max_field_count=F.col("top"), threshold=F.lit(most))
 
 
 @evaluator("source_without_upstream")
 def _no_upstream(t, th):
-    hits = m.sources_without_upstream(t).withColumn("label", F.coalesce("name", "id"))
+    hits = m.sources_without_upstream(t)
     n = F.col("n")
-    return outcome(counted(hits), n >= th.get("min_count", 1), n, count=n, datasources=examples(hits, ["id"], "label"))
+    return outcome(counted(hits), n >= th.get("min_count", 1), n, count=n)
 
 
 @evaluator("refresh_failure_rate")
@@ -157,8 +146,7 @@ def _stale_in_use(t, th):
     within = th.get("viewed_within_days", 30)
     hits = (m.failed_source_recent_views(t).filter(F.col("last_viewed_days_ago") <= within).select("datasource_id").distinct())
     n = F.col("n")
-    return outcome(counted(hits), n >= th.get("min_count", 1), n, count=n, viewed_within_days=F.lit(within),
-                   sources=examples(hits, ["datasource_id"], "datasource_id"))
+    return outcome(counted(hits), n >= th.get("min_count", 1), n, count=n, viewed_within_days=F.lit(within))
 
 
 @evaluator("custom_sql_grain_loss")
@@ -171,9 +159,9 @@ def _grain(t, th):
 
 @evaluator("source_owner_missing")
 def _no_owner(t, th):
-    hits = m.sources_missing_owner(t).withColumn("label", F.coalesce("name", "id"))
+    hits = m.sources_missing_owner(t)
     n = F.col("n")
-    return outcome(counted(hits), n >= th.get("min_count", 1), n, count=n, datasources=examples(hits, ["id"], "label"))
+    return outcome(counted(hits), n >= th.get("min_count", 1), n, count=n)
 
 
 @evaluator("root_table_column_divergence")
@@ -184,13 +172,8 @@ def _divergence(t, th):
                       F.count_distinct(F.when(F.col("not_shared"), F.col("table_key"))).alias("by_name"),
                       F.count_distinct("table_key").alias("tables"))
     n = F.col("by_type") + (F.col("by_name") if names else F.lit(0))
-    by_table = cols.filter("not_shared").groupBy("table_key").agg(
-        F.max("table_sources").alias("sources"), F.count(F.lit(1)).alias("columns_not_shared"))
     return outcome(totals, n >= th.get("min_count", 1), n,
-                   type_divergent_columns=examples(cols.filter("type_divergent"), ["table_key", "column_name"],
-                                                   "table_key", "column_name", "types"),
                    type_divergent_count=F.col("by_type"),
-                   name_divergent_tables=examples(by_table, ["table_key"], "table_key", "sources", "columns_not_shared"),
                    name_divergent_count=F.col("by_name"), flag_name_divergence=F.lit(names), shared_tables=F.col("tables"))
 
 
@@ -208,12 +191,9 @@ def _certified_warned(t, th):
     hits = m.certified_with_active_warning(t)
     if elevated:
         hits = hits.filter("is_elevated")
-    # the first warning of a source stands for it
-    per = hits.groupBy("id").agg(F.min_by(F.struct("name", "warning_type", "is_elevated"), "warning_id").alias("w")).select(
-        "id", F.coalesce("w.name", "id").alias("datasource"), "w.warning_type", "w.is_elevated")
+    per = hits.select("id").distinct()
     n = F.col("n")
-    return outcome(counted(per), n >= th.get("min_count", 1), n, count=n, require_elevated=F.lit(elevated),
-                   sources=examples(per, ["id"], "datasource", "warning_type", "is_elevated"))
+    return outcome(counted(per), n >= th.get("min_count", 1), n, count=n, require_elevated=F.lit(elevated))
 
 
 def rule_result(tables, flag_id: str, rules: dict | None = None) -> DataFrame:
@@ -286,15 +266,28 @@ def flag_evidence(tables, rules: dict | None = None) -> DataFrame:
         return df.select(F.lit(flag).alias("flag_id"), (F.col(item) if isinstance(item, str) else item).alias("item"),
                          value.cast("bigint").alias("value"))
 
-    groups, fan, per = tables["groups"], m.table_fanout(tables), m.fields_per_source(tables)
+    def limit(flag, name, default):
+        return th[flag].get(name, default)
+
+    groups, fan, per, cols = tables["groups"], m.table_fanout(tables), m.fields_per_source(tables), m.column_divergence(tables)
+    everyone, sensitive = limit("SEC-02", "everyone_grantees", catalog.EVERYONE), limit("SEC-02", "sensitive_capabilities", catalog.SENSITIVE)
+    warned = m.certified_with_active_warning(tables)
+    if limit("GOV-03", "require_elevated", False):
+        warned = warned.filter("is_elevated")
+    stale = m.failed_source_recent_views(tables).filter(F.col("last_viewed_days_ago") <= limit("DF-05", "viewed_within_days", 30))
+    column = F.concat_ws("/", "table_key", "column_name")
     return reduce(DataFrame.unionByName, [
         items("SEC-01", m.user_context_fields(tables), "id"),
-        items("SEC-02", m.permissive_grants(tables), F.concat_ws("/", "object_type", "object_id", "grantee_id", "capability")),
-        items("SEM-01", groups.filter(F.col("variant_count") > th["SEM-01"].get("variant_count_gt", 5)), "group_id", F.col("variant_count")),
-        items("SEM-04", per.filter(F.col("fields") > th["SEM-04"].get("max_field_count", 300)), "datasource_id", F.col("fields")),
-        items("DF-02", fan.filter(F.col("sources") > th["DF-02"].get("max_sources_per_table", 10)), "upstream_id", F.col("sources")),
+        items("SEC-02", m.permissive_grants(tables, everyone, sensitive), F.concat_ws("/", "object_type", "object_id", "grantee_id", "capability")),
+        items("SEM-01", groups.filter(F.col("variant_count") > limit("SEM-01", "variant_count_gt", 5)), "group_id", F.col("variant_count")),
+        items("SEM-02", contested_labels(tables, limit("SEM-02", "min_usage_variants", 2)), "label"),
+        items("SEM-04", per.filter(F.col("fields") > limit("SEM-04", "max_field_count", 300)), "datasource_id", F.col("fields")),
+        items("DF-02", fan.filter(F.col("sources") > limit("DF-02", "max_sources_per_table", 10)), "upstream_id", F.col("sources")),
         items("DF-04", m.sources_without_upstream(tables), "id"),
-        items("DF-08", m.column_divergence(tables).filter("type_divergent"), F.concat_ws("/", "table_key", "column_name"), F.col("types")),
+        items("DF-05", stale.select("datasource_id").distinct(), "datasource_id"),
+        items("DF-08", cols.filter("type_divergent"), F.concat_ws(":", F.lit("types"), column, "type_names"), F.col("types")),
+        items("DF-08", cols.filter("not_shared"), F.concat_ws(":", F.lit("column"), column), F.col("sources")),
         items("GOV-01", m.sources_missing_owner(tables), "id"),
+        items("GOV-03", warned, F.concat_ws("/", "id", "warning_id")),
         items("EST-01", u.zero_view_workbooks(tables), "id"),
     ])

@@ -97,9 +97,9 @@ _DETAIL = {"detail": """SELECT v.group_id, v.field_id, v.name AS field_name, v.u
     LEFT JOIN e_datasources d ON d.id=c.datasource_id""",
     "classed": rf"""SELECT *, CASE WHEN resolution_status<>'resolved' THEN 'unresolvable'
     WHEN regexp_matches(resolved_formula, '{USER_CTX}') THEN 'context_bound' WHEN role<>'MEASURE' THEN 'not_comparable'
-    ELSE 'executable' END AS executability_class, CASE WHEN resolution_status<>'resolved' THEN 'formula did not resolve ('||resolution_status||')'
-    WHEN regexp_matches(resolved_formula, '{USER_CTX}') THEN 'resolved formula depends on user context'
-    WHEN role<>'MEASURE' THEN 'field is not an aggregatable measure (role='||role||')' ELSE '' END AS untested_reason FROM detail"""}
+    ELSE 'executable' END AS executability_class, CASE WHEN resolution_status<>'resolved' THEN 'unresolved: '||resolution_status
+    WHEN regexp_matches(resolved_formula, '{USER_CTX}') THEN 'reads the signed-in user'
+    WHEN role<>'MEASURE' THEN 'not a measure but '||role ELSE '' END AS untested_reason FROM detail"""}
 add("variant_detail", lambda e: detail.variant_detail(e).select(
         "group_id", "field_id", "field_name", "resolution_status", "resolved_formula", "datasource_name", "owner"),
     "SELECT group_id, field_id, field_name, resolution_status, resolved_formula, datasource_name, owner FROM detail", _DETAIL)

@@ -85,17 +85,17 @@ add("load_interview", lambda e: _interview_scope(e),
 _REG = {"fcov": f"SELECT count(*) AS t, count(*) FILTER ({_BROKEN}) AS f FROM supplier",
         "proj_ok": f"SELECT count(*) AS n FROM e_projection JOIN supplier ON datasource_id='ds_'||s_suppkey WHERE NOT ({_BROKEN})",
         "own": "SELECT count(*) AS n, count(*) FILTER (coalesce(owner,'')='') AS gap FROM (SELECT owner FROM e_datasources UNION ALL SELECT owner FROM e_workbooks)",
-        "register": """SELECT 'projects' AS measure, 'ok' AS status, count(*)||' nodes' AS reason FROM nation UNION ALL SELECT 'datasources','ok',count(*)||' nodes' FROM supplier
-          UNION ALL SELECT 'workbooks','ok',count(*)||' nodes' FROM part UNION ALL SELECT 'custom_sql','ok',count(*)||' nodes' FROM customer
-          UNION ALL SELECT 'database_tables','ok',count(*)||' nodes' FROM part UNION ALL
-          SELECT 'data_quality_warnings','unavailable','not supported by this site''s Metadata API schema: Field ''isElevated'' is undefined'
-          UNION ALL SELECT 'fields', CASE WHEN f=0 THEN 'ok' WHEN f<t THEN 'partial' ELSE 'failed' END, f||' of '||t||' source field shards failed' FROM fcov
-          UNION ALL SELECT 'column_lineage','ok',n||' column projections captured' FROM proj_ok UNION ALL SELECT 'usage_events','ok',count(*)||' events' FROM usage
-          UNION ALL SELECT 'adoption_depth','skipped','usage events carry no per-user identity (aggregate counts only)'
-          UNION ALL SELECT 'refresh_jobs','ok',count(*)||' refresh records' FROM e_refresh UNION ALL SELECT 'permissions','ok',count(*)||' permission grants' FROM e_permissions
-          UNION ALL SELECT 'owner_attribution','partial','owner unavailable on '||gap||' of '||n||' objects (deployment/permission limited)' FROM own WHERE gap>0
-          UNION ALL SELECT 'query_execution','skipped','full mode only; scan mode never executes queries'
-          UNION ALL SELECT 'adoption_trajectory','skipped','retention < 90d; sourced from account records, not the scan'"""}
+        "register": """SELECT 'projects' AS measure, 'ok' AS status, count(*)||' rows read' AS reason FROM nation UNION ALL SELECT 'datasources','ok',count(*)||' rows read' FROM supplier
+          UNION ALL SELECT 'workbooks','ok',count(*)||' rows read' FROM part UNION ALL SELECT 'custom_sql','ok',count(*)||' rows read' FROM customer
+          UNION ALL SELECT 'database_tables','ok',count(*)||' rows read' FROM part UNION ALL
+          SELECT 'data_quality_warnings','unavailable','query refused by the schema: Field ''isElevated'' is undefined'
+          UNION ALL SELECT 'fields', CASE WHEN f=0 THEN 'ok' WHEN f<t THEN 'partial' ELSE 'failed' END, f||' of '||t||' field shards incomplete' FROM fcov
+          UNION ALL SELECT 'column_lineage','ok',n||' columns read' FROM proj_ok UNION ALL SELECT 'usage_events','ok',count(*)||' events read' FROM usage
+          UNION ALL SELECT 'adoption_depth','skipped','no event names a user'
+          UNION ALL SELECT 'refresh_jobs','ok',count(*)||' jobs read' FROM e_refresh UNION ALL SELECT 'permissions','ok',count(*)||' grants read' FROM e_permissions
+          UNION ALL SELECT 'owner_attribution','partial','no owner on '||gap||' of '||n||' objects' FROM own WHERE gap>0
+          UNION ALL SELECT 'query_execution','skipped','a scan reads metadata and runs no query'
+          UNION ALL SELECT 'adoption_trajectory','skipped','needs history longer than the event feed keeps'"""}
 
 
 def _register(e):
@@ -122,5 +122,5 @@ def _gates(e):
 add("coverage_register", _register, "SELECT measure, status, reason FROM register", _REG)
 add("coverage_gaps", lambda e: fnd.coverage_gaps(_register(e)), "SELECT measure, status, reason FROM register WHERE status<>'ok'", _REG)
 add("coverage_gate", _gates,
-    """SELECT m AS measure, coalesce(status='ok', false) AS measured, coalesce(status,'absent') AS status, coalesce(reason,'measure not recorded for this run') AS reason
+    """SELECT m AS measure, coalesce(status='ok', false) AS measured, coalesce(status,'absent') AS status, coalesce(reason,'no such row in the register') AS reason
        FROM (VALUES ('fields'),('usage_events'),('refresh_jobs'),('permissions'),('data_quality_warnings'),('nothing')) k(m) LEFT JOIN register ON measure=m""", _REG)

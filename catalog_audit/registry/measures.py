@@ -9,10 +9,11 @@ from catalog_audit.functions.names import humanize_code
 from catalog_audit.operators import graph, measures as m, stats, usage as u
 from catalog_audit.oracle.ctes import USER_CTX
 from catalog_audit.registry.base import add
+from catalog_audit.plans.catalog import broad_grant_policy
 
 add("user_context_fields", lambda e: m.user_context_fields(e).select("id", "name"),
     f"SELECT id, name FROM e_calc WHERE regexp_matches(formula, '{USER_CTX}')")
-add("permissive_grants", m.permissive_grants,
+add("permissive_grants", lambda e: m.permissive_grants(e, *broad_grant_policy()),
     """SELECT object_type, object_id, grantee_id, capability FROM e_permissions WHERE mode='Allow'
        AND grantee_id='AllUsers' AND capability IN ('Write','Delete','ChangePermissions','ProjectLeader')""")
 add("sources_missing_owner", m.sources_missing_owner,
@@ -32,9 +33,9 @@ add("sources_without_upstream", m.sources_without_upstream,
 add("certified_with_active_warning", m.certified_with_active_warning,
     """SELECT d.id, d.name, w.id AS warning_id, w.is_elevated, w.warning_type FROM e_dqw w JOIN e_datasources d
        ON d.luid=w.asset_luid WHERE w.is_active AND d.is_certified""")
-add("certified_clean", lambda e: m.certified_clean(e, 25),
+add("certified_clean", m.certified_clean,
     """SELECT id, name FROM e_datasources d WHERE is_certified AND NOT EXISTS (SELECT 1 FROM e_dqw w
-       WHERE w.asset_luid=d.luid AND w.is_active) ORDER BY id LIMIT 25""")
+       WHERE w.asset_luid=d.luid AND w.is_active)""")
 _FAILED = {"broken": """SELECT DISTINCT datasource_id FROM e_refresh r WHERE status='Failed' AND completed_at =
     (SELECT max(completed_at) FROM e_refresh x WHERE x.datasource_id=r.datasource_id)""",
     "failed_views": """SELECT DISTINCT l.upstream_id AS datasource_id, l.downstream_id AS workbook_id, last_viewed_days_ago
@@ -106,16 +107,16 @@ add("ownership_coverage", m.ownership_coverage,
 add("certification_coverage", m.certification_coverage,
     "SELECT (count(*) FILTER (is_certified))::DOUBLE/count(*) AS coverage FROM e_datasources")
 add("column_divergence", m.column_divergence,
-    """SELECT table_key, column_name, types, sources, table_sources, types>=2 AS type_divergent,
+    """SELECT table_key, column_name, types, type_names, sources, table_sources, types>=2 AS type_divergent,
        sources<table_sources AS not_shared FROM (SELECT table_key, column_name, count(DISTINCT field_data_type) AS types,
-       count(DISTINCT datasource_id) AS sources FROM e_projection GROUP BY 1,2) JOIN (SELECT table_key,
+       string_agg(DISTINCT field_data_type, ',' ORDER BY field_data_type) AS type_names, count(DISTINCT datasource_id) AS sources FROM e_projection GROUP BY 1,2) JOIN (SELECT table_key,
        count(DISTINCT datasource_id) AS table_sources FROM e_projection GROUP BY 1) USING (table_key) WHERE table_sources>=2""")
 add("columns_not_shared", m.columns_not_shared,
     """SELECT table_key, column_name, sources, table_sources FROM (SELECT table_key, column_name,
        count(DISTINCT datasource_id) AS sources FROM e_projection GROUP BY 1,2) JOIN (SELECT table_key,
        count(DISTINCT datasource_id) AS table_sources FROM e_projection GROUP BY 1) USING (table_key)
        WHERE table_sources>=2 AND sources<table_sources""")
-add("permission_exposure", m.permission_exposure,
+add("permission_exposure", lambda e: m.permission_exposure(e, *broad_grant_policy()),
     """SELECT capability, count(*) AS permissive_grants, count(DISTINCT object_type||':'||object_id) AS exposed_objects
        FROM e_permissions WHERE mode='Allow' AND grantee_id='AllUsers' AND capability IN
        ('Write','Delete','ChangePermissions','ProjectLeader') GROUP BY GROUPING SETS ((capability),())""")

@@ -63,16 +63,21 @@ add("rule_log", lambda e: rules.rule_log(e["outcomes"]),
     """SELECT flag_id, outcome, CASE outcome WHEN 'fired' THEN format('FLAG {} [{}] count={} facet={}', flag_id, severity, count, facet)
        WHEN 'suppressed' THEN format('SUPPRESSED {} (would_fire={}, count={})', flag_id, fires, count)
        WHEN 'unimplemented' THEN 'UNIMPLEMENTED '||flag_id ELSE format('SILENT {} count={}', flag_id, count) END AS line FROM outcomes""", _OUT)
-add("flag_evidence", lambda e: rules.flag_evidence(e).groupBy("flag_id").agg(F.count(F.lit(1)).alias("items"), F.min("item").alias("first_item")),
-    f"""SELECT flag_id, count(*) AS items, min(item) AS first_item FROM (SELECT 'SEC-01' AS flag_id, id AS item FROM e_calc WHERE regexp_matches(formula, '{USER_CTX}')
-        UNION ALL SELECT 'SEC-02', object_type||'/'||object_id||'/'||grantee_id||'/'||capability FROM e_permissions WHERE mode='Allow' AND grantee_id='AllUsers'
-        AND capability IN ('Write','Delete','ChangePermissions','ProjectLeader') UNION ALL SELECT 'SEM-01', group_id FROM groups WHERE variant_count>5
-        UNION ALL SELECT 'SEM-04', datasource_id FROM e_fields GROUP BY datasource_id HAVING count(*)>300 UNION ALL SELECT 'DF-02', upstream_id FROM fanout WHERE sources>10
-        UNION ALL SELECT 'DF-04', id FROM e_datasources d WHERE NOT EXISTS (SELECT 1 FROM e_lineage l WHERE l.downstream_type='datasource' AND l.downstream_id=d.id)
-        UNION ALL SELECT 'DF-08', table_key||'/'||column_name FROM e_projection WHERE table_key IN (SELECT table_key FROM e_projection GROUP BY 1
-        HAVING count(DISTINCT datasource_id)>=2) GROUP BY table_key, column_name HAVING count(DISTINCT field_data_type)>=2
-        UNION ALL SELECT 'GOV-01', id FROM e_datasources WHERE trim(coalesce(owner,''))=''
-        UNION ALL SELECT 'EST-01', id FROM e_workbooks w LEFT JOIN usage ON workbook_id=w.id WHERE coalesce(event_count,0)=0) GROUP BY 1""", _EXTRA)
+add("flag_evidence", rules.flag_evidence,
+    f"""SELECT 'SEC-01' AS flag_id, id AS item, NULL::BIGINT AS value FROM e_calc WHERE regexp_matches(formula, '{USER_CTX}')
+        UNION ALL SELECT 'SEC-02', object_type||'/'||object_id||'/'||grantee_id||'/'||capability, NULL FROM e_permissions WHERE mode='Allow' AND grantee_id='AllUsers'
+        AND capability IN ('Write','Delete','ChangePermissions','ProjectLeader') UNION ALL SELECT 'SEM-01', group_id, variant_count FROM groups WHERE variant_count>5
+        UNION ALL SELECT DISTINCT 'SEM-02', label, NULL::BIGINT FROM (SELECT group_id, label FROM variants GROUP BY 1,2 HAVING NOT bool_or(is_dominant) AND count(*) FILTER (views>0)>=2)
+        UNION ALL SELECT 'SEM-04', datasource_id, count(*) FROM e_fields GROUP BY datasource_id HAVING count(*)>300 UNION ALL SELECT 'DF-02', upstream_id, sources FROM fanout WHERE sources>10
+        UNION ALL SELECT 'DF-04', id, NULL FROM e_datasources d WHERE NOT EXISTS (SELECT 1 FROM e_lineage l WHERE l.downstream_type='datasource' AND l.downstream_id=d.id)
+        UNION ALL SELECT DISTINCT 'DF-05', datasource_id, NULL::BIGINT FROM failed_views WHERE last_viewed_days_ago<=30
+        UNION ALL SELECT 'DF-08', 'types:'||table_key||'/'||column_name||':'||names, types FROM evidence_cols WHERE types>=2
+        UNION ALL SELECT 'DF-08', 'column:'||table_key||'/'||column_name, sources FROM evidence_cols WHERE sources<table_sources
+        UNION ALL SELECT 'GOV-01', id, NULL FROM e_datasources WHERE trim(coalesce(owner,''))=''
+        UNION ALL SELECT 'GOV-03', d.id||'/'||w.id, NULL FROM e_dqw w JOIN e_datasources d ON d.luid=w.asset_luid WHERE w.is_active AND d.is_certified
+        UNION ALL SELECT 'EST-01', id, NULL FROM e_workbooks w LEFT JOIN usage ON workbook_id=w.id WHERE coalesce(event_count,0)=0""", _EXTRA | {"evidence_cols": """SELECT table_key, column_name, count(DISTINCT field_data_type) AS types, string_agg(DISTINCT field_data_type, ',' ORDER BY field_data_type) AS names,
+        count(DISTINCT datasource_id) AS sources, any_value(table_sources) AS table_sources FROM e_projection JOIN (SELECT table_key, count(DISTINCT datasource_id) AS table_sources
+        FROM e_projection GROUP BY 1 HAVING count(DISTINCT datasource_id)>=2) USING (table_key) GROUP BY 1,2"""})
 
 
 def _q(text):
@@ -177,11 +182,11 @@ add("governance_posture", fnd.governance_posture,
        UNION ALL SELECT 'detective','certification',true,CASE WHEN count(*) FILTER (is_certified)>0 THEN 'in_use' ELSE 'not_exercised' END, count(*) FILTER (is_certified), count(*) FROM e_datasources
        UNION ALL SELECT 'detective','data_quality_warnings',true,CASE WHEN count(*)>0 THEN 'in_use' ELSE 'not_exercised' END, count(*), count(*) FILTER (is_active) FROM e_dqw""")
 add("posture_examples", fnd.posture_examples,
-    """SELECT arc, kind, item, total FROM (SELECT *, row_number() OVER (PARTITION BY arc, kind ORDER BY item) AS rn, count(*) OVER (PARTITION BY arc, kind) AS total FROM (
+    """SELECT arc, kind, item, total FROM (SELECT *, count(*) OVER (PARTITION BY arc, kind) AS total FROM (
        SELECT 'preventive' AS arc, CASE WHEN grantee_id='AllUsers' THEN 'bad' ELSE 'good' END AS kind, object_type||'/'||object_id||'/'||grantee_id||'/'||capability AS item
        FROM e_permissions WHERE mode='Allow' AND capability IN ('Write','Delete','ChangePermissions','ProjectLeader')
        UNION ALL SELECT 'detective', CASE WHEN EXISTS (SELECT 1 FROM e_dqw w WHERE w.asset_luid=d.luid AND w.is_active) THEN 'bad' ELSE 'good' END, d.id
-       FROM e_datasources d WHERE d.is_certified)) WHERE rn<=10""")
+       FROM e_datasources d WHERE d.is_certified))""")
 add("run_meta", lambda e: fnd.run_meta(e, e.run_id),
     """SELECT 'run_current' AS run_id, '1.0' AS tool_version, 'local' AS grouping_mode, 'events' AS adoption_source,
        strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS usage_from, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS usage_to, count(*) AS usage_events FROM events""")

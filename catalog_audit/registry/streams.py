@@ -34,7 +34,7 @@ def _jobs(e):
 
 def _ingest(e):
     folder = stage_path(e.spark, "landed-workbooks")
-    pages(e, "workbooks").repartition(3, "seq").write.json(folder)
+    pages(e, "workbooks").write.json(folder)
     return sp.stream_page_ingest(e.spark, folder, "workbooks")
 
 

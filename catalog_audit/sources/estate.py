@@ -315,11 +315,11 @@ class Estate(Mapping):
 
 # Interview answers and declared domains of the derived estate.
 INTERVIEW = [
-    {"facet": "governance.preventive", "score": 4, "note": "reviewed", "source_role": "security_lead"},
-    {"facet": "governance.detective", "score": 4, "note": "alerts", "source_role": "data_lead"},
-    {"facet": "governance.corrective", "score": 3, "note": "ad hoc", "source_role": "data_lead"},
-    {"facet": "semantic.singularity", "score": 5, "note": "one truth", "source_role": "analytics_lead"},
-    {"facet": "semantic.consensus", "score": 2, "note": "tie-out fails", "source_role": "finance_lead"},
+    {"facet": "governance.preventive", "score": 4, "note": "checked each quarter", "source_role": "access_admin"},
+    {"facet": "governance.detective", "score": 4, "note": "mails on failure", "source_role": "platform_owner"},
+    {"facet": "governance.corrective", "score": 3, "note": "case by case", "source_role": "platform_owner"},
+    {"facet": "semantic.singularity", "score": 5, "note": "shared list kept", "source_role": "report_owner"},
+    {"facet": "semantic.consensus", "score": 2, "note": "totals differ", "source_role": "controller"},
 ]
 DOMAINS = [("revenue_ops", 5), ("all", 3)]
 

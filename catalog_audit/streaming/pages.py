@@ -10,14 +10,15 @@ from catalog_audit.sources.upsert import upsert_last_wins
 from catalog_audit.streaming.sinks import run_available
 
 
-def stream_page_ingest(spark: SparkSession, folder: str, query: str, key: str = "id", max_files: int = 1,
+def stream_page_ingest(spark: SparkSession, folder: str, query: str, key: str = "id", max_files: int | None = None,
                        path: str | None = None) -> DataFrame:
     """Latest node per key from pages that keep arriving in ``folder``.
 
     The file source remembers what it has read, so a restart with the same ``path``
     resumes; re-landed pages only rewrite the same keys.
     """
-    pages = spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", max_files).json(folder)
+    reader = spark.readStream.schema(PAGE_SCHEMA)
+    pages = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).json(folder)
     nodes = accepted_nodes(pages, query, flatten.NODES[query])
     table = run_available(nodes, f"pages-{query}", mode="append", path=path)
     return upsert_last_wins(table, [key], ["seq", "pos", "batch"]).drop("seq", "pos", "batch")

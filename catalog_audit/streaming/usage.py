@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 from catalog_audit.streaming.sinks import as_instant, latest, run_available
 
 
-def daily_views(events: DataFrame, luid_map: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Views per workbook and day. Input: event_id, item_luid, event_name, event_ts.
+def view_rows(events: DataFrame, luid_map: DataFrame) -> DataFrame:
+    """One narrow row per view of a known item: event_id, day, workbook_id. The identifier map is static."""
+    views = events.filter("event_name = 'view' AND item_luid IS NOT NULL").withColumn("day", F.date_trunc("day", as_instant("event_ts")))
+    return views.join(luid_map, views["item_luid"] == luid_map["luid"]).select("event_id", "day", "workbook_id")
 
-    Repeated event ids within the watermark count once; the identifier map is static.
-    """
-    views = (events.withColumn("event_ts", as_instant("event_ts")).withWatermark("event_ts", delay)
-             .filter("event_name = 'view' AND item_luid IS NOT NULL").dropDuplicatesWithinWatermark(["event_id"]))
-    return (views.join(luid_map, views["item_luid"] == luid_map["luid"])
-            .groupBy(F.window("event_ts", "1 day").alias("w"), "workbook_id").agg(F.count(F.lit(1)).alias("views"))
-            .select(F.col("w.start").alias("day"), "workbook_id", "views"))
+
+def daily_views(rows: DataFrame) -> DataFrame:
+    """Views per workbook and day; an event id counts once however often it arrived, an event without id always."""
+    named = rows.filter("event_id IS NOT NULL").groupBy("event_id", "workbook_id").agg(F.min("day").alias("day"))
+    every = named.select("day", "workbook_id").unionByName(rows.filter("event_id IS NULL").select("day", "workbook_id"))
+    return every.groupBy("day", "workbook_id").agg(F.count(F.lit(1)).alias("views"))
 
 
-def stream_usage_rollup(events: DataFrame, luid_map: DataFrame, delay: str = "2 days", path: str | None = None) -> DataFrame:
-    return latest(run_available(daily_views(events, luid_map, delay), "daily-views", path=path), ["day", "workbook_id"])
+def stream_usage_rollup(events: DataFrame, luid_map: DataFrame, path: str | None = None) -> DataFrame:
+    """The daily roll-up of everything that has arrived.
+
+    The stream itself keeps no state: it appends view rows, and repeats and totals are settled when the table is
+    read. So no event is too late, and how files fall into micro-batches cannot change the result.
+    """
+    return daily_views(run_available(view_rows(events, luid_map), "view-rows", mode="append", path=path))
 
 
 def trailing_views(daily: DataFrame, days: int = 30) -> DataFrame:

@@ -171,9 +171,9 @@ def test_variant_classes(frame):
     t["fields"] = frame("id string, datasource_id string, role string, data_type string", [
         ("a", "ds", "measure", ""), ("b", "ds", "MEASURE", ""), ("c", "ds", "MEASURE", ""), ("d", "ds", "DIMENSION", ""), ("e", "none", "MEASURE", "")])
     got = {r.field_id: (r.executability_class, r.untested_reason) for r in detail.variant_class(t).collect()}
-    assert got["a"] == ("executable", "") and got["b"] == ("unresolvable", "formula did not resolve (cycle)")
-    assert got["c"][0] == "context_bound" and got["d"] == ("not_comparable", "field is not an aggregatable measure (role=DIMENSION)")
-    assert got["e"] == ("unresolvable", "formula did not resolve (no resolution)")
+    assert got["a"] == ("executable", "") and got["b"] == ("unresolvable", "unresolved: cycle")
+    assert got["c"][0] == "context_bound" and got["d"] == ("not_comparable", "not a measure but DIMENSION")
+    assert got["e"] == ("unresolvable", "unresolved: no resolution")
 
 
 def test_redaction_and_secret_guard(frame, estate, tmp_path):

@@ -58,9 +58,9 @@ def test_partial_page_is_never_loaded(land):
     assert rows(flatten.load_projects(df)) == [("p1", "A", None), ("p2", "B", "p3"), ("p3", "A", None)]  # of two projects named A the last
     assert flatten.load_workbooks(df).count() == 0
     reg = {r.measure: (r.status, r.reason) for r in coverage_register(df).collect()}
-    assert reg["projects"] == ("ok", "3 nodes") and reg["workbooks"][0] == "failed" and reg["custom_sql"][0] == "unavailable"
-    assert reg["fields"] == ("failed", "no data sources to extract fields from") and reg["column_lineage"][0] == "skipped"
-    assert reg["usage_events"] == ("skipped", "no REST transport") and reg["datasources"] == ("failed", "shard published_datasources did not complete")
+    assert reg["projects"] == ("ok", "3 rows read") and reg["workbooks"][0] == "failed" and reg["custom_sql"][0] == "unavailable"
+    assert reg["fields"] == ("failed", "no sources, so no field shards") and reg["column_lineage"][0] == "skipped"
+    assert reg["usage_events"] == ("skipped", "feed not landed") and reg["datasources"] == ("failed", "incomplete: published_datasources")
 
 
 def test_fields_and_projection(land):
@@ -100,8 +100,8 @@ def test_rest_lists_in_any_container(land):
                                                   ("workbook", "w:1", "user", "u", "Read", "Allow")]
     assert rows(flatten.load_usage(df), "workbook_id", "event_count") == [("a", 3), ("b", 2)]
     reg = {r.measure: (r.status, r.reason) for r in coverage_register(df).collect()}
-    assert reg["adoption_depth"] == ("ok", "1 of 2 events carry a user identity") and reg["refresh_jobs"] == ("failed", "REST status 404")
-    assert reg["permissions"] == ("ok", "3 permission grants")
+    assert reg["adoption_depth"] == ("ok", "user id on 1 of 2 events") and reg["refresh_jobs"] == ("failed", "REST status 404")
+    assert reg["permissions"] == ("ok", "3 grants read")
 
 
 def test_ingest_is_idempotent_and_resumes(spark, land, tmp_path):

@@ -14,19 +14,33 @@ def write(frame, folder, i, data):
 def test_late_events_and_repeats(spark, frame, tmp_path):
     folder = str(tmp_path / "events")
     write(frame, folder, 1, [(1, "v1", "view", "2025-01-10 10:00:00"), (1, "v1", "view", "2025-01-10 10:00:00"), (2, "v1", "edit", "2025-01-10 11:00:00"),
-                             (3, "v2", "view", "2025-01-11 09:00:00"), (9, "ghost", "view", "2025-01-11 09:00:00")])
+                             (3, "v2", "view", "2025-01-11 09:00:00"), (9, "ghost", "view", "2025-01-11 09:00:00"), (None, "v2", "view", "2025-01-11 09:00:00")])
     luids = frame("luid string, workbook_id string", [("v1", "A"), ("v2", "A")])
 
     def run():
         stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(folder)
-        return su.stream_usage_rollup(stream, luids, "2 days", path=str(tmp_path / "state")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+        return su.stream_usage_rollup(stream, luids, path=str(tmp_path / "state")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
-    assert rows(run(), "day", "workbook_id", "views") == [("2025-01-10", "A", 1), ("2025-01-11", "A", 1)]
-    # within the watermark a late event counts; a day beyond it is dropped
-    write(frame, folder, 2, [(4, "v1", "view", "2025-01-10 23:00:00"), (5, "v1", "view", "2025-01-20 01:00:00")])
+    assert rows(run(), "day", "workbook_id", "views") == [("2025-01-10", "A", 1), ("2025-01-11", "A", 2)]
+    write(frame, folder, 2, [(5, "v1", "view", "2025-01-20 01:00:00"), (1, "v1", "view", "2025-01-10 10:00:00")])
     run()
+    # ten days late, and still counted
     write(frame, folder, 3, [(6, "v1", "view", "2025-01-10 23:30:00"), (7, "v2", "view", "2025-01-20 02:00:00")])
-    assert rows(run(), "day", "views") == [("2025-01-10", 2), ("2025-01-11", 1), ("2025-01-20", 2)]
+    assert rows(run(), "day", "views") == [("2025-01-10", 2), ("2025-01-11", 2), ("2025-01-20", 2)]
+
+
+def test_batches_do_not_change_the_total(spark, frame, tmp_path):
+    folder = str(tmp_path / "events")
+    data = [(k % 150, f"v{k % 3}", "view", f"2025-02-{k * 7 % 27 + 1:02d} 10:00:00") for k in range(0, 400, 2)]
+    data = [(k, i, n, f"2025-02-{k % 27 + 1:02d} 10:00:00") for k, i, n, _ in data]
+    df = frame("event_id bigint, item_luid string, event_name string, ts string", data)
+    df.select("event_id", "item_luid", "event_name", F.to_timestamp("ts").alias("event_ts")).repartition(20).write.parquet(folder)
+    luids = frame("luid string, workbook_id string", [("v0", "A"), ("v1", "B"), ("v2", "C")])
+    got = []
+    for n in (1, 3, 20):
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", n).parquet(folder)
+        got.append(rows(su.stream_usage_rollup(stream, luids, path=str(tmp_path / f"state{n}"))))
+    assert got[0] == got[1] == got[2] and sum(r[2] for r in got[0]) == len({(k, i) for k, i, *_ in data})
 
 
 def test_trailing_windows(frame):
