@@ -11,11 +11,12 @@ import numpy as np
 import pyarrow as pa
 
 TOKENS_PER_SHARD = 4_000_000
+LEAST_SHARDS = 32
 SCHEMA = "shard int, doc_id long, n_words long, known double, {}"
 
 
 def shard_count(tokens: int) -> int:
-    return max(8, -(-tokens // TOKENS_PER_SHARD))
+    return max(LEAST_SHARDS, -(-tokens // TOKENS_PER_SHARD))
 
 
 def packed(ids: pa.Array, n_words: np.ndarray, known: np.ndarray, shards: int,

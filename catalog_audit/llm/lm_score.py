@@ -140,11 +140,10 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     gram = F.concat(F.transform("pairs", lambda p: F.struct(F.lit(2).alias("order"), p.cast("long").alias("gram"))),
                     F.transform("words", lambda h: F.struct(F.lit(1).alias("order"), h.alias("gram"))))
     each = dealt.select("doc_id", "shard", "n_words", "known", F.posexplode_outer(gram).alias("pos", "g"))
-    # a text without grams in its first shard stands alone under its own id
-    key = [F.coalesce("g.gram", "doc_id"), F.coalesce("g.order", F.lit(0)), "shard"]
-    counted = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*key)))
-    once = F.coalesce("pos", F.lit(0)) == 0
-    scored = counted.groupBy("doc_id").agg(
-        F.sum(F.when(once, F.col("n_words")).otherwise(0)).alias("n_words"),
-        (F.sum(F.when(once, F.col("known")).otherwise(0.0)) + F.sum(F.when(F.col("g").isNotNull(), F.ln("n")).otherwise(0.0))).alias("log_score"))
+    # narrow rows: what is sorted is little more than the gram. A text without grams in a shard stands alone under its id
+    narrow = each.select("doc_id", "shard", F.coalesce("g.gram", "doc_id").alias("gram"), F.coalesce("g.order", F.lit(0)).alias("order"),
+                         *[F.when(F.coalesce("pos", F.lit(0)) == 0, F.col(c)).alias(c) for c in ("n_words", "known")])
+    counted = narrow.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram", "order", "shard")))
+    scored = counted.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), (
+        F.sum("known") + F.sum(F.when(F.col("order") > 0, F.ln("n")).otherwise(0.0))).alias("log_score"))
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
