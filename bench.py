@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -30,7 +31,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g")
-             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
+             .config("spark.ui.enabled", "false").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="stages-")).config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     small = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     for name in HEADLINE:  # one estate: stages are shared, only the plans are warmed

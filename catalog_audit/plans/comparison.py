@@ -17,6 +17,30 @@ GUARDS = {
 }
 
 
+def voids(runs: DataFrame, run: str, baseline: str, current: str) -> DataFrame:
+    """One row (subjects, reason): what a comparison of two runs may not state, by the attributes of ``GUARDS`` that differ.
+
+    A run that is missing from ``runs`` voids everything.
+    """
+    of = {tag: runs.filter(F.col(run) == name).agg(F.max(F.struct(*[F.col(a).cast("string").alias(a) for a in GUARDS])).alias("r"))
+          for tag, name in (("b", baseline), ("c", current))}
+    both = of["b"].withColumn("c", of["c"].select("r").scalar())
+    absent = F.col("r").isNull() | F.col("c").isNull()
+    differ = [F.when(~F.col(f"r.{a}").eqNullSafe(F.col(f"c.{a}")), F.struct(F.lit(a).alias("attribute"), F.lit(s).alias("subject"))) for a, s in GUARDS.items()]
+    found = both.select(absent.alias("absent"), F.array_compact(F.array(*differ)).alias("found"))
+    return found.select(
+        F.when(F.col("absent"), F.array(F.lit("all"))).otherwise(F.array_distinct(F.transform("found", lambda x: x["subject"]))).alias("subjects"),
+        F.when(F.col("absent"), "run not recorded").otherwise(F.array_join(F.transform("found", lambda x: x["attribute"]), ",")).alias("reason"))
+
+
+def guarded(comparison: DataFrame, guard: DataFrame, subject: str, stated: list[str]) -> DataFrame:
+    """``comparison`` with a verdict: where the guard voids its subject, what it states is removed and the reason given."""
+    one = comparison.withColumn("_subjects", guard.select("subjects").scalar()).withColumn("_reason", guard.select("reason").scalar())
+    void = F.array_contains("_subjects", subject) | F.array_contains("_subjects", "all")
+    return one.withColumns({c: F.when(~void, F.col(c)) for c in stated}).withColumns({
+        "verdict": F.when(void, "incomparable").otherwise("comparable"), "void_reason": F.when(void, F.col("_reason")).otherwise("")}).drop("_subjects", "_reason")
+
+
 def flag_states(tables, rules_doc: dict | None = None) -> DataFrame:
     """Every evaluated, unsuppressed flag with its count and whether it fires."""
     doc = rules_doc or catalog.load_rules()

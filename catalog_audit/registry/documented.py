@@ -57,6 +57,15 @@ add("variant_convergence", lambda e: cmp.variant_convergence(baseline(e), e).sel
     """SELECT split_part(concept_key, ':', 1) AS kind, b.variant_count AS baseline_variants, c.variant_count AS current_variants, b.won AS baseline_dominant, c.won AS current_dominant
        FROM (SELECT concept_key, variant_count, (SELECT bool_or(is_dominant) FROM variants_b v WHERE v.group_id=g.group_id) AS won FROM groups_b g) b FULL JOIN
        (SELECT concept_key, variant_count, (SELECT bool_or(is_dominant) FROM variants v WHERE v.group_id=g.group_id) AS won FROM groups g) c USING (concept_key)""", _OLD)
+def _guarded_movement(e):
+    """Facet movement between two runs whose headers are the oldest and the newest order."""
+    runs = e.raw("orders").select(F.col("o_orderkey").alias("run"), *[F.expr(x).alias(a) for a, x in _ATTRIBUTES.items()])
+    ends = runs.agg(F.min("run").alias("a"), F.max("run").alias("b"))
+    named = runs.withColumn("run", F.when(F.col("run") == ends.select("a").scalar(), "first").when(F.col("run") == ends.select("b").scalar(), "last"))
+    moved = cmp.facet_movement(scoring.facet_threshold_scores(baseline(e)), scoring.facet_threshold_scores(e))
+    return cmp.guarded(moved, cmp.voids(named, "run", "first", "last"), "facets", ["delta"])
+
+
 add("estate_drift", lambda e: cmp.estate_drift(earlier_lineage(e), e),
     """SELECT kind, count(*) FILTER (b IS NULL) AS new_debt, count(*) FILTER (c IS NULL) AS cleared_debt, count(*) FILTER (b IS NOT NULL AND c IS NOT NULL) AS persisting
        FROM (SELECT kind, item, 1 AS b FROM debt_then) FULL JOIN (SELECT kind, item, 1 AS c FROM debt_now) USING (kind, item) GROUP BY 1""",
@@ -70,15 +79,25 @@ add("coverage_change", lambda e: cmp.coverage_change(_register(e), e["coverage"]
        WHEN coalesce(b.status='ok',false) AND NOT coalesce(c.status='ok',false) THEN 'newly missing' ELSE 'unchanged' END AS change
        FROM register b FULL JOIN (SELECT unnest(['projects','datasources','workbooks','fields','column_lineage','custom_sql','database_tables','data_quality_warnings',
        'usage_events','adoption_depth','refresh_jobs','permissions','lineage','views']) AS measure, 'ok' AS status) c USING (measure)""", _REG)
+_ATTRIBUTES = {"query_set_version": "o_orderpriority", "rules_version": "o_orderstatus", "domain_map": "o_totalprice > 150000", "adoption_source": "o_orderkey % 2",
+               "grouping_mode": "o_custkey % 2", "tool_version": "year(o_orderdate)"}
 add("comparability_guard", lambda e: cmp.comparability_guard(
-        e.raw("orders").select(F.col("o_custkey").alias("site"), F.col("o_orderkey").alias("run"), F.col("o_orderpriority").alias("query_set_version"),
-                               F.col("o_orderstatus").alias("rules_version"), (F.col("o_orderkey") % 2).alias("adoption_source")),
-        "site", "run", ["query_set_version", "rules_version", "adoption_source"]),
-    """SELECT site, run, CASE WHEN mm='' THEN 'comparable' ELSE 'incomparable' END AS verdict, mm AS mismatches FROM (SELECT o.o_custkey AS site, o.o_orderkey AS run,
-       array_to_string(list_filter([CASE WHEN o.o_orderpriority IS DISTINCT FROM b.o_orderpriority THEN 'query_set_version' END,
-       CASE WHEN o.o_orderstatus IS DISTINCT FROM b.o_orderstatus THEN 'rules_version' END, CASE WHEN o.o_orderkey%2<>b.o_orderkey%2 THEN 'adoption_source' END],
-       lambda x: x IS NOT NULL), ',') AS mm FROM orders o JOIN (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY 1) f USING (o_custkey)
-       JOIN orders b ON b.o_orderkey=f.k WHERE o.o_orderkey>f.k)""")
+        e.raw("orders").select(F.col("o_custkey").alias("site"), F.col("o_orderkey").alias("run"), *[F.expr(x).alias(a) for a, x in _ATTRIBUTES.items()]),
+        "site", "run", list(_ATTRIBUTES)),
+    """SELECT site, run, CASE WHEN mm='' THEN 'comparable' ELSE 'incomparable' END AS verdict, mm AS mismatches FROM (SELECT o.site, o.run, array_to_string(list_filter([
+       """ + ", ".join(f"CASE WHEN o.{a} IS DISTINCT FROM b.{a} THEN '{a}' END" for a in _ATTRIBUTES) + """], lambda x: x IS NOT NULL), ',') AS mm
+       FROM order_runs o JOIN (SELECT site, min(run) AS k FROM order_runs GROUP BY 1) f USING (site) JOIN order_runs b ON b.run=f.k WHERE o.run>f.k)""",
+    {"order_runs": "SELECT o_custkey AS site, o_orderkey AS run, " + ", ".join(f"{x} AS {a}" for a, x in _ATTRIBUTES.items()) + " FROM orders"})
+add("guarded_movement", lambda e: _guarded_movement(e),
+    """SELECT m.id, m.baseline_score, m.current_score, CASE WHEN g.facets_void THEN NULL ELSE m.delta END AS delta,
+       CASE WHEN g.facets_void THEN 'incomparable' ELSE 'comparable' END AS verdict, CASE WHEN g.facets_void THEN g.why ELSE '' END AS void_reason
+       FROM (SELECT id, b.score AS baseline_score, c.score AS current_score, c.score-b.score AS delta FROM banded_then b FULL JOIN banded c USING (id)) m,
+       (SELECT b.query_set_version<>c.query_set_version OR b.rules_version<>c.rules_version OR b.tool_version<>c.tool_version AS facets_void,
+        array_to_string(list_filter([""" + ", ".join(f"CASE WHEN b.{a} IS DISTINCT FROM c.{a} THEN '{a}' END" for a in (
+            "query_set_version", "rules_version", "domain_map", "adoption_source", "grouping_mode", "tool_version")) + """], lambda x: x IS NOT NULL), ',') AS why
+        FROM order_runs b, order_runs c WHERE b.run=(SELECT min(run) FROM order_runs) AND c.run=(SELECT max(run) FROM order_runs)) g""",
+    _SCORES | _OLD | {"banded_then": _before(_SCORES["banded"], _CHAIN),
+                      "order_runs": "SELECT o_custkey AS site, o_orderkey AS run, " + ", ".join(f"{x} AS {a}" for a, x in _ATTRIBUTES.items()) + " FROM orders"})
 add("stale_refresh", lambda e: doc.stale_refresh(e, "2001-08-20").withColumn("age_days", F.col("age_days").cast("bigint")),
     """SELECT datasource_id, age_days FROM (SELECT datasource_id, date_diff('day', min(completed_at)::DATE, max(completed_at)::DATE)::DOUBLE/(count(*)-1) AS iv,
        date_diff('day', (max(completed_at) FILTER (status<>'Failed'))::DATE, DATE '2001-08-20') AS age_days FROM e_refresh GROUP BY 1)

@@ -89,3 +89,19 @@ def test_rules_file_changes_a_threshold(tmp_path):
 def test_no_top_level_score():
     from catalog_audit.plans.reporting import SECTIONS
     assert "score" not in SECTIONS
+
+
+def test_comparisons_are_voided_by_the_guard(frame):
+    from catalog_audit.plans import comparison as cmp
+    head = "run string, query_set_version string, rules_version string, domain_map string, adoption_source string, grouping_mode string, tool_version string"
+    runs = frame(head, [("a", "1", "1", "m", "events", "local", "1"), ("b", "1", "2", "m", "events", "local", "1"),
+                        ("c", "1", "1", "m", "events", "full", "1"), ("d", "1", "1", "m", "events", "local", "2")])
+    moved = frame("id string, delta int", [("f", 2)])
+
+    def state(run, subject):
+        r = cmp.guarded(moved, cmp.voids(runs, "run", "a", run), subject, ["delta"]).first()
+        return r.delta, r.verdict, r.void_reason
+
+    assert state("b", "facets") == (None, "incomparable", "rules_version") and state("b", "variants") == (2, "comparable", "")
+    assert state("c", "variants")[1:] == ("incomparable", "grouping_mode") and state("c", "facets")[0] == 2
+    assert state("d", "usage") == (None, "incomparable", "tool_version") and state("x", "usage")[2] == "run not recorded"
