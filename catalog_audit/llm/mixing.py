@@ -60,9 +60,9 @@ def rates(docs: DataFrame, source: str = "source", weights: Mapping[str | None,
         for name, w in weights.items():
             raw = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(raw)
     weighed = counts.withColumn("raw", raw)
-    total = weighed.agg(F.sum("documents").alias("all_documents"), F.sum("raw").alias("all_raw"))
-    known = weighed.join(F.broadcast(total))  # one row
-    share, weight = F.col("documents") / F.col("all_documents"), F.col("raw") / F.col("all_raw")
+    documents, raw = (weighed.agg(F.sum(c).alias("n")).scalar() for c in ("documents", "raw"))
+    known = weighed
+    share, weight = F.col("documents") / documents, F.try_divide(F.col("raw"), raw)
     known = known.select("source", "documents", share.alias("share"), F.coalesce(weight, F.lit(0.0)).alias("weight"))
     return known.withColumn("mean", F.lit(float(epochs)) * F.col("weight") / F.col("share")).withColumn("steps", poisson_steps(F.col("mean")))
 

@@ -13,7 +13,7 @@ def per_class(rows: DataFrame, label: str, total: int, *key: Column | str, seed:
     expected size is ``total`` at any table size; the caller cuts the collected rows at twice that.
     """
     counts = rows.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_rows"))
-    classes = counts.agg(F.count(F.lit(1)).alias("_classes"))
-    share = counts.join(F.broadcast(classes)).select("_class", (F.lit(float(total)) / F.col("_classes") / F.col("_rows")).alias("_share"))  # one row
+    classes = counts.agg(F.count(F.lit(1)).alias("n")).scalar()
+    share = counts.select("_class", (F.lit(float(total)) / classes / F.col("_rows")).alias("_share"))
     number = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 52)).cast("double") / float(1 << 52)
     return rows.join(share, F.col(label) == F.col("_class")).where(number < F.col("_share")).drop("_class", "_share").limit(2 * total)
