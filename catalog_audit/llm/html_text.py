@@ -3,9 +3,9 @@
 Pages of one host come from a few templates. A page is read as tokens: each tag with its path of open elements, and each
 text outside the article as a whole. Two tokens are equivalent on a host when their occurrence vectors, how often each page
 holds them, are equal; the vector is kept as a combinable 64-bit digest, so a host with a third of all pages is
-one map-side aggregate like any other. Classes that occur on at least ``SUPPORT`` of the host's pages and whose tokens keep
-one order are valid. They nest by their paths: a class seen several times a page lies in a slot of the class
-that holds its parent. The valid classes are the host's template, everything between their tokens is slots.
+one map-side aggregate like any other. Classes that occur on at least ``SUPPORT`` of the host's pages are valid,
+their tokens in order of mean place. They nest: a class lies in a slot of the class that holds its first token's parent
+element, which is at least as frequent. The valid classes are the host's template, everything between their tokens is slots.
 
 Extraction joins each page with its host's template. Text that is itself a template token is page furniture. A slot is
 furniture when an element around it says so by tag or by a word of its class, id or role, or, outside an article, when
@@ -56,12 +56,13 @@ _WORD = re.compile(r"[a-z0-9]+")
 
 
 class Element:
-    __slots__ = ("name", "path", "furniture", "inside", "link", "token")
+    __slots__ = ("name", "path", "furniture", "inside", "link", "token", "parent")
 
     def __init__(self, name: str, words: tuple[str, ...], parent: "Element | None"):
         self.name = name
         self.path = f"{parent.path if parent else ''}/{name}" + ("." + ".".join(words) if words else "")
         self.token = _digest(self.path)
+        self.parent = parent.token if parent else 0
         self.inside = bool(parent and parent.inside) or name in ("article", "main") or "main" in words and name != "body"
         self.link = bool(parent and parent.link) or name == "a"
         marked = name in FURNITURE or any(w in MARKS for w in words) and name not in ("html", "body", "article", "main")
@@ -124,20 +125,20 @@ def read(source: str) -> Iterator[tuple[str, Element | None, str]]:
 
 
 def page_tokens(source: str) -> dict[int, list]:
-    """token -> [times, first place, kind, text after it, linked text after it]; kind 0 tag, 1 article or main, 2 text."""
+    """token -> [times, first place, kind, text after it, linked text after it, parent]; kind 0 tag, 1 article or main, 2 text."""
     out: dict[int, list] = {}
     last = None
     for place, (what, element, text) in enumerate(read(source)):
         if what == "open":
             kind = int(element.name in ("article", "main"))
-            last = out.setdefault(element.token, [0, place, kind, 0, 0])
+            last = out.setdefault(element.token, [0, place, kind, 0, 0, element.parent])
             last[0] += 1
         elif what == "text" and (text := " ".join(entities.unescape(text).split())):
             if last is not None:
                 last[3] += len(text)
                 last[4] += len(text) * bool(element and element.link)
             if element is None or not element.inside:
-                out.setdefault(_text_token(element, text), [0, place, 2, 0, 0])[0] += 1
+                out.setdefault(_text_token(element, text), [0, place, 2, 0, 0, element.token if element else 0])[0] += 1
     return out
 
 
@@ -146,10 +147,10 @@ def _text_token(element: Element | None, text: str) -> int:
 
 
 def occurrences(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """(host, page, token, times, place, kind, chars, linked): one row per page and distinct token."""
+    """(host, page, token, times, place, kind, chars, linked, parent): one row per page and distinct token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "page", "token", "times", "place", "kind", "chars", "linked"]
+        names = ["host", "page", "token", "times", "place", "kind", "chars", "linked", "parent"]
         for batch in batches:
             hosts, keys, rows = [], [], []
             for host, page, source in zip(*[c.to_pylist() for c in batch.columns]):
@@ -157,33 +158,39 @@ def occurrences(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
                     hosts.append(host)
                     keys.append(page)
                     rows.append((token, *row))
-            block = np.array(rows, np.int64).reshape(-1, 6)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), *[pa.array(block[:, k]) for k in range(6)]], names)
+            block = np.array(rows, np.int64).reshape(-1, 7)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), *[pa.array(block[:, k]) for k in range(7)]], names)
 
     own = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(key, html).alias("page"), F.col(html).alias("html"))
-    return own.mapInArrow(run, "host string, page long, token long, times long, place long, kind long, chars long, linked long")
+    return own.mapInArrow(run, "host string, page long, token long, times long, place long, kind long, chars long, linked long, parent long")
 
 
 def templates(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(host, pages, classes, tags, furniture, has_main): the template of every host with enough pages.
 
-    ``tags`` and ``furniture`` hold the tokens of valid classes: tags, and texts or link slots that are page furniture.
+    ``classes`` holds, per valid class, its digest, the digest of the class it is nested in (null at the top), its size and
+    how often it occurs a page. ``tags`` and ``furniture`` hold the tokens of valid classes: tags, and texts or link slots that are page furniture.
     """
     per_host = pages.groupBy(host_of(F.col(url)).alias("host")).agg(F.count(F.lit(1)).alias("host_pages"))
     seen = occurrences(pages, key, url, html).groupBy("host", "token").agg(
         F.count(F.lit(1)).alias("pages"), F.sum("times").alias("times"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"),
-        F.min("kind").alias("kind"), F.avg("place").alias("place"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+        F.min("kind").alias("kind"), F.avg("place").alias("place"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("parent").alias("parent"))
     frequent = seen.join(per_host.where(F.col("host_pages") >= MIN_PAGES), "host").where(F.col("pages") >= SUPPORT * F.col("host_pages"))
     # a host keeps no more tokens than 1 / SUPPORT times those of its average page
     token = F.struct("place", "token", "kind", (F.col("linked") > LINK_SHARE * F.col("chars")).alias("links"))
-    classes = frequent.groupBy("host", "host_pages", "pages", "times", "vector").agg(F.sort_array(F.collect_list(token)).alias("tokens"))
+    above = frequent.select(F.col("host").alias("h"), F.col("token").alias("up"), F.col("vector").alias("above"))
+    placed = frequent.join(above, (F.col("host") == F.col("h")) & (F.col("parent") == F.col("up")), "left")
+    classes = placed.groupBy("host", "host_pages", "pages", "times", "vector").agg(
+        F.sort_array(F.collect_list(token)).alias("tokens"), F.min_by("above", "place").alias("above"))
+    nested = F.struct(F.col("vector").alias("class"), F.when(F.col("above") != F.col("vector"), F.col("above")).alias("inside"),
+                      F.size("tokens").alias("size"), (F.col("times") / F.col("pages")).alias("per_page"))
     # repeated furniture texts must be on nearly every page; tags need only the class's support
     fixed = F.col("pages") >= 0.9 * F.col("host_pages")
     tags = F.transform(F.filter("tokens", lambda t: t["kind"] < 2), lambda t: t["token"])
     texts = F.when(fixed, F.transform(F.filter("tokens", lambda t: t["kind"] == 2), lambda t: t["token"])).otherwise(F.array().cast("array<bigint>"))
     links = F.transform(F.filter("tokens", lambda t: (t["kind"] == 0) & t["links"]), lambda t: t["token"])
     return classes.groupBy("host", F.col("host_pages").alias("pages")).agg(
-        F.count(F.lit(1)).alias("classes"), F.flatten(F.collect_list(tags)).alias("tags"),
+        F.collect_list(nested).alias("classes"), F.flatten(F.collect_list(tags)).alias("tags"),
         F.flatten(F.collect_list(F.concat(texts, links))).alias("furniture"),
         F.max(F.exists("tokens", lambda t: t["kind"] == 1)).alias("has_main"))
 

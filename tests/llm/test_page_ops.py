@@ -141,7 +141,9 @@ def test_main_text(frame):
 def test_equal_vectors_make_one_class(frame):
     rows = [(i, f"http://a.org/{i}", "<main>" + "<ul><li><a>x</a></li><li><a>y</a></li></ul>" * (i % 3 + 1) + "</main>", "r", "h") for i in range(9)]
     got = html_text.templates(frame(PAGES, rows)).first()
-    assert got["classes"] == 3  # main once a page; ul as often as its block; li and a twice as often
+    main, ul, li = sorted(got["classes"], key=lambda c: c["per_page"])
+    assert [(c["size"], c["per_page"]) for c in (main, ul, li)] == [(1, 1.0), (1, 2.0), (2, 4.0)]  # li and a: one class
+    assert (main["inside"], ul["inside"], li["inside"]) == (None, main["class"], ul["class"])
     assert len(got["tags"]) == 4
 
 
