@@ -94,3 +94,17 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
     return perplexity.judge_perplexity(table(spark, sf_dir, "documents"), trusted)
+
+
+#: Every pair that shares a shingle is counted here, which small tables allow.
+ORACLES["op7_near_dedup"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS s FROM w)),
+n AS (SELECT doc_id, count(*) AS k FROM sh GROUP BY 1),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.k + q.k - c)),
+ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, ways.y FROM reach JOIN ways ON ways.x = reach.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT w.doc_id, coalesce(n.k, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)"""
