@@ -33,14 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog_audit.llm.components import components
-from catalog_audit.llm.text import U64, distinct, mix, shingles, slices, words
+from catalog_audit.llm.text import U64, distinct, mix, shingles, slices, small_batches, words
 from catalog_audit.session import materialize, materialize_counted
 
 COORDINATES = 128
 TREES = 3
 BRANCHES = 2
 SMALL = 64
-SHRINK = 8  # a level parts unlike texts by at least this factor
+SHRINK = 10  # a level parts unlike texts (similarity up to a tenth) by at least this factor
 SLACK = 0.15
 BLOCK_SHINGLES = 4_000_000
 BLOCK_TEXTS = 2048
@@ -75,6 +75,7 @@ def sketch(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
                     pa.array([t.tobytes() if s else None for t, s in zip(tokens.astype(np.uint8), size)], pa.binary())],
                     ["id", "n_shingles", "set_a", "set_b", "tokens", "bits"])
 
+    small_batches(docs)
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
