@@ -30,8 +30,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: States with their transitions, and remembered pieces, held per Python worker before a fresh start.
-MAX_TRANSITIONS = 250_000
-MAX_PIECES = 300_000
+MAX_TRANSITIONS = 400_000
+MAX_PIECES = 450_000
 RANKS = "byte_bpe_50k.tiktoken"
 _WIDE_SPACE = re.compile(r" \s").search
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalog_audit.llm.text import distinct, is_space, slices, windows, words
+from catalog_audit.llm.text import distinct, is_space, slices, small_batches, windows, words
 from catalog_audit.session import materialize
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
@@ -135,6 +135,7 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
 
     ``reason`` is ``base``, or the first measure beyond its fence, or null.
     """
+    small_batches(docs)
     own = docs.select(F.struct(*keep).alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"), text_counts(F.col(text)).alias("counts"))
     cuts = materialize(thresholds(own.select("lang", "source", "counts"), reach), "fences").select(F.col("lang").alias("l"), F.col("source").alias("s"), "fence")
     c = F.col("counts")

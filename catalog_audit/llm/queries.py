@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog_audit.llm import byte_bpe, exact_dedup, html_text, language_id, lm_score, mixing, near_dedup, perplexity, quality_rules, url_filter
-from catalog_audit.llm.text import table
+from catalog_audit.llm.text import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,7 +54,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_digests(docs: DataFrame) -> DataFrame:
     """Per document the number of ids, their digest, and the digest of what they decode to."""
-    made = docs.select("doc_id", byte_bpe.ByteBpe(docs.sparkSession).round_trip(F.col("text")).alias("t"))
+    made = docs.select("doc_id", byte_bpe.ByteBpe(small_batches(docs)).round_trip(F.col("text")).alias("t"))
     return made.select("doc_id", (F.octet_length("t.ids") / 4).cast("long").alias("n_tokens"), F.sha2("t.ids", 256).alias("ids_sha256"),
                        F.sha2("t.decoded", 256).alias("decoded_sha256"))
 

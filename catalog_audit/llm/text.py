@@ -42,8 +42,17 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(df: DataFrame) -> SparkSession:
+    """Send texts to the workers a thousand at a time: a batch, its copies and its results are held together there."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    df = ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    small_batches(df)
+    return df
 
 
 def mix(x: np.ndarray) -> np.ndarray:
