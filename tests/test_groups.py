@@ -50,7 +50,6 @@ def test_group_table(frame):
     c = frame("field_id string, name string, normalized_hash string, definition_key string, core string, concept_key string, views bigint, workbooks bigint", [
         ("f1", "Revenue", "h1", "k1", "revenue", "core:revenue", 1, 1), ("f2", "Net Revenue", "h2", "k2", "revenue", "core:revenue", 9, 1),
         ("f4", "B", "h4", "k4", None, "solo:x", 2, 1), ("f3", "A", "h4", "k4", None, "solo:x", 2, 1), ("f5", "C", "", "k5", None, "solo:y", 0, 0)])
-    for limit in (0, 10 ** 6):
-        got = rows(groups.metric_groups({"candidates": c}, limit), "group_id", "label", "variant_count", "definition_count", "method", "confidence")
-        assert got == [("grp_0001", "revenue", 2, 2, "formula_signature", "medium"), ("grp_0002", "A", 2, 1, "exact_match", "high"),
-                       ("grp_0003", "C", 1, 1, "exact_match", "high")]
+    got = rows(groups.metric_groups({"candidates": c}), "group_id", "label", "variant_count", "definition_count", "method", "confidence")
+    assert got == [("grp_0001", "revenue", 2, 2, "formula_signature", "medium"), ("grp_0002", "A", 2, 1, "exact_match", "high"),
+                   ("grp_0003", "C", 1, 1, "exact_match", "high")]
