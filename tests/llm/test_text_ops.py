@@ -244,6 +244,20 @@ def test_lm_scores(frame, monkeypatch):
     assert lm_score.score_documents(docs(frame, [])).count() == 0
 
 
+def test_lm_scores_of_pairs_outside_the_frequent_words(frame, monkeypatch):
+    monkeypatch.setattr(lm_score, "FREQUENT", 60, raising=False)
+    monkeypatch.setattr(lm_score, "VOCABULARY", getattr(lm_score, "VOCABULARY") and 60)  # the cap there was, smaller
+    monkeypatch.setattr(lm_score, "HEAD", 12)
+    rows = corpus(80) + [(800, "once"), (801, "once twice"), (802, "twice once w1 once")]
+    lists = {i: (t or "").split() for i, t in rows}
+    single = collections.Counter(x for w in lists.values() for x in w)
+    pair = collections.Counter(p for w in lists.values() for p in zip(w, w[1:]))
+    for r in lm_score.score_documents(docs(frame, rows)).collect():
+        w = lists[r["doc_id"]]
+        want = sum(math.log(pair[u, v] / single[u]) for u, v in zip(w, w[1:])) + (math.log(single[w[0]] / sum(single.values())) if w else 0)
+        assert r["n_words"] == len(w) and abs(r["log_score"] - want) < 1e-6
+
+
 def brute_kneser_ney(texts):
     c = collections.Counter()
     for t in texts:
