@@ -1,9 +1,12 @@
 """Quality rules whose cutoffs adapt to each language and source.
 
 Base counts come from the whole text. Every (lang, source) group gets a mergeable quantile sketch (KLL) of each
-measure; a document fails when a measure lies beyond its group's upper fence, ``q3 + reach * (q3 - q1)``, but never
-below a floor, so that a group without outliers loses nothing. Sketches are built map-side and merged, so a hot
-source costs no more than any other; thresholds are then joined to the documents.
+measure; a document fails when a measure lies beyond its group's upper fence, ``q3 + reach * (q3 - q1)``. Only where
+quartiles are equal, so that they tell no scale, is the fence a floor or the quartile above it. A fence of a share stays
+below 1 even where over a quarter of a group is junk: it lies at most halfway to 1 from the median, or from q3 where a high
+share is usual. A group of fewer than ``LEAST`` texts is judged by the merged sketches of its language, or else of
+all documents. Sketches are built map-side and merged, so a hot source costs no more than any other; thresholds are then
+joined to the documents.
 
 Edge cases: a null or empty text has no words and fails the base rule; null ``lang`` or ``source`` is a group of its
 own; repeated rows are judged one by one; an empty table gives an empty result; extra columns pass through
@@ -24,9 +27,10 @@ from catalog_audit.session import materialize
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 WINDOW = 8
 MIN_WORDS = 20
-#: measure -> (floor below which nothing fails, as a share)
+#: measure -> fence of a group whose quartiles are equal and lower
 FLOORS = {"symbol_share": 0.10, "dup_line_share": 0.30, "repeat_share": 0.20, "upper_share": 0.50, "word_length": 14.0}
 REACH = 3.0
+LEAST = 30
 SKETCH_K = 200
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -118,15 +122,31 @@ def _measures(c: Column) -> dict[str, Column]:
     }
 
 
+def _fence(k: str, quartiles: Column, reach: float) -> Column:
+    q1, q2, q3 = (quartiles[i] for i in range(3))
+    far = q3 + reach * (q3 - q1)
+    if k != "word_length":
+        far = F.least(far, F.when(q2 < 0.5, (1 + q2) / 2).when(q3 < 1, (1 + q3) / 2))
+    return F.when(q3 > q1, far).otherwise(F.greatest(F.lit(FLOORS[k]), q3))
+
+
 def thresholds(counted: DataFrame, reach: float = REACH) -> DataFrame:
-    """(lang, source, counts) -> one row per group: the upper fence of every measure, from a KLL sketch of all its documents."""
+    """(lang, source, counts) -> one row per group: the upper fence of every measure, from KLL sketches of all documents."""
     m = _measures(F.col("counts"))
     some = F.col("counts")["n_words"] > 0
-    sketches = counted.groupBy("lang", "source").agg(
-        *[F.kll_sketch_agg_double(F.when(some, v), F.lit(SKETCH_K)).alias(k) for k, v in m.items()])
-    q = [[F.kll_sketch_get_quantile_double(F.col(k), F.lit(x)) for x in (0.25, 0.75)] for k in m]
-    return sketches.select("lang", "source", F.struct(*[
-        F.greatest(F.lit(FLOORS[k]), hi + reach * (hi - lo)).alias(k) for k, (lo, hi) in zip(m, q)]).alias("fence"))
+    groups = materialize(counted.groupBy("lang", "source").agg(
+        F.count_if(some).alias("n"), *[F.kll_sketch_agg_double(F.when(some, v), F.lit(SKETCH_K)).alias(k) for k, v in m.items()]), "sketches")
+    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(k).alias(k) for k in m]]
+    ranks = F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])
+
+    def quartiles(least: int) -> Column:
+        return F.when(F.col("n") >= least, F.struct(*[F.kll_sketch_get_quantile_double(F.col(k), ranks).alias(k) for k in m]))
+
+    languages = groups.groupBy(F.col("lang").alias("l")).agg(*merged).select("l", quartiles(LEAST).alias("of_lang"))
+    everything = groups.agg(*merged).select(quartiles(1)).scalar()
+    told = groups.select("lang", "source", quartiles(LEAST).alias("own")).join(languages, F.col("lang").eqNullSafe(F.col("l")), "left")
+    q = told.select("lang", "source", F.coalesce("own", "of_lang", everything).alias("q"))
+    return q.select("lang", "source", F.struct(*[_fence(k, F.col("q")[k], reach).alias(k) for k in m]).alias("fence"))
 
 
 def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", reach: float = REACH,

@@ -90,6 +90,27 @@ def test_quality_thresholds_follow_their_group(frame):
     assert not quality_rules.judge_quality(docs(frame, [(1, plain * 3)])).first()["kept"]
 
 
+def test_quality_fences_bind(frame):
+    def text(i, size, n=40):
+        w = [(f"q{k:02}" + "abcdefghijkl")[:size + (i + k) % 2 * (i % 3)] for k in range(n)]
+        return " ".join([w[0].upper() if i % 2 else w[0], *w[1:]])
+
+    def table(lang, source, texts, first):
+        return [(first + i, t, lang, source, 0, "r", 1, True) for i, t in enumerate(texts)]
+
+    usual = table("en", "a", [text(i, 5) for i in range(60)], 0)
+    far = table("en", "a", [text(900, 12), " ".join(w.upper() if k % 2 else w for k, w in enumerate(text(0, 5).split()))], 100)  # long words; capitals
+    hot = table("en", "b", [text(i, 5) for i in range(60)] + ["ABCDE F%dGHI JKLMN " % i + " ".join(f"{chr(65 + k)}WXYZ" for k in range(26)) for i in range(30)], 200)
+    lone = table("en", "c", [" ".join(f"w{k}*$" for k in range(40))], 300)  # a group of one, judged by its language
+    none = table("xx", "d", [" \n", None], 400)
+    reason = {r["doc_id"]: r["reason"] for r in quality_rules.judge_quality(frame(DOCS, usual + far + hot + lone + none)).select("row.doc_id", "reason").collect()}
+    assert reason[100] == "word_length" and reason[101] == "upper_share" and reason[300] == "symbol_share"
+    assert {reason[i] for i in range(60)} == {reason[200 + i] for i in range(60)} == {None}
+    assert {reason[260 + i] for i in range(30)} == {"upper_share"}
+    assert reason[400] == reason[401] == "base"
+    assert {r["reason"] for r in quality_rules.judge_quality(frame(DOCS, none)).collect()} == {"base"}
+
+
 def test_exact_dedup(frame):
     rows = corpus() + [(500, "one"), (501, "one")]
     got = {r["doc_id"]: r for r in exact_dedup.mark_duplicates(docs(frame, rows), keep=("doc_id",)).collect()}
