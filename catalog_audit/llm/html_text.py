@@ -16,8 +16,8 @@ Blocks: a block element starts a new block; ``br`` and white space become one sp
 blocks join by a newline in page order.
 
 Edge cases: null html is empty and gives an empty text; malformed markup never fails (an unclosed element ends with its
-parent, a stray ``<`` is text); null or hostless urls share one host, the empty one; equal pages are counted each;
-other columns ride in ``row``; an empty table gives an empty result.
+parent, a stray ``<`` is text); null or hostless urls share one host, the empty one; equal pages of a host count once,
+and only a host with ``MIN_PAGES`` unlike pages has texts and link slots that are furniture; other columns ride in ``row``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -146,8 +146,8 @@ def _text_token(element: Element | None, text: str) -> int:
     return _digest(f"{element.path if element else ''}\x00{text}")
 
 
-def occurrences(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """(host, page, token, times, place, kind, chars, linked, parent): one row per page and distinct token."""
+def occurrences(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """(host, page, token, times, place, kind, chars, linked, parent): one row per unlike page of a host and distinct token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["host", "page", "token", "times", "place", "kind", "chars", "linked", "parent"]
@@ -161,21 +161,22 @@ def occurrences(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
             block = np.array(rows, np.int64).reshape(-1, 7)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), *[pa.array(block[:, k]) for k in range(7)]], names)
 
-    own = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(key, html).alias("page"), F.col(html).alias("html"))
+    own = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).distinct().select("host", F.xxhash64("html").alias("page"), "html")
     return own.mapInArrow(run, "host string, page long, token long, times long, place long, kind long, chars long, linked long, parent long")
 
 
-def templates(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(host, pages, classes, tags, furniture, has_main): the template of every host with enough pages.
+def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, pages, classes, tags, furniture, has_main): the template of every host with enough pages; ``pages`` counts unlike ones.
 
     ``classes`` holds, per valid class, its digest, the digest of the class it is nested in (null at the top), its size and
     how often it occurs a page. ``tags`` and ``furniture`` hold the tokens of valid classes: tags, and texts or link slots that are page furniture.
     """
-    per_host = pages.groupBy(host_of(F.col(url)).alias("host")).agg(F.count(F.lit(1)).alias("host_pages"))
-    seen = occurrences(pages, key, url, html).groupBy("host", "token").agg(
+    alike = pages.groupBy(host_of(F.col(url)).alias("host"), F.xxhash64(html).alias("page")).agg(F.count(F.lit(1)).alias("copies"))
+    per_host = alike.groupBy("host").agg(F.sum("copies").alias("host_rows"), F.count(F.lit(1)).alias("host_pages"))
+    seen = occurrences(pages, url, html).groupBy("host", "token").agg(
         F.count(F.lit(1)).alias("pages"), F.sum("times").alias("times"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"),
         F.min("kind").alias("kind"), F.avg("place").alias("place"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("parent").alias("parent"))
-    frequent = seen.join(per_host.where(F.col("host_pages") >= MIN_PAGES), "host").where(F.col("pages") >= SUPPORT * F.col("host_pages"))
+    frequent = seen.join(per_host.where(F.col("host_rows") >= MIN_PAGES), "host").where(F.col("pages") >= SUPPORT * F.col("host_pages"))
     # a host keeps no more tokens than 1 / SUPPORT times those of its average page
     token = F.struct("place", "token", "kind", (F.col("linked") > LINK_SHARE * F.col("chars")).alias("links"))
     above = frequent.select(F.col("host").alias("h"), F.col("token").alias("up"), F.col("vector").alias("above"))
@@ -185,10 +186,11 @@ def templates(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     nested = F.struct(F.col("vector").alias("class"), F.when(F.col("above") != F.col("vector"), F.col("above")).alias("inside"),
                       F.size("tokens").alias("size"), (F.col("times") / F.col("pages")).alias("per_page"))
     # repeated furniture texts must be on nearly every page; tags need only the class's support
-    fixed = F.col("pages") >= 0.9 * F.col("host_pages")
+    several = F.col("host_pages") >= MIN_PAGES
+    fixed = several & (F.col("pages") >= 0.9 * F.col("host_pages"))
     tags = F.transform(F.filter("tokens", lambda t: t["kind"] < 2), lambda t: t["token"])
     texts = F.when(fixed, F.transform(F.filter("tokens", lambda t: t["kind"] == 2), lambda t: t["token"])).otherwise(F.array().cast("array<bigint>"))
-    links = F.transform(F.filter("tokens", lambda t: (t["kind"] == 0) & t["links"]), lambda t: t["token"])
+    links = F.transform(F.filter("tokens", lambda t: several & (t["kind"] == 0) & t["links"]), lambda t: t["token"])
     return classes.groupBy("host", F.col("host_pages").alias("pages")).agg(
         F.collect_list(nested).alias("classes"), F.flatten(F.collect_list(tags)).alias("tags"),
         F.flatten(F.collect_list(F.concat(texts, links))).alias("furniture"),
@@ -229,9 +231,9 @@ def main_text(source: str, tags: set[int], furniture: set[int], has_main: bool)
     return "\n".join(blocks)
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", keep: tuple[str, ...] = ("*",)) -> DataFrame:
+def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("*",)) -> DataFrame:
     """(row, text) of every page."""
-    known = materialize(templates(pages, key, url, html), "templates")
+    known = materialize(templates(pages, url, html), "templates")
     own = pages.select(F.struct(*keep).alias("row"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
 
     @F.arrow_udf("string")

@@ -147,6 +147,16 @@ def test_equal_vectors_make_one_class(frame):
     assert len(got["tags"]) == 4
 
 
+def test_copies_of_a_page_do_not_make_it_a_template(frame):
+    body = "<div><p>The whole text.</p><p>Second part.</p></div>"
+    rows = [(i, f"http://a.org/{i}", body, "r", "h") for i in range(36)]
+    rows += [(40 + i, f"http://a.org/n{i}", f"<div><p>Other text {i}</p></div>", "r", "h") for i in range(4)]
+    rows += [(50 + i, None, body, "r", "h") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(frame(PAGES, rows)).select("row.page_id", "text").collect()}
+    assert {got[i] for i in (*range(36), *range(50, 59))} == {"The whole text.\nSecond part."}
+    assert [got[40 + i] for i in range(4)] == [f"Other text {i}" for i in range(4)]
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_runs_over_all_rows(spark, name):
     made = QUERIES[name](spark, SF)
