@@ -16,7 +16,8 @@ Blocks: a block element starts a new block; ``br`` and white space become one sp
 blocks join by a newline in page order.
 
 Edge cases: null html is empty and gives an empty text; malformed markup never fails (an unclosed element ends with its
-parent, a stray ``<`` is text); null or hostless urls share one host, the empty one; equal pages of a host count once,
+parent, a stray ``<`` is text); only an unclosed script or style reaches to the page's end, and an unclosed element of hidden text
+ends before a block, too; null or hostless urls share one host, the empty one; equal pages of a host count once,
 and only a host with ``MIN_PAGES`` unlike pages has texts and link slots that are furniture; other columns ride in ``row``; an empty table gives an empty result.
 """
 
@@ -38,9 +39,13 @@ from catalog_audit.session import materialize
 SUPPORT = 0.5
 MIN_PAGES = 4
 LINK_SHARE = 0.6
-#: Elements without content, elements whose content is no text, and elements that start a block.
+#: Elements without content, elements whose content is no text (read to their end tag without
+#: looking at markup; with svg and select, hidden), and elements that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math canvas object textarea select title".split())
+RAW = frozenset("script style noscript template iframe textarea title".split())
+HIDDEN = RAW | {"svg", "select"}
+#: Hidden elements that cannot hold a block: one that begins inside ends them.
+BROKEN = frozenset("iframe textarea title svg select".split())
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 FURNITURE = frozenset("head nav aside footer form button menu dialog label fieldset script style noscript template iframe select".split())
@@ -56,12 +61,13 @@ _WORD = re.compile(r"[a-z0-9]+")
 
 
 class Element:
-    __slots__ = ("name", "path", "furniture", "inside", "link", "token", "parent")
+    __slots__ = ("name", "path", "hidden", "furniture", "inside", "link", "token", "parent")
 
     def __init__(self, name: str, words: tuple[str, ...], parent: "Element | None"):
         self.name = name
-        self.path = f"{parent.path if parent else ''}/{name}" + ("." + ".".join(words) if words else "")
-        self.token = _digest(self.path)
+        self.hidden = bool(parent and parent.hidden) or name in HIDDEN
+        self.path = "" if self.hidden else f"{parent.path if parent else ''}/{name}" + ("." + ".".join(words) if words else "")
+        self.token = 0 if self.hidden else _digest(self.path)
         self.parent = parent.token if parent else 0
         self.inside = bool(parent and parent.inside) or name in ("article", "main") or "main" in words and name != "body"
         self.link = bool(parent and parent.link) or name == "a"
@@ -80,48 +86,62 @@ def read(source: str) -> Iterator[tuple[str, Element | None, str]]:
     at, end = 0, len(source)
     while at < end:
         m = _TOKEN.match(source, at)
+        hidden = bool(stack) and stack[-1].hidden
         if m is None:  # a '<' whose tag never ends
-            yield "text", stack[-1] if stack else None, source[at]
+            if not hidden:
+                yield "text", stack[-1] if stack else None, source[at]
             at += 1
             continue
         at = m.end()
         name, text = m[2], m[4]
         if text is not None:
-            yield "text", stack[-1] if stack else None, text
+            if not hidden:
+                yield "text", stack[-1] if stack else None, text
         elif name is not None:
             name = name.lower()
             if m[1]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k].name == name:
-                        for gone in reversed(stack[k:]):
-                            yield "close", gone, ""
-                        del stack[k:]
+                        yield from _closed(stack, k)
                         break
                 else:
-                    if name == "p":
+                    if name == "p" and not hidden:
                         yield "break", None, ""
                 continue
             if name in VOID:
-                yield ("break" if name == "hr" else "space"), stack[-1] if stack else None, ""
+                if not hidden:
+                    yield ("break" if name == "hr" else "space"), stack[-1] if stack else None, ""
                 continue
+            if hidden and name in BLOCKS:
+                k = next(k for k, e in enumerate(stack) if e.hidden)
+                if stack[k].name in BROKEN and not any(e.name == "foreignobject" for e in stack[k:]):
+                    yield from _closed(stack, k)
             if name in BLOCKS:  # an open paragraph ends where a block begins; so do items and cells where their like begins
                 ends = {"p"} | ({name} if name in ("li", "dd", "dt", "tr", "td", "th", "option") else set())
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k].name in ends:
-                        for gone in reversed(stack[k:]):
-                            yield "close", gone, ""
-                        del stack[k:]
+                        yield from _closed(stack, k)
                         break
                     if stack[k].name in BLOCKS:
                         break
             words = tuple(w for a in _ATTRIBUTE.finditer(m[3]) for w in _WORD.findall((a[2] or a[3] or a[4] or "").lower()))
             if name in RAW:
                 close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                at = close.end() if close else end
-                continue
+                if close or name in ("script", "style"):
+                    at = close.end() if close else end
+                    continue
             if not m[3].endswith("/") or name in BLOCKS:
                 stack.append(Element(name, words, stack[-1] if stack else None))
-                yield "open", stack[-1], ""
+                if not stack[-1].hidden:
+                    yield "open", stack[-1], ""
+
+
+def _closed(stack: list[Element], k: int) -> Iterator[tuple[str, Element, str]]:
+    """Close the elements from ``stack[k]`` on."""
+    for gone in reversed(stack[k:]):
+        if not gone.hidden:
+            yield "close", gone, ""
+    del stack[k:]
 
 
 def page_tokens(source: str) -> dict[int, list]:

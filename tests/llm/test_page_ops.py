@@ -147,6 +147,21 @@ def test_equal_vectors_make_one_class(frame):
     assert len(got["tags"]) == 4
 
 
+@pytest.mark.parametrize("cut", ["<svg viewBox='0'/>", "<canvas/>", "<object data='x'/>", "<math/>", "<svg><path d='1'/>", "<svg/><svg><text>no</text></svg>",
+                                 "<svg><svg><text>no</text></svg></svg>", "<select><option>no", "<object data='x'>", "<canvas>", "<iframe src='x'>", "<textarea>no",
+                                 "<div><noscript>no</div>", "<svg><foreignObject><p>no</p></foreignObject></svg>", "<script>no</p></script>"])
+def test_a_cut_element_does_not_cut_the_page(cut):
+    page = f"<article><p>one</p>{cut}<p>two</p><p>x<svg>no</svg>y</p></article><footer>no</footer>"
+    assert html_text.main_text(page, set(), set(), False) == "one\ntwo\nxy"
+    assert html_text.main_text(cut + "<p>two</p>", set(), set(), False) == "two"
+
+
+def test_math_and_fallback_texts_are_kept():
+    page = "<article><p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p><object data=a><p>shown instead</p></object><canvas>a chart</canvas></article>"
+    assert html_text.main_text(page, set(), set(), False) == "let x=2\nshown instead\na chart"
+    assert html_text.main_text("<p>a</p><script>never closed<p>b", set(), set(), False) == "a"
+
+
 def test_copies_of_a_page_do_not_make_it_a_template(frame):
     body = "<div><p>The whole text.</p><p>Second part.</p></div>"
     rows = [(i, f"http://a.org/{i}", body, "r", "h") for i in range(36)]
