@@ -7,7 +7,8 @@ and rejecting is calibrated on labelled URLs kept out of the counts.
 
 Labels come from the rules themselves: URLs that an allow rule decides are accepted, those of a block rule rejected. The
 models are fitted on a bounded sample, ``SAMPLE`` URLs in all, drawn by hash and counted in Spark; so the model that is
-sent to the workers is bounded too. Every URL is judged, whole.
+sent to the workers is bounded too. Rules read host and path; the models are fitted on and score all that follows ``://``,
+query and fragment included, with the host in lower case.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and, with nothing to score, is
 allowed with a null score; without labels of both kinds everything undecided is allowed; repeats are judged alike.
@@ -32,6 +33,7 @@ ALPHABET = 1024  # characters a context may be followed by, for the uniform floo
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+_REST = r"(?s)^.*?://[^/?#]*(.*)"
 
 
 def host_of(url: Column) -> Column:
@@ -42,6 +44,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
+def address_of(url: Column) -> Column:
+    """Host, path, query and fragment."""
+    return F.concat(host_of(url), F.coalesce(F.regexp_extract(url, _REST, 1), F.lit("")))
+
+
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES) -> Column:
     """(rule, verdict) of the longest rule that fits, or null."""
     out = F.lit(None).cast("struct<rule: string, verdict: string>")
@@ -120,8 +127,8 @@ def calibrated(scored: list[tuple[float, bool]]) -> float:
 def judge_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES, sample: int = SAMPLE,
                keep: tuple[str, ...] = ("*",)) -> DataFrame:
     """(row, host, path, rule, verdict, score) of every page."""
-    own = pages.select(F.struct(*keep).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    ruled = own.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("address", F.concat("host", "path"))
+    own = pages.select(F.struct(*keep).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), address_of(F.col(url)).alias("address"))
+    ruled = own.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     model = fit(ruled.where("r IS NOT NULL").select("address", F.col("r.verdict").alias("verdict")), sample)
     if model is None:
         return ruled.select("row", "host", "path", "r.rule", F.coalesce("r.verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))

@@ -94,6 +94,15 @@ def test_url_rules_and_models(frame):
     assert url_filter.judge_urls(frame(PAGES, [])).count() == 0
 
 
+def test_url_models_read_the_query(frame):
+    urls = [f"http://h{i}.com/p?view=article{i}" for i in range(60)] + [f"http://h{i}.net/es/p?click=banner{i}#pop" for i in range(60)]
+    urls += ["http://NEW.org/p?view=article7", "http://new.org/p?click=banner7#pop"]
+    got = {r["row"]["url"]: r for r in url_filter.judge_urls(frame(PAGES, [(i, u, "", "r", "h") for i, u in enumerate(urls)])).collect()}
+    good, bad = got[urls[-2]], got[urls[-1]]
+    assert (good["host"], good["path"]) == (bad["host"], bad["path"]) == ("new.org", "/p") and good["rule"] is None
+    assert (good["verdict"], bad["verdict"]) == ("allow", "block") and good["score"] > bad["score"]
+
+
 def test_markov_model_and_cut():
     m = url_filter.Markov({"": {"a": 3, "b": 1}, "a": {"b": 2}})
     base = lambda n: (n + 2 / url_filter.ALPHABET) / 6
