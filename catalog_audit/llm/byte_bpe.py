@@ -22,6 +22,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import public_tokenizers
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 #: States with their transitions, and remembered pieces, held per Python worker before a fresh start.
 MAX_TRANSITIONS = 400_000
 MAX_PIECES = 450_000
+BLOCK = 4096  # ids decoded at a time
 RANKS = "byte_bpe_50k.tiktoken"
 _WIDE_SPACE = re.compile(r" \s").search
 
@@ -240,13 +242,17 @@ class Codec:
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.entries.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
-    def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text as the ids arrive."""
+    def decode_stream(self, ids: Iterable[int], block: int = 1) -> Iterator[str]:
+        """Text as the ids arrive, ``block`` at a time."""
         machine = Utf8Machine()
-        for i in ids:
-            yield machine.feed(self.entries[i])
+        for some in batched(ids, block):
+            yield machine.feed(b"".join(map(self.entries.__getitem__, some)))
         yield machine.close()
 
+    def decoded(self, ids: bytes) -> bytes:
+        """The streamed text in UTF-8."""
+        return b"".join(t.encode() for t in self.decode_stream(np.frombuffer(ids, "<u4").tolist(), BLOCK))
+
 
 _codecs: dict[str, Codec] = {}
 
@@ -270,7 +276,7 @@ class ByteBpe:
         def both(texts: pa.Array) -> pa.Array:
             codec = _codec(content.value, pattern)
             ids = [codec.encode(t or "") for t in texts.to_pylist()]
-            return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())], ["ids", "decoded"])
+            return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(codec.decoded, ids), pa.binary())], ["ids", "decoded"])
 
         @F.arrow_udf("binary")
         def encode(texts: pa.Array) -> pa.Array:
@@ -293,5 +299,5 @@ class ByteBpe:
         return self._decode(ids)
 
     def round_trip(self, text: Column) -> Column:
-        """(ids, decoded): packed ids and the bytes they decode to."""
+        """(ids, decoded): packed ids and the UTF-8 of the text that streams from them."""
         return self._both(text)

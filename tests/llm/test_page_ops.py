@@ -60,6 +60,17 @@ def test_utf8_machine():
     assert machine.feed(b"\xff\xe6\x97") + machine.feed(b"x") + machine.close() == "\ufffd\ufffdx"
 
 
+def test_round_trip_decodes_by_the_stream(codec, monkeypatch):
+    own, _ = codec
+    text = "aé日😀 " * 50
+    ids = own.encode(text)
+    for block in (1, 3, 4096):
+        monkeypatch.setattr(byte_bpe, "BLOCK", block, raising=False)
+        assert own.decoded(ids) == text.encode()
+    half = np.array([own.transducer.ranks[b"\xe6"]], "<u4").tobytes()  # a character that never ends
+    assert own.decoded(ids + half) == text.encode() + "\ufffd".encode() and own.decode(half) == b"\xe6"
+
+
 def test_round_trip(spark, frame):
     rows = [(1, "Hello, world's end"), (2, None), (3, ""), (4, "x" * 3000), (4, "x" * 3000)]
     bpe = byte_bpe.ByteBpe(spark)
