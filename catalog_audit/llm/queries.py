@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_audit.llm import byte_bpe, exact_dedup, html_text, language_id, lm_score, mixing, near_dedup, perplexity, quality_rules, repair, url_filter
+from catalog_audit.llm import align, byte_bpe, exact_dedup, html_text, language_id, lm_score, mixing, near_dedup, perplexity, quality_rules, repair, url_filter
 from catalog_audit.llm.text import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_digests(repair.damage(table(spark, sf_dir, "conversations")))
 
 
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = align.align(table(spark, sf_dir, "documents"))
+    return rated.select("row.doc_id", *[c for c in rated.columns if c != "row"])
+
+
 #: Every pair that shares a shingle is counted here, which small tables allow.
 ORACLES["op7_near_dedup"] = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -4,12 +4,16 @@ import functools
 import hashlib
 import re
 import zlib
+from collections import Counter
 
+import public_tokenizers
+import pytest
+import sentencepiece
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
-from catalog_audit.llm import repair
+from catalog_audit.llm import align, repair
 
 WHITE = "\x20\t\n\x0b\x0c\r"
 
@@ -121,3 +125,79 @@ def test_repaired_turns_are_legal_and_match_the_digest(frame):
     kept = [t for t in turns if t["role"] is not None]
     assert re.fullmatch("(s?(ua)+)?", "".join(t["role"][0] for t in kept))
     assert hashlib.sha256("\n".join(f"{t['role']}:{t['text']}" for t in kept).encode()).hexdigest() == digest["repaired_sha256"]
+
+
+@functools.cache
+def vocabularies():
+    a = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def spelled(text):
+    """Whole-text tokens of both vocabularies as (id, bytes)."""
+    a, b = vocabularies()
+    stand = align._byte_alphabet()
+    left = [(i, bytes(stand[c] for c in a.id_to_token(i))) for i in a.encode(" " + text, add_special_tokens=False).ids]
+    right = []
+    for i in b.encode(text):
+        p = b.id_to_piece(i)
+        right.append((i, bytes.fromhex(p[3:5]) if re.fullmatch("<0x..>", p) else p.replace("\u2581", " ").encode()))
+    whole = (" " + text).encode()
+    return (left, right) if b"".join(x for _, x in left) == whole == b"".join(x for _, x in right) else ([], [])
+
+
+def ends(tokens):
+    at, out = 0, {}
+    for k, (_, x) in enumerate(tokens):
+        at += len(x)
+        out[at] = k
+    return out
+
+
+def brute_alignment(texts):
+    found, totals = [], Counter()
+    for t in texts:
+        left, right = spelled(t) if t else ([], [])
+        ea, eb = ends(left), ends(right)
+        cuts = sorted(ea.keys() & eb.keys())
+        links = [(left[ea[c]][0], right[eb[c]][0]) for c in cuts]
+        groups, i, j = [], 0, 0
+        for c in cuts:
+            groups.append(",".join(str(x) for x, _ in left[i:ea[c] + 1]) + "|" + ",".join(str(x) for x, _ in right[j:eb[c] + 1]))
+            i, j = ea[c] + 1, eb[c] + 1
+        totals.update(links)
+        found.append((len(left), len(right), links, ";".join(groups)))
+    best = {}
+    for (_, b), n in totals.items():
+        best[b] = max(best.get(b, 0), n)
+    return [(a, b, len(links), len(links), sum(totals[x] == best[x[1]] for x in links), sum(totals[x] for x in links),
+             hashlib.sha256(g.encode()).hexdigest() if a else "") for a, b, links, g in found]
+
+
+TEXTS = [None, "", " ", "one two  three\n four", "<|endoftext|> <s> </s><unk> x", "it's 1234 \u00e9\u0301 \ufb01 \U0001f600!\r\n\tend ", "x\u2581 y", "a\x1c b\x85 c\u00a0 d \u3000 e",
+         "  lead", "\x00nul <0x41>", "word " * 3000, "y" * 20000, "\u4e2d\u6587 \u0e44\u0e17\u0e22"]
+
+
+@pytest.mark.parametrize("head", [align.HEAD, 3])
+def test_alignment_equals_brute_force(spark, frame, monkeypatch, head):
+    monkeypatch.setattr(align, "HEAD", head)
+    monkeypatch.setattr(align, "UNITS", 500)
+    real = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(40).collect()]
+    texts = TEXTS + real + TEXTS[3:6] * 2
+    df = frame("doc_id long, text string, row string, uid int, odd string, same int, pair long", [(i % 50, t, "r", 1, "o", 2, 3) for i, t in enumerate(texts)])
+    got = align.align(df.repartition(3)).select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect()
+    assert sorted(tuple(r) for r in got) == sorted((i % 50, *x) for i, x in enumerate(brute_alignment(texts)))
+    assert align.align(df.limit(0)).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\tab'1.\u00e9\u2581\x1c\u00a0"), st.characters(exclude_categories=["Cs"])), max_size=40))
+def test_units_give_the_tokens_of_the_whole_text(text):
+    both = align.aligner(align.VOCABULARY_A, align.VOCABULARY_B)
+    units = both.units([align._BETWEEN.split(text) if text else []])[0]
+    want = brute_alignment([text])[0]
+    if None in units or not text:
+        assert want[0] == 0
+    else:
+        assert hashlib.sha256(";".join(u[3] for u in units).encode()).hexdigest() == want[-1]
