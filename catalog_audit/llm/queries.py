@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_audit.llm import align, byte_bpe, exact_dedup, html_text, language_id, lm_score, mixing, near_dedup, perplexity, quality_rules, repair, url_filter
+from catalog_audit.llm import align, byte_bpe, exact_dedup, html_text, language_id, lm_score, mixing, near_dedup, ngram_join, perplexity, quality_rules, repair, url_filter
 from catalog_audit.llm.text import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +107,12 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("row.doc_id", *[c for c in rated.columns if c != "row"])
 
 
+@query
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, threshold=0.9)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 #: Every pair that shares a shingle is counted here, which small tables allow.
 ORACLES["op7_near_dedup"] = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -119,3 +125,16 @@ ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, ways.y FROM reach JOIN ways ON ways.x = reach.b),
 least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT w.doc_id, coalesce(n.k, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+ORACLES["op13_ngram_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS s FROM w)),
+n AS (SELECT doc_id, count(*) AS k FROM sh GROUP BY 1),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.k + q.k - c)),
+ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, ways.y FROM reach JOIN ways ON ways.x = reach.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT w.doc_id, coalesce(n.k, 0) AS n_shingles, component_id FROM w JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)"""

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -13,7 +14,7 @@ import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from catalog_audit.llm import align, repair
+from catalog_audit.llm import align, ngram_join, repair
 
 WHITE = "\x20\t\n\x0b\x0c\r"
 
@@ -201,3 +202,107 @@ def test_units_give_the_tokens_of_the_whole_text(text):
         assert want[0] == 0
     else:
         assert hashlib.sha256(";".join(u[3] for u in units).encode()).hexdigest() == want[-1]
+
+
+def shingle_set(text, k=3):
+    w = [x for x in re.split("[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+    return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()}
+
+
+def brute_components(rows, share=90):
+    """(id, size, smallest id reachable) by comparing all pairs."""
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for p, (i, x) in enumerate(sets):
+        for j, y in sets[:p]:
+            if i is not None and j is not None and x and y and 100 * len(x & y) >= share * len(x | y):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return sorted((i, len(x), find(i)) for i, x in sets)
+
+
+def look_alikes(seed=5):
+    """Texts at every similarity about the threshold, chains of them, copies, shared passages, short and odd ones."""
+    rng = np.random.default_rng(seed)
+    words = ["w%d" % i for i in range(3000)]
+    draw = lambda n: rng.choice(words, n).tolist()
+    passage, texts = draw(60), []
+    for _ in range(14):
+        base = draw(int(rng.integers(4, 160)))
+        for _ in range(8):
+            own = list(base)
+            for _ in range(int(rng.integers(0, max(2, len(own) // 45)))):
+                own[int(rng.integers(len(own)))] = "new%d" % rng.integers(10**6)
+            texts.append(" ".join(own[:len(own) - int(rng.integers(0, max(1, len(own) // 12)))]))
+    texts += [" ".join(draw(8) + passage + draw(8)) for _ in range(12)]
+    chain = draw(120)
+    for i in range(24):  # each is near the next, the ends are far apart
+        texts.append(" ".join(chain))
+        chain = chain[2:] + draw(2)
+    texts += [texts[0].upper().replace(" ", "\t\n"), texts[20], None, "", " \n", "one", "ONE ", "one two", "one two three", "x" * 9000, " ".join(draw(7000))]
+    return list(enumerate(texts, 100))
+
+
+@pytest.mark.parametrize("block", [ngram_join.BLOCK_SETS, 5])
+def test_ngram_join_equals_brute_force(frame, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    rows = look_alikes()
+    df = frame("doc_id long, text string, id int, root int, mark int, keys int, row string", [(i, t, 1, 2, 3, 4, "r") for i, t in rows])
+    got = sorted(tuple(r) for r in ngram_join.jaccard_components(df.repartition(3)).collect())
+    assert got == brute_components(rows)
+
+
+def test_ngram_join_edge_rows(frame, monkeypatch):
+    text = " ".join("w%d" % i for i in range(50))
+    rows = [(None, text), (7, text), (7, "another text of four"), (9, "another text of four"), (5, text), (5, text), (None, text)]
+    df = frame("doc_id long, text string", rows)
+    got = sorted((tuple(r) for r in ngram_join.jaccard_components(df).collect()), key=repr)
+    assert got == sorted([(None, 48, None)] * 2 + [(7, 48, 5), (7, 2, 5), (9, 2, 5)] + [(5, 48, 5)] * 2, key=repr)
+    assert ngram_join.jaccard_components(df.limit(0)).count() == 0
+
+
+def test_one_dense_class_in_many_blocks(frame, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    rng = np.random.default_rng(1)
+    base = rng.choice(["w%d" % i for i in range(500)], 100).tolist()
+    rows = []
+    for i in range(150):
+        own = list(base[:90 + i % 11])
+        own[int(rng.integers(len(own)))] = "n%d" % i
+        rows.append((i, " ".join(own)))
+    got = sorted(tuple(r) for r in ngram_join.jaccard_components(frame("doc_id long, text string", rows)).collect())
+    assert got == brute_components(rows)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.integers(0, 2**32))
+def test_linked_sets_share_a_part(n, lost, added, seed):
+    rng = np.random.default_rng(seed)
+    members = np.unique(rng.integers(0, 2**63, n + added).astype(np.uint64))
+    x, y = np.sort(rng.permutation(members)[:n]), np.sort(rng.permutation(members)[lost:])
+    if not len(y):
+        return
+    common = len(np.intersect1d(x, y))
+    keys, of = ngram_join.part_keys(np.concatenate([x, y]), np.repeat([0, 1], [len(x), len(y)]), np.array([len(x), len(y)]), 90)
+    if 100 * common >= 90 * (len(x) + len(y) - common):
+        assert np.intersect1d(keys[of == 0], keys[of == 1]).size
+
+
+def test_tree_bounds_lose_no_link_and_spare_work():
+    rng = np.random.default_rng(2)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 2**63, int(rng.integers(5, 300))).astype(np.uint64)
+        sets += [np.unique(np.append(base[int(rng.integers(0, 1 + len(base) // 15)):], rng.integers(0, 2**63, int(rng.integers(0, 4))).astype(np.uint64))) for _ in range(5)]
+    h, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    tree = ngram_join.Tree(h, of, len(sets), ngram_join.width_of(300))
+    met = set()
+    ngram_join.traverse(tree, tree, 90, np.arange(len(sets)), np.arange(len(sets)), lambda i, j: met.add(frozenset((tree.order[i], tree.order[j]))))
+    linked = {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if ngram_join.joined(sets[i], sets[j], 90)}
+    assert linked and linked <= met and len(met) < 3 * len(linked)
