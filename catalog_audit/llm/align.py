@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 from collections.abc import Iterator
 
@@ -40,8 +39,8 @@ VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 #: Most frequent irregular pairs that are sent to the tasks, a shortcut that changes no result.
 HEAD = 1 << 16
-#: Units remembered per worker before a fresh start, and the longest unit remembered.
-UNITS = 300_000
+#: Units remembered per worker, and the longest unit remembered.
+UNITS = 400_000
 UNIT_CHARS = 48
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -58,19 +57,21 @@ class Aligner:
     """Two tokenizers and the groups of a text's tokens."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        byte = _byte_alphabet()
         with open(path_a) as f:
-            entries = json.load(f)["model"]["vocab"]
-        self.bytes_a: list[bytes] = [b""] * (max(self.a.get_vocab(with_added_tokens=True).values()) + 1)
-        for entry, i in entries.items():
-            self.bytes_a[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
+            model = json.load(f)["model"]
+        byte = _byte_alphabet()
+        spelling = {i: bytes(byte[c] for c in entry) for entry, i in model["vocab"].items() if all(c in byte for c in entry)}
+        merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+        if any(x is None or y is None or x >= y for x, y in zip(merged, merged[1:])):
+            raise ValueError("ids do not follow the merges: the ranks of the entries are not their order of merging")
+        # entries that no merge makes are names of special tokens
+        made = {i for i in spelling if len(spelling[i]) == 1} | set(merged)
+        self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks={spelling[i]: i for i in made}, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.bytes_a: list[bytes] = [spelling[i] if i in made else b"" for i in range(max(made) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece holds a space after another character: texts cannot be cut at spaces")
@@ -80,50 +81,61 @@ class Aligner:
             if not self.b.is_control(i) and not self.b.is_unknown(i):
                 named[p] = i  # a piece comes after the single byte of the same spelling
         self.same = np.array([named.get(p, -1) if p else -1 for p in self.bytes_a], np.int64)
-        self.known: dict[str, tuple | None] = {}
-
-    def _groups(self, unit: str, a: list[int], b: list[int]) -> tuple | None:
-        """(tokens of A, of B, groups, digest text, linked pairs as a * 2**32 + b) of one unit; None if it is not spelled back."""
-        spelled = (" " + unit).encode()
-        if b"".join([self.bytes_a[i] for i in a]) != spelled or b"".join([self.bytes_b[i] for i in b]) != spelled:
-            return None
-        parts, links = [], []
-        i = j = 0
-        while i < len(a):
-            at_i, at_j = i, j
-            end_a, end_b = len(self.bytes_a[a[i]]), len(self.bytes_b[b[j]])
-            while end_a != end_b:
-                if end_a < end_b:
-                    i += 1
-                    end_a += len(self.bytes_a[a[i]])
-                else:
-                    j += 1
-                    end_b += len(self.bytes_b[b[j]])
-            i += 1
-            j += 1
-            if i - at_i == 1 and j - at_j == 1:
-                parts.append(f"{a[at_i]}|{b[at_j]}")
-            else:
-                parts.append(f"{','.join(map(str, a[at_i:i]))}|{','.join(map(str, b[at_j:j]))}")
-            links.append((a[i - 1] << 32) + b[j - 1])
-        return len(a), len(b), len(links), ";".join(parts), links
-
-    def units(self, texts: list[list[str]]) -> list[list[tuple | None]]:
-        """The groups of every unit of every text."""
-        if len(self.known) > UNITS:
-            self.known = {}
-        known, fresh = self.known, {}
-        for units in texts:
-            for u in units:
-                if u not in known:
-                    fresh[u] = None
-        new = list(fresh)
-        if new:
-            a = [e.ids for e in self.a.encode_batch([" " + u for u in new], add_special_tokens=False)]
-            b = self.b.encode(new, num_threads=1)
-            for u, x, y in zip(new, a, b):
-                fresh[u] = self._groups(u, x, y)
-        out = [[known[u] if u in known else fresh[u] for u in units] for units in texts]
+        self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+        self.len_a, self.len_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
+        ids = [[str(i) for i in range(len(v))] for v in (self.bytes_a, self.bytes_b)]
+        self.names = [i + mark for own, marks in zip(ids, (",|", ",;\n")) for mark in marks for i in own]
+
+    def _groups(self, units: list[str]) -> list[tuple]:
+        """Of each unit (tokens of A, of B, digest text, linked pairs as a * 2**32 + b); an empty tuple if B does not spell it back."""
+        b = self.b.encode(units, num_threads=1)
+        bad = [b"".join([self.bytes_b[i] for i in y]) != (" " + u).encode() for u, y in zip(units, b)]  # A always spells its bytes
+        if any(bad):
+            good = iter(self._groups([u for u, x in zip(units, bad) if not x]))
+            return [() if x else next(good) for x in bad]
+        if not units:
+            return []
+        a = [self.a.encode_ordinary(" " + u) for u in units]
+        n_a, n_b = (np.array([len(x) for x in v]) for v in (a, b))
+        left, right = (np.array([i for x in v for i in x], np.int64) for v in (a, b))
+        # byte offsets over all units at once: those where tokens of both end are the ends of groups
+        _, at_a, at_b = np.intersect1d(np.cumsum(self.len_a[left]), np.cumsum(self.len_b[right]), assume_unique=True, return_indices=True)
+        links = ((left[at_a] << 32) + right[at_b]).tolist()
+        # each token's name with what follows it, in the order of groups, A before B
+        size_a, size_b = len(self.bytes_a), len(self.bytes_b)
+        mark_a, mark_b = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+        mark_a[at_a], mark_b[at_b] = 1, 1
+        mark_b[np.cumsum(n_b) - 1] = 2
+        order = np.empty(len(left) + len(right), np.int64)
+        of_a, of_b = np.searchsorted(at_a, np.arange(len(left))), np.searchsorted(at_b, np.arange(len(right)))
+        order[np.arange(len(left)) + np.append(0, at_b + 1)[of_a]] = left + mark_a * size_a
+        order[np.arange(len(right)) + at_a[of_b] + 1] = right + mark_b * size_b + 2 * size_a
+        texts = "".join([self.names[i] for i in order.tolist()]).split("\n")
+        bound = np.append(0, np.searchsorted(at_a, np.cumsum(n_a))).tolist()
+        return list(zip(n_a.tolist(), n_b.tolist(), texts, [tuple(links[i:j]) for i, j in zip(bound[:-1], bound[1:])]))
+
+    def units(self, texts: list[list[str]]) -> list[list[tuple]]:
+        """The groups of every unit of every text; an empty tuple where B does not spell a unit back."""
+        if len(self.known) > UNITS // 2:  # what was not met since the last change is forgotten
+            self.known, self.older = {}, self.known
+        known, older, fresh = self.known, self.older, {}
+        out = [list(map(known.get, units)) for units in texts]
+        late = []
+        for units, found in zip(texts, out):
+            if None in found:
+                for i, g in enumerate(found):
+                    if g is None:
+                        u = units[i]
+                        found[i] = g = known.get(u, older.get(u))
+                        if g is None:
+                            fresh[u] = None
+                            late.append((found, i, u))
+                        elif u not in known:
+                            known[u] = g
+        fresh = dict(zip(fresh, self._groups(list(fresh))))
+        for found, i, u in late:
+            found[i] = fresh[u]
         known |= {u: g for u, g in fresh.items() if len(u) <= UNIT_CHARS}
         return out
 
@@ -164,20 +176,20 @@ def grouped(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
                 part = [t or "" for t in texts[first:n]]
                 counts, digests, same, odd = [], [], [], []
                 for t, units in zip(part, both.units([_BETWEEN.split(t) if t else [] for t in part])):
-                    if not t or None in units:
+                    if not t or () in units:
                         counts.append((0, 0, 0, 0))
                         digests.append("")
                         same.append((none, none))
                         odd.append((none, none))
                         continue
-                    links = np.array([x for u in units for x in u[4]], np.int64)
+                    links = np.array([x for u in units for x in u[3]], np.int64)
                     pairs, times = np.unique(links, return_counts=True)
                     left = pairs >> 32
                     alike = both.same[left] == (pairs & 0xFFFFFFFF)
                     same.append((left[alike], times[alike]))
                     odd.append((pairs[~alike], times[~alike]))
                     counts.append((sum(u[0] for u in units), sum(u[1] for u in units), len(links), len(links)))
-                    digests.append(hashlib.sha256(";".join([u[3] for u in units]).encode()).hexdigest())
+                    digests.append(hashlib.sha256(";".join([u[2] for u in units]).encode()).hexdigest())
                 columns = [pa.array(c, pa.int64()) for c in zip(*counts)]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, n - first), batch.column(2).slice(first, n - first), *columns, pa.array(digests, pa.string()),
