@@ -11,6 +11,21 @@ from catalog_audit.oracle.ctes import TOKEN, USER_CTX, norm_sql
 from catalog_audit.registry.base import add
 from catalog_audit.sources import upsert
 
+def _linked_fields(e):
+    """Calculated fields that refer to one another by customer number: chains, rings, ways into rings, and loose ends, by blocks of twenty."""
+    key = F.col("c_custkey")
+    block, b = F.floor(key / 20) % 4, key % 20
+    ring = key - b + F.floor(b / 4) * 4 + (b + 1) % 4
+    ref = (F.when(block == 0, F.when(b > 0, key - 1)).when(block == 1, ring)
+           .when(block == 2, F.when(b < 3, key - b + (b + 1) % 3).otherwise(key - 1)).otherwise(F.when(b == 0, -1).otherwise(key - 1 - b % 2)))
+    text = F.coalesce(F.concat(F.lit("[Field "), ref.cast("string"), F.lit("] * 2")), F.lit("COUNT(1)"))
+    fields = e.raw("customer").select(
+        F.concat(F.lit("lf_"), key.cast("string")).alias("id"), F.concat(F.lit("Field "), key.cast("string")).alias("name"),
+        F.lit("linked").alias("datasource_id"), text.alias("formula"), F.lit(True).alias("is_calculated"))
+    tables = {"fields": fields}
+    return tables | {"bindings": graph.token_bind(tables)}
+
+
 # -- scalars over the whole formula table -------------------------------------------
 add("tokenize_formula", lambda e: e["calc"].select("id", F.array_join(fx.tokenize_formula(F.col("formula")), "¦").alias("tokens")),
     f"SELECT id, array_to_string(regexp_extract_all(formula, '{TOKEN}', 1), '¦') AS tokens FROM e_calc")
@@ -41,6 +56,17 @@ add("reference_edges", graph.reference_edges,
     "SELECT DISTINCT field_id, ref_id AS referenced_field_id FROM bound WHERE ref_id IS NOT NULL")
 add("formula_closure", lambda e: e["resolved"].select("field_id", "resolution_status", "resolution_depth"),
     "SELECT field_id, resolution_status, resolution_depth::BIGINT AS resolution_depth FROM closure")
+_LINKED = {"linked": """SELECT c_custkey AS id, CASE WHEN k%4=0 THEN CASE WHEN b=0 THEN NULL ELSE c_custkey-1 END
+        WHEN k%4=1 THEN c_custkey-b+b//4*4+(b+1)%4 WHEN k%4=2 THEN CASE WHEN b<3 THEN c_custkey-b+(b+1)%3 ELSE c_custkey-1 END
+        WHEN b=0 THEN -1 ELSE c_custkey-1-b%2 END AS ref FROM (SELECT *, c_custkey//20 AS k, c_custkey%20 AS b FROM customer)""",
+    "linked_walk": """SELECT id AS root, id AS node, [id] AS path, 0 AS depth, 0 AS worst FROM linked
+        UNION ALL SELECT w.root, l.ref, list_append(w.path, l.ref), w.depth+1, CASE WHEN x.id IS NULL THEN 1
+        WHEN list_contains(w.path, l.ref) THEN 3 WHEN w.depth+1>12 THEN 2 ELSE 0 END
+        FROM linked_walk w JOIN linked l ON l.id=w.node LEFT JOIN linked x ON x.id=l.ref WHERE w.worst=0 AND l.ref IS NOT NULL"""}
+add("closure_statuses", lambda e: graph.resolve_formulas(_linked_fields(e)).select("field_id", "resolution_status", "resolution_depth"),
+    """SELECT 'lf_'||root AS field_id, max(CASE WHEN worst=1 THEN depth ELSE depth+1 END)::BIGINT AS resolution_depth, CASE max(worst)
+       WHEN 0 THEN 'resolved' WHEN 1 THEN 'unresolved_reference' WHEN 2 THEN 'too_deep' ELSE 'cycle' END AS resolution_status
+       FROM linked_walk GROUP BY root""", _LINKED)
 add("resolved_formula_text", lambda e: e["resolved"].select("field_id", "resolved_formula"),
     "SELECT field_id, resolved_formula FROM resolved")
 add("ambiguous_refs", graph.ambiguous_refs,

@@ -112,6 +112,47 @@ def test_random_graphs_match_brute_force(frame, seed):
         assert (out[fid].resolution_status, out[fid].resolution_depth) == (graph.STATUS[worst], deep + 1), fid
 
 
+def brute_components(edges):
+    reach = {}
+    nodes = {x for e in edges for x in e}
+    for n in nodes:
+        seen, todo = set(), [n]
+        while todo:
+            x = todo.pop()
+            for a, b in edges:
+                if a == x and b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        reach[n] = seen
+    return {n: frozenset(m for m in nodes if m == n or (m in reach[n] and n in reach[m])) for n in nodes}
+
+
+def test_strong_components_match_brute_force(frame):
+    rnd = random.Random(7)
+    edges = []
+    for part in range(6):  # from sparse to dense, a long ring, a chain between the parts
+        n = 9
+        edges += [(f"p{part}n{rnd.randrange(n)}", f"p{part}n{rnd.randrange(n)}") for _ in range(n + 2 * part)]
+    edges += [(f"r{i}", f"r{(i + 1) % 15}") for i in range(15)] + [("p0n1", "p1n1"), ("p1n1", "p2n1"), ("r3", "p4n4")]
+    got = {r.id: (r.comp, r.members) for r in graph.strong_components(frame("node string, child string", edges)).collect()}
+    want = {n: c for n, c in brute_components(edges).items() if len(c) > 1}
+    assert got.keys() == want.keys()
+    for n, c in want.items():
+        assert got[n][1] == len(c) and all(got[m][0] == got[n][0] for m in c) and got[n][0] in c
+
+
+def test_a_clique_finishes_and_counts_its_members(frame):
+    clique = [calc(f"k{i:02}", f"K{i}", " + ".join(f"[K{j}]" for j in range(20) if j != i) + " + [Leaf]") for i in range(20)]
+    out, _ = resolve(frame, clique + [calc("leaf", "Leaf", "1"), calc("up", "Up", "[K3] * [Leaf]"), calc("two", "Two", "[Up] + [Two]")])
+    assert {out[f"k{i:02}"].resolution_status for i in range(20)} == {"cycle"} == {out["up"].resolution_status, out["two"].resolution_status}
+    assert out["k03"].resolved_formula.endswith("[K19] + (1)") and out["up"].resolved_formula == f"({out['k03'].resolved_formula}) * (1)"
+    assert {out[f"k{i:02}"].resolution_depth for i in range(20)} == {14}  # twenty members reach the cap
+    small = [calc(f"t{i}", f"T{i}", " + ".join(f"[T{j}]" for j in range(3) if j != i)) for i in range(3)]
+    out, _ = resolve(frame, small + [calc("v", "V", "[T0] + [W]"), calc("w", "W", "2")])
+    assert (out["t0"].resolution_depth, out["v"].resolution_depth) == (4, 5)
+    assert out["v"].resolved_formula == "([T1] + [T2]) + (2)"
+
+
 def chain_tables(frame, edges):
     return {"lineage": frame("downstream_type string, downstream_id string, upstream_type string, upstream_id string",
                              [("datasource", a, "datasource", b) for a, b in edges])}
