@@ -40,7 +40,8 @@ LEAF = 16
 FANOUT = 4
 BITS_PER_MEMBER = 4
 MOST_BITS = 1 << 17
-BLOCK_SETS = 2048
+#: One tree: its hashes, and its signatures even beside the longest set, stay within a few hundred megabytes.
+BLOCK_SETS = 8192
 BLOCK_SHINGLES = 4_000_000
 PIVOTS = 16
 
@@ -236,19 +237,20 @@ def _members(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hs), np.concatenate(ofs)
 
 
-def _forest(ids: np.ndarray, tree: Tree, share: int) -> tuple[list, list]:
-    """Links of one tree that connect what hangs together (a spanning forest)."""
+def _stars(ids: np.ndarray, tree: Tree, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the links of one tree hold together, as a star from the least id of each part: later rounds over the edges stay few."""
     label = np.arange(len(ids))
-    left, right = [], []
 
     def meet(i: int, j: int) -> None:
         if joined(tree.sets[tree.order[i]], tree.sets[tree.order[j]], share):
-            left.append(ids[tree.order[i]])
-            right.append(ids[tree.order[j]])
             label[label == label[j]] = label[i]
 
     traverse(tree, tree, share, label, label, meet)
-    return left, right
+    own = ids[tree.order]
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, own)
+    moved = own != least[label]
+    return least[label][moved], own[moved]
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -271,16 +273,16 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def tree_links(blocks: DataFrame, k: int, share: int) -> DataFrame:
-    """(key, id, mark, text) -> (a, b): a spanning forest of the links inside each key."""
+    """(key, id, mark, text) -> (a, b): edges that connect what is linked inside each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
             ids = rows.column(1).to_numpy()
-            left, right = [], []
+            left = right = np.zeros(0, np.int64)
             if len(ids) > 1:
                 h, of = _members(rows.column(2).combine_chunks(), k)
                 most = int(np.bincount(of, minlength=1).max())
-                left, right = _forest(ids, Tree(h, of, len(ids), width_of(most)), share)
+                left, right = _stars(ids, Tree(h, of, len(ids), width_of(most)), share)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     dealt = blocks.repartition("key").sortWithinPartitions("key", "id", "mark")
