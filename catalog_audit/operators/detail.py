@@ -69,7 +69,7 @@ def guarded(df: DataFrame, texts: list[str], build: str, patterns: dict[str, str
     """``df`` unchanged, failing the job that writes it if any text holds a credential."""
     blob = F.concat_ws("\n", *texts)
     hits = secret_hits(blob, patterns)
-    message = F.concat(F.lit(f"{build} build matched credential pattern(s): "), hits, F.lit(" -- write aborted"))
+    message = F.concat(F.lit(f"not written, the {build} document holds what looks like a secret: "), hits)
     first = texts[0]
     return df.withColumn(first, F.when(F.coalesce(hits, F.lit("")) == "", F.col(first)).otherwise(
         F.raise_error(message).cast(df.schema[first].dataType)))

@@ -244,9 +244,9 @@ def top_evidence(tables, k: int) -> DataFrame:
 
 
 def iso_probe(tables, now: str = "2024-01-15") -> DataFrame:
-    """Text dates of view events, parsed leniently, with their age."""
+    """Text dates of all events, parsed leniently, with their age."""
     from catalog_audit.functions.names import days_ago, parse_iso
     text = F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     parsed = parse_iso(text)
-    return tables["raw_usage"].filter("event_name = 'view'").select(
+    return tables["raw_usage"].select(
         "event_id", F.date_format(parsed, "yyyy-MM-dd").alias("parsed"), days_ago(F.lit(now), parsed).alias("days_ago"))

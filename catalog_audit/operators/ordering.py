@@ -27,17 +27,10 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], measure
     local = Window.partitionBy("_slice", *keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = stored.withColumns({n: F.sum(f"_m_{n}").over(local) for n in measures})
     sums = stored.groupBy("_slice", *keys).agg(*[F.sum(f"_m_{n}").alias(n) for n in measures])
-    # a group's slices are no more than the stored partitions
-    slices = sums.groupBy(*keys).agg(F.collect_list(F.struct("_slice", *measures)).alias("_all"))
-    each = slices.select("*", F.explode("_all").alias("_here"))
-
-    def before(n: str) -> Column:
-        kind = sums.schema[n].dataType
-        earlier = F.filter("_all", lambda x: x["_slice"] < F.col("_here._slice"))
-        return F.aggregate(earlier, F.lit(0).cast(kind), lambda total, x: (total + x[n]).cast(kind))
-
-    offsets = each.select(F.col("_here._slice").alias("_oslice"), *[F.col(k).alias(f"_k_{k}") for k in keys],
-                          *[before(n).alias(f"_o_{n}") for n in measures])
+    # one row per slice and group: no more rows of a group than stored partitions, summed in one linear pass
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("_slice").alias("_oslice"), *[F.col(k).alias(f"_k_{k}") for k in keys],
+                          *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).cast(sums.schema[n].dataType).alias(f"_o_{n}") for n in measures])
     cond = [F.col("_slice") == F.col("_oslice")] + [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     joined = inside.join(offsets, cond)
     return joined.select(*df.columns, *[(F.col(n) + F.col(f"_o_{n}")).alias(n) for n in measures])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from catalog_audit.functions.bands import band_score
@@ -84,22 +86,57 @@ def findings_sections(tables, build: str = "working") -> dict[str, DataFrame]:
     return out
 
 
-def write_findings(tables, path: str | None = None, build: str = "working") -> DataFrame:
-    """Write every section as JSON under ``path/run_id=…``; a credential-shaped text aborts the write.
+def write_findings(tables, path: str | None = None, build: str = "working", sections: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Write every section as JSON and publish them together; returns the rows written per section.
 
-    Returns the rows written per section.
+    Sections are scanned for credentials while they are written to a folder of their own. Only when all are there,
+    one rename puts a manifest in place that names the folder: a credential-shaped text or a failure in the last
+    section leaves what was published before as it was, and nothing of the new document.
     """
     spark = tables["fields"].sparkSession
     path = path or stage_path(spark, f"findings-{build}")
+    staged = f"sections/{uuid.uuid4().hex}"
+    fs, at = _files(spark, path)
     written = []
-    for name, df in findings_sections(tables, build).items():
-        texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-        if texts:
-            df = guarded(df, texts, build)
-        target = f"{path}/run_id={tables.run_id}/{name}"
-        df.write.mode("overwrite").json(target)
-        written.append(spark.read.text(target).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("section"), "rows"))
-    return reduce(DataFrame.unionByName, written)
+    try:
+        for name, df in (sections or findings_sections(tables, build)).items():
+            texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+            if texts:
+                df = guarded(df, texts, build)
+            seen = Observation()
+            df.observe(seen, F.count(F.lit(1)).alias("rows")).write.json(f"{path}/{staged}/{name}")
+            written.append((name, seen.get["rows"]))
+    except Exception:
+        fs.delete(at(staged), True)
+        raise
+    manifest = {"run_id": tables.run_id, "build": build, "folder": staged, "sections": dict(written)}
+    out = fs.create(at(f"{staged}.json"), True)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    published = at(f"published/run_id={tables.run_id}.json")
+    fs.mkdirs(published.getParent())
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    chosen = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    chosen[0] = options
+    context.rename(fs.makeQualified(at(f"{staged}.json")), fs.makeQualified(published), chosen)
+    return spark.createDataFrame(written, "section string, rows bigint")
+
+
+def _files(spark, path: str):
+    """The file system of ``path`` and the paths below it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    return hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), lambda name: hadoop.Path(f"{path}/{name}")
+
+
+def published_findings(spark, path: str, run_id: str) -> dict[str, DataFrame]:
+    """The sections of a run as last published; empty if none were."""
+    fs, at = _files(spark, path)
+    name = f"published/run_id={run_id}.json"
+    if not fs.exists(at(name)):
+        return {}
+    manifest = json.loads(spark.read.text(f"{path}/{name}", wholetext=True).first()[0])
+    return {s: spark.read.json(f"{path}/{manifest['folder']}/{s}") for s in manifest["sections"]}
 
 
 def write_variant_sheets(tables, path: str | None = None) -> DataFrame:

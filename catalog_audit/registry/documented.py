@@ -7,10 +7,11 @@ import re
 from pyspark.sql import functions as F
 
 from catalog_audit.operators import documented as doc
-from catalog_audit.oracle.ctes import CTES
+from catalog_audit.oracle.ctes import CTES, NS
 from catalog_audit.plans import comparison as cmp, scoring
+from catalog_audit.plans.coverage import coverage_register
 from catalog_audit.registry.base import add
-from catalog_audit.registry.ingest import _REG, _register
+from catalog_audit.registry.ingest import _REG, pages
 from catalog_audit.registry.reports import _EXTRA, _RULE_SQL, _SCORES
 from catalog_audit.sources.estate import Estate
 
@@ -19,7 +20,7 @@ def baseline(e: Estate) -> Estate:
     """The same estate scanned in mid January: less usage, facts shipped before 1998."""
     if "_baseline" not in e._made:
         b = Estate(e.spark, e.sf_dir)
-        for shared in ("bindings", "resolved"):
+        for shared in ("bindings", "resolved", "coverage"):
             b.put(shared, e[shared])
         b.put("raw_usage", e["raw_usage"].filter(F.col("event_ts") < "2024-01-16"))
         e._made["_baseline"] = b
@@ -74,11 +75,19 @@ add("estate_drift", lambda e: cmp.estate_drift(earlier_lineage(e), e),
      "debt_now": "SELECT * FROM same_debt UNION ALL SELECT DISTINCT 'embedded_source', 'wb_'||l_partkey||'/ds_'||l_suppkey FROM lineitem WHERE l_returnflag='R'",
      "debt_then": """SELECT * FROM same_debt UNION ALL SELECT DISTINCT 'embedded_source', 'wb_'||l_partkey||'/ds_'||l_suppkey FROM lineitem WHERE l_returnflag='R'
        AND l_shipdate < DATE '1998-01-01'"""})
-add("coverage_change", lambda e: cmp.coverage_change(_register(e), e["coverage"]),
-    """SELECT measure, b.status AS was, c.status AS now, CASE WHEN coalesce(c.status='ok',false) AND NOT coalesce(b.status='ok',false) THEN 'newly available'
-       WHEN coalesce(b.status='ok',false) AND NOT coalesce(c.status='ok',false) THEN 'newly missing' ELSE 'unchanged' END AS change
-       FROM register b FULL JOIN (SELECT unnest(['projects','datasources','workbooks','fields','column_lineage','custom_sql','database_tables','data_quality_warnings',
-       'usage_events','adoption_depth','refresh_jobs','permissions','lineage','views']) AS measure, 'ok' AS status) c USING (measure)""", _REG)
+def _first_pages(e):
+    """The register as it stood when every shard had landed its first page of two hundred keys."""
+    if "coverage_then" not in e._made:
+        e.put("coverage_then", e._stage("coverage-then", coverage_register(pages(e).where("cursor = '0'"))))
+    return e["coverage_then"]
+
+
+add("coverage_change", lambda e: cmp.coverage_change(_first_pages(e), e["coverage"]),
+    f"""SELECT measure, CASE WHEN measure IN (SELECT measure FROM cut) THEN CASE WHEN measure='fields' THEN 'partial' ELSE 'failed' END ELSE status END AS was, status AS now,
+       CASE WHEN status='ok' AND measure IN (SELECT measure FROM cut) THEN 'newly available' ELSE 'unchanged' END AS change FROM register""",
+    _REG | {"cut": f"""SELECT 'workbooks' AS measure FROM part WHERE p_partkey>=200 UNION SELECT 'database_tables' FROM part WHERE p_partkey>=200
+       UNION SELECT 'datasources' FROM supplier WHERE s_suppkey>=200 UNION SELECT unnest(['custom_sql','data_quality_warnings']) FROM customer WHERE c_custkey>=200
+       UNION SELECT 'fields' FROM part WHERE 5+p_partkey//{NS}>=200"""})
 _ATTRIBUTES = {"query_set_version": "o_orderpriority", "rules_version": "o_orderstatus", "domain_map": "o_totalprice > 150000", "adoption_source": "o_orderkey % 2",
                "grouping_mode": "o_custkey % 2", "tool_version": "year(o_orderdate)"}
 add("comparability_guard", lambda e: cmp.comparability_guard(

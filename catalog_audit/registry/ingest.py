@@ -5,44 +5,32 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog_audit.plans import findings as fnd
-from catalog_audit.plans.coverage import coverage_register
+from catalog_audit.oracle.ctes import NS
 from catalog_audit.registry.base import add
 from catalog_audit.sources import feeds, flatten, landed
 
 
-def pages(e, *names):
-    """Stored pages of the named feeds; written once per estate and feed."""
-    parts = []
-    for n in names or feeds.FEEDS:
-        key = f"pages:{n}"
-        if key not in e._made:
-            e.put(key, e._stage(f"pages-{n}", feeds.landed_pages(e, n)))
-        parts.append(e[key])
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def faulty(e):
-    return feeds.with_faults(pages(e))
+pages = feeds.stored_pages
 
 
 add("landed_pages", lambda e: landed.accepted_nodes(pages(e, "workbooks"), "workbooks", flatten.NODES["workbooks"]).select("id", "luid", "name"),
     "SELECT id, luid, name FROM e_workbooks")
-add("response_class", lambda e: landed.response_class(faulty(e).filter(F.col("query_name").isin("workbooks", "data_quality_warnings"))).select(
-        "query_name", "cursor", "seq", "response", "error"),
-    """SELECT 'workbooks' AS query_name, pg::VARCHAR AS cursor, pg*2+a AS seq, CASE WHEN a=1 THEN 'ok' ELSE 'partial' END AS response, NULL AS error
-       FROM (SELECT DISTINCT p_partkey//200 AS pg FROM part), (VALUES (0),(1)) v(a) WHERE a=1 OR pg%5=0 UNION ALL
-       SELECT 'data_quality_warnings', pg::VARCHAR, pg*2+a, 'fatal', 'Field ''isElevated'' is undefined' FROM (SELECT DISTINCT c_custkey//200 AS pg FROM customer), (VALUES (0),(1)) v(a)
-       WHERE a=1 OR pg%5=0""")
-_BROKEN = "s_suppkey%13=5"
-add("shard_completeness", lambda e: landed.shard_completeness(faulty(e).filter(F.col("query_name").isin(
-        "workbooks", "data_quality_warnings", "datasource_fields", "projects"))).select("query_name", "scope_id", "nodes", "status"),
-    f"""SELECT 'workbooks' AS query_name, '' AS scope_id, count(*) AS nodes, 'complete' AS status FROM part UNION ALL SELECT 'projects','',count(*),'complete' FROM nation
-        UNION ALL SELECT 'data_quality_warnings','',0,'unavailable' UNION ALL SELECT 'datasource_fields','ds_'||s_suppkey, CASE WHEN {_BROKEN} THEN 0 ELSE 5+coalesce(n,0) END,
-        CASE WHEN {_BROKEN} THEN 'failed' ELSE 'complete' END FROM supplier LEFT JOIN (SELECT datasource_id, sum(greatest(blocks,1))::BIGINT AS n FROM e_calc LEFT JOIN
-        (SELECT 'fld_'||l_partkey AS id, count(DISTINCT l_orderkey//10000) AS blocks FROM lineitem GROUP BY 1) USING (id) GROUP BY 1) ON datasource_id='ds_'||s_suppkey""")
+_PAGES = {"graph_pages": f"""SELECT 'projects' AS q, NULL::VARCHAR AS s, n_nationkey//200 AS pg FROM nation UNION SELECT 'published_datasources', NULL, s_suppkey//200 FROM supplier
+          UNION SELECT 'workbooks', NULL, p_partkey//200 FROM part UNION SELECT 'database_tables', NULL, p_partkey//200 FROM part
+          UNION SELECT 'custom_sql', NULL, c_custkey//200 FROM customer UNION SELECT 'data_quality_warnings', NULL, c_custkey//200 FROM customer
+          UNION SELECT 'datasource_fields', 'ds_'||s_suppkey, 0 FROM supplier UNION SELECT 'datasource_fields', 'ds_'||(p_partkey%{NS}), (5+p_partkey//{NS})//200 FROM part""",
+          "rest_pages": """SELECT DISTINCT 'refresh_jobs' AS q, NULL::VARCHAR AS s, o_orderkey//200 AS pg FROM orders
+          UNION ALL SELECT DISTINCT 'usage_events', NULL, workbook_id[4:]::BIGINT//200 FROM usage UNION ALL SELECT DISTINCT 'permissions', object_type||':'||object_id, 0 FROM e_permissions"""}
+add("response_class", lambda e: landed.response_class(pages(e)).select("query_name", "scope_id", "cursor", "seq", "response", "error"),
+    """SELECT q AS query_name, s AS scope_id, pg::VARCHAR AS cursor, pg*2+a AS seq, CASE WHEN a=1 THEN 'ok' ELSE 'partial' END AS response, NULL::VARCHAR AS error
+       FROM graph_pages, (VALUES (0),(1)) v(a) WHERE a=1 OR pg%5=0 UNION ALL SELECT q, s, pg::VARCHAR, pg, 'ok', NULL FROM rest_pages""", _PAGES)
+add("shard_completeness", lambda e: landed.shard_completeness(pages(e)).select("query_name", "scope_id", "pages", "nodes", "total_count", "subdivisions", "status", "error"),
+    f"""SELECT query_name, scope_id, pages, nodes, nodes AS total_count, subdivisions, 'complete' AS status, NULL::VARCHAR AS error FROM (
+        SELECT q, coalesce(s,'') AS k, count(*)+count(*) FILTER (pg%5=0) AS pages, count(*) FILTER (pg%5=0) AS subdivisions FROM graph_pages GROUP BY 1,2) p JOIN (
+        SELECT 'projects' AS query_name, '' AS scope_id, count(*) AS nodes FROM nation UNION ALL SELECT 'published_datasources','',count(*) FROM supplier
+        UNION ALL SELECT 'workbooks','',count(*) FROM part UNION ALL SELECT 'database_tables','',count(*) FROM part UNION ALL SELECT 'custom_sql','',count(*) FROM customer
+        UNION ALL SELECT 'data_quality_warnings','',count(*) FROM customer UNION ALL SELECT 'datasource_fields', 'ds_'||s_suppkey, 5+coalesce(n,0) FROM supplier
+        LEFT JOIN (SELECT p_partkey%{NS} AS s_suppkey, count(*) AS n FROM part GROUP BY 1) USING (s_suppkey)) ON query_name=q AND scope_id=k""", _PAGES)
 add("load_projects", lambda e: flatten.load_projects(pages(e, "projects")),
     """SELECT 'prj_'||n.n_nationkey AS id, n.n_name AS name, 'prj_'||p.n_nationkey AS parent_id FROM nation n LEFT JOIN nation p ON p.n_nationkey=n.n_regionkey""")
 add("load_datasources", lambda e: flatten.load_datasources(pages(e, "projects", "published_datasources")).select(
@@ -82,15 +70,12 @@ add("load_usage", lambda e: flatten.load_usage(pages(e, "usage_events")).select(
 add("load_interview", lambda e: _interview_scope(e),
     """SELECT facet_id, score, n AS sources_in_scope FROM (VALUES ('governance.preventive',4),('governance.detective',4),('governance.corrective',3),
        ('semantic.singularity',5),('semantic.consensus',2)) k(facet_id,score), (SELECT count(*) AS n FROM e_datasources)""")
-_REG = {"fcov": f"SELECT count(*) AS t, count(*) FILTER ({_BROKEN}) AS f FROM supplier",
-        "proj_ok": f"SELECT count(*) AS n FROM e_projection JOIN supplier ON datasource_id='ds_'||s_suppkey WHERE NOT ({_BROKEN})",
-        "own": "SELECT count(*) AS n, count(*) FILTER (coalesce(owner,'')='') AS gap FROM (SELECT owner FROM e_datasources UNION ALL SELECT owner FROM e_workbooks)",
+_REG = {"own": "SELECT count(*) AS n, count(*) FILTER (coalesce(owner,'')='') AS gap FROM (SELECT owner FROM e_datasources UNION ALL SELECT owner FROM e_workbooks)",
         "register": """SELECT 'projects' AS measure, 'ok' AS status, count(*)||' rows read' AS reason FROM nation UNION ALL SELECT 'datasources','ok',count(*)||' rows read' FROM supplier
           UNION ALL SELECT 'workbooks','ok',count(*)||' rows read' FROM part UNION ALL SELECT 'custom_sql','ok',count(*)||' rows read' FROM customer
-          UNION ALL SELECT 'database_tables','ok',count(*)||' rows read' FROM part UNION ALL
-          SELECT 'data_quality_warnings','unavailable','query refused by the schema: Field ''isElevated'' is undefined'
-          UNION ALL SELECT 'fields', CASE WHEN f=0 THEN 'ok' WHEN f<t THEN 'partial' ELSE 'failed' END, f||' of '||t||' field shards incomplete' FROM fcov
-          UNION ALL SELECT 'column_lineage','ok',n||' columns read' FROM proj_ok UNION ALL SELECT 'usage_events','ok',count(*)||' events read' FROM usage
+          UNION ALL SELECT 'database_tables','ok',count(*)||' rows read' FROM part UNION ALL SELECT 'data_quality_warnings','ok',count(*)||' rows read' FROM customer
+          UNION ALL SELECT 'fields','ok',count(*)||' shards read' FROM supplier
+          UNION ALL SELECT 'column_lineage','ok',count(*)||' columns read' FROM e_projection UNION ALL SELECT 'usage_events','ok',count(*)||' events read' FROM usage
           UNION ALL SELECT 'adoption_depth','skipped','no event names a user'
           UNION ALL SELECT 'refresh_jobs','ok',count(*)||' jobs read' FROM e_refresh UNION ALL SELECT 'permissions','ok',count(*)||' grants read' FROM e_permissions
           UNION ALL SELECT 'owner_attribution','partial','no owner on '||gap||' of '||n||' objects' FROM own WHERE gap>0
@@ -98,12 +83,6 @@ _REG = {"fcov": f"SELECT count(*) AS t, count(*) FILTER ({_BROKEN}) AS f FROM su
           UNION ALL SELECT 'adoption_trajectory','skipped','needs history longer than the event feed keeps'"""}
 
 
-def _register(e):
-    if "register" not in e._made:
-        e.put("register", e._stage("register", coverage_register(faulty(e))))
-    return e["register"]
-
-
 def _interview_scope(e):
     """Answers beside the number of sources they speak for."""
     n = e["datasources"].agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
@@ -111,7 +90,7 @@ def _interview_scope(e):
 
 
 def _gates(e):
-    t = {"coverage": _register(e)}
+    t = {"coverage": e["coverage"]}
     out = None
     for m in ("fields", "usage_events", "refresh_jobs", "permissions", "data_quality_warnings", "nothing"):
         g = fnd.coverage_gate(t, m)
@@ -119,8 +98,8 @@ def _gates(e):
     return out
 
 
-add("coverage_register", _register, "SELECT measure, status, reason FROM register", _REG)
-add("coverage_gaps", lambda e: fnd.coverage_gaps(_register(e)), "SELECT measure, status, reason FROM register WHERE status<>'ok'", _REG)
+add("coverage_register", lambda e: e["coverage"], "SELECT measure, status, reason FROM register", _REG)
+add("coverage_gaps", lambda e: fnd.coverage_gaps(e["coverage"]), "SELECT measure, status, reason FROM register WHERE status<>'ok'", _REG)
 add("coverage_gate", _gates,
     """SELECT m AS measure, coalesce(status='ok', false) AS measured, coalesce(status,'absent') AS status, coalesce(reason,'no such row in the register') AS reason
        FROM (VALUES ('fields'),('usage_events'),('refresh_jobs'),('permissions'),('data_quality_warnings'),('nothing')) k(m) LEFT JOIN register ON measure=m""", _REG)

@@ -111,11 +111,12 @@ add("column_divergence", m.column_divergence,
        sources<table_sources AS not_shared FROM (SELECT table_key, column_name, count(DISTINCT field_data_type) AS types,
        string_agg(DISTINCT field_data_type, ',' ORDER BY field_data_type) AS type_names, count(DISTINCT datasource_id) AS sources FROM e_projection GROUP BY 1,2) JOIN (SELECT table_key,
        count(DISTINCT datasource_id) AS table_sources FROM e_projection GROUP BY 1) USING (table_key) WHERE table_sources>=2""")
-add("columns_not_shared", m.columns_not_shared,
-    """SELECT table_key, column_name, sources, table_sources FROM (SELECT table_key, column_name,
-       count(DISTINCT datasource_id) AS sources FROM e_projection GROUP BY 1,2) JOIN (SELECT table_key,
-       count(DISTINCT datasource_id) AS table_sources FROM e_projection GROUP BY 1) USING (table_key)
-       WHERE table_sources>=2 AND sources<table_sources""")
+add("columns_not_shared", lambda e: m.columns_not_shared({"projection": e.raw("lineitem").select(
+        F.concat(F.lit("ds_"), F.col("l_suppkey").cast("string")).alias("datasource_id"), F.concat(F.lit("tbl_"), (F.col("l_suppkey") % 9).cast("string")).alias("table_key"),
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("column_name"), F.lit("REAL").alias("field_data_type")).distinct()}),
+    """SELECT table_key, column_name, sources, table_sources FROM (SELECT 'tbl_'||(l_suppkey%9) AS table_key, 'p'||l_partkey AS column_name,
+       count(DISTINCT l_suppkey) AS sources FROM lineitem GROUP BY 1,2) JOIN (SELECT 'tbl_'||(l_suppkey%9) AS table_key,
+       count(DISTINCT l_suppkey) AS table_sources FROM lineitem GROUP BY 1) USING (table_key) WHERE table_sources>=2 AND sources<table_sources""")
 add("permission_exposure", lambda e: m.permission_exposure(e, *broad_grant_policy()),
     """SELECT capability, count(*) AS permissive_grants, count(DISTINCT object_type||':'||object_id) AS exposed_objects
        FROM e_permissions WHERE mode='Allow' AND grantee_id='AllUsers' AND capability IN
@@ -177,4 +178,4 @@ add("bucketize", lambda e: stats.bucketize(e["usage_events"], "last_viewed_days_
         LEFT JOIN ({_DAYS}) ON b = CASE WHEN v<=7 THEN 0 WHEN v<=30 THEN 1 WHEN v<=90 THEN 2 ELSE 3 END GROUP BY 1,2""")
 add("parse_iso", lambda e: m.iso_probe(e),
     """SELECT event_id, strftime(ts, '%Y-%m-%d') AS parsed, greatest(0, date_diff('day', ts::DATE, DATE '2024-01-15'))::BIGINT AS days_ago
-       FROM events WHERE event_type='view'""")
+       FROM events""")

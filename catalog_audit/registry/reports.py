@@ -295,8 +295,6 @@ add("most_material_pair", lambda e: dis.execution_summary(_executed(e)).select("
 
 # -- report tables ------------------------------------------------------------------------------------
 add("write_variant_sheets", rep.write_variant_sheets, "SELECT group_id, count(*) AS rows FROM variants GROUP BY 1")
-add("write_findings", rep.write_findings)
-add("report_tables", rep.report_tables)
 add("payload_projection", lambda e: fnd.payload_projection(e).select("group_id", "field_name", "usage_rank", "view_count", "resolved_formula", "owner"),
     """SELECT group_id, field_name, usage_rank::BIGINT AS usage_rank, views AS view_count, CASE WHEN resolved_formula IS NOT NULL THEN '[redacted]' END AS resolved_formula,
        CASE WHEN owner IS NOT NULL THEN '[redacted]' END AS owner FROM detail""", _DETAIL)

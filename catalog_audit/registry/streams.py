@@ -20,10 +20,10 @@ def _events(e):
         "event_id", item.alias("item_luid"), F.col("event_type").alias("event_name"), F.col("ts").alias("event_ts"))
 
 
-def _daily(e):
-    if "daily_views" not in e._made:
-        e.put("daily_views", su.stream_usage_rollup(_events(e), luid_map_union(e)))
-    return e["daily_views"]
+def _usage(e):
+    if "usage_stream" not in e._made:
+        e._made["usage_stream"] = su.UsageStream(_events(e), luid_map_union(e), stage_path(e.spark, "usage")).run()
+    return e._made["usage_stream"]
 
 
 def _jobs(e):
@@ -40,9 +40,9 @@ def _ingest(e):
 
 _DAILY = {"daily": """SELECT date_trunc('day', event_ts)::DATE AS day, workbook_id, count(*) AS views FROM e_raw_usage JOIN luid_map ON luid=item_luid
     WHERE event_name='view' GROUP BY 1,2"""}
-add("stream_usage_rollup", lambda e: _daily(e).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "workbook_id", "views"),
+add("stream_usage_rollup", lambda e: _usage(e).daily.read().select(F.date_format("day", "yyyy-MM-dd").alias("day"), "workbook_id", "views"),
     "SELECT strftime(day, '%Y-%m-%d') AS day, workbook_id, views FROM daily", _DAILY)
-add("stream_trailing_usage", lambda e: su.trailing_views(_daily(e)).select("workbook_id", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "views"),
+add("stream_trailing_usage", lambda e: _usage(e).windows.read().select("workbook_id", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "views"),
     """SELECT workbook_id, strftime(day - i::INT, '%Y-%m-%d') AS window_start, sum(views)::BIGINT AS views FROM daily, range(30) r(i) GROUP BY 1,2""", _DAILY)
 add("stream_page_ingest", lambda e: _ingest(e).select("id", "luid", "name"), "SELECT id, luid, name FROM e_workbooks")
 add("stream_latest_refresh", lambda e: su.stream_latest_refresh(_jobs(e)).select(

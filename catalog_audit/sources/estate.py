@@ -37,11 +37,6 @@ CORE_METRICS = [
     "revenue", "active_customer", "gross_margin", "churn_rate",
     "average_order_value", "bounce_rate", "win_rate",
 ]
-FEEDS = [
-    "projects", "datasources", "workbooks", "fields", "column_lineage", "custom_sql",
-    "database_tables", "data_quality_warnings", "usage_events", "adoption_depth",
-    "refresh_jobs", "permissions", "lineage", "views",
-]
 
 
 def tagged(prefix: str, key: Column | str) -> Column:
@@ -302,8 +297,10 @@ class Estate(Mapping):
 
     # -- configuration ---------------------------------------------------------
     def _coverage(self):
-        rows = [(m, "ok", "") for m in FEEDS]
-        return self.spark.createDataFrame(rows, "measure string, status string, reason string")
+        """What the landed pages show to be measured; rules, facets and findings read it."""
+        from catalog_audit.plans.coverage import coverage_register
+        from catalog_audit.sources.feeds import stored_pages
+        return self._stage("coverage", coverage_register(stored_pages(self)))
 
     def _interview(self):
         from catalog_audit.sources.config_inputs import load_interview

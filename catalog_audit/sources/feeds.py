@@ -2,16 +2,18 @@
 
 Pages hold at most ``SIZE`` nodes of consecutive keys. Every fifth page is preceded by a
 truncated response with a warning code, as a real API gives under load, so readers must
-reject it and take the retry. ``faults`` adds shards that never complete.
+reject it and take the retry. Every page states how many nodes its shard has.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalog_audit.session import shared_dir
 from catalog_audit.sources.estate import Estate, row_count, tagged
 from catalog_audit.sources.landed import CONNECTIONS
 
@@ -22,12 +24,14 @@ def _links(ids: Column) -> Column:
     return F.transform(ids, lambda i: F.struct(i.alias("id"), F.concat(F.lit("name "), i).alias("name")))
 
 
-def _graph_pages(df: DataFrame, query: str, last: Column, scoped: bool = False) -> DataFrame:
-    """df: scope, n, node. ``last`` is the last page number of the shard."""
-    g = df.groupBy("scope", F.floor(F.col("n") / SIZE).alias("page"), last.alias("last")).agg(
+def _graph_pages(df: DataFrame, query: str, scoped: bool = False) -> DataFrame:
+    """df: scope, n, node."""
+    shards = df.groupBy(F.col("scope").alias("shard")).agg(F.floor(F.max("n") / SIZE).alias("last"), F.count_distinct("node.id").alias("total"))
+    df = df.join(shards, F.col("scope").eqNullSafe(F.col("shard")))
+    g = df.groupBy("scope", F.floor(F.col("n") / SIZE).alias("page"), "last", "total").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("n", "node"))), lambda x: x["node"]).alias("nodes"))  # one page's nodes
     conn = F.struct(F.col("nodes").alias("nodes"), F.struct((F.col("page") < F.col("last")).alias("hasNextPage"),
-                    F.col("page").cast("string").alias("endCursor")).alias("pageInfo"))
+                    F.col("page").cast("string").alias("endCursor")).alias("pageInfo"), F.col("total").alias("totalCount"))
     partial = conn.withField("nodes", F.slice("nodes", 1, 1))
     warning = F.array(F.struct(F.lit("limit").alias("message"), F.struct(F.lit("node_limit_exceeded").alias("code")).alias("extensions")))
 
@@ -53,10 +57,6 @@ def _rest_pages(df: DataFrame, query: str, container: str, key: str) -> DataFram
                     F.to_json(F.struct(F.struct(F.col(key)).alias(container))).alias("body"))
 
 
-def _last_page(df: DataFrame, key: str) -> Column:
-    return df.agg(F.floor(F.max(key) / SIZE).alias("m")).select("m").scalar()
-
-
 def _none() -> Column:
     return F.lit(None).cast("string")
 
@@ -66,7 +66,7 @@ def projects(e: Estate) -> DataFrame:
     parent = n.select(F.col("n_nationkey").alias("n_regionkey"), F.col("n_name").alias("parent"))
     node = F.struct(tagged("prj_", "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("parent").alias("parentProjectName"))
     return _graph_pages(n.join(parent, "n_regionkey", "left").select(_none().alias("scope"), F.col("n_nationkey").alias("n"), node.alias("node")),
-                        "projects", _last_page(n, "n_nationkey"))
+                        "projects")
 
 
 def datasources(e: Estate) -> DataFrame:
@@ -81,7 +81,7 @@ def datasources(e: Estate) -> DataFrame:
         F.when(k % 10 != 3, F.array(F.struct(F.concat(F.lit("id "), table).alias("id"), table.alias("fullName")))).alias("upstreamTables"),
         F.when((k % 4 == 0) & (k > 0), _links(F.array(tagged("ds_", F.floor(k / 4))))).alias("upstreamDatasources"))
     rows = s.withColumn("id", tagged("ds_", k)).join(d, "id").join(names, "s_nationkey", "left")
-    return _graph_pages(rows.select(_none().alias("scope"), k.alias("n"), node.alias("node")), "published_datasources", _last_page(s, "s_suppkey"))
+    return _graph_pages(rows.select(_none().alias("scope"), k.alias("n"), node.alias("node")), "published_datasources")
 
 
 def workbooks(e: Estate) -> DataFrame:
@@ -101,7 +101,7 @@ def workbooks(e: Estate) -> DataFrame:
         _links(F.col("pub")).alias("upstreamDatasources"), _links(F.col("emb")).alias("embeddedDatasources"),
         view(2 * k, "sheet").alias("sheets"), view(2 * k + 1, "board").alias("dashboards"))
     return _graph_pages(p.join(up, "p_partkey", "left").select(_none().alias("scope"), k.alias("n"), node.alias("node")),
-                        "workbooks", _last_page(p, "p_partkey"))
+                        "workbooks")
 
 
 def fields(e: Estate) -> DataFrame:
@@ -128,15 +128,14 @@ def fields(e: Estate) -> DataFrame:
         F.struct(F.lit("ColumnField").alias("__typename"), "id", "name", "description", "formula", F.col("data_type").alias("dataType"), "role",
                  none.alias("sheetsUsedIn"), F.col("up").alias("upstreamColumns")).alias("node"))
     both = snode.unionByName(cnode)
-    last = both.groupBy("scope").agg(F.floor(F.max("n") / SIZE).alias("last_page"))
-    return _graph_pages(both.join(last, "scope"), "datasource_fields", F.col("last_page"), scoped=True)
+    return _graph_pages(both, "datasource_fields", scoped=True)
 
 
 def custom_sql(e: Estate) -> DataFrame:
     c, k = e.raw("customer"), F.col("c_custkey")
     q = e["custom_sql"].withColumn("n", F.substring("id", 5, 20).cast("bigint"))
     node = F.struct("id", "query", F.array(F.struct(F.col("datasource_id").alias("id")), F.struct(F.lit("ds_other").alias("id"))).alias("downstreamDatasources"))
-    return _graph_pages(q.select(_none().alias("scope"), "n", node.alias("node")), "custom_sql", _last_page(c.select(k), "c_custkey"))
+    return _graph_pages(q.select(_none().alias("scope"), "n", node.alias("node")), "custom_sql")
 
 
 def database_tables(e: Estate) -> DataFrame:
@@ -144,14 +143,14 @@ def database_tables(e: Estate) -> DataFrame:
     node = F.struct("id", F.col("is_embedded").alias("isEmbedded"), F.col("is_certified").alias("isCertified"),
                     F.struct(F.col("column_count").alias("totalCount")).alias("columnsConnection"),
                     F.struct(F.col("downstream_datasource_count").alias("totalCount")).alias("downstreamDatasourcesConnection"))
-    return _graph_pages(t.select(_none().alias("scope"), "n", node.alias("node")), "database_tables", _last_page(e.raw("part"), "p_partkey"))
+    return _graph_pages(t.select(_none().alias("scope"), "n", node.alias("node")), "database_tables")
 
 
 def dq_warnings(e: Estate) -> DataFrame:
     w = e["dqw"].withColumn("n", F.substring("id", 5, 20).cast("bigint"))
     node = F.struct("id", F.col("is_active").alias("isActive"), F.col("is_elevated").alias("isElevated"), F.col("warning_type").alias("warningType"),
                     F.struct(F.col("asset_luid").alias("luid"), F.lit("Source").alias("__typename")).alias("asset"))
-    return _graph_pages(w.select(_none().alias("scope"), "n", node.alias("node")), "data_quality_warnings", _last_page(e.raw("customer"), "c_custkey"))
+    return _graph_pages(w.select(_none().alias("scope"), "n", node.alias("node")), "data_quality_warnings")
 
 
 def refresh_jobs(e: Estate) -> DataFrame:
@@ -183,20 +182,17 @@ FEEDS = {
 }
 
 
-def landed_pages(e: Estate, *names: str) -> DataFrame:
-    """Pages of the named feeds (all by default)."""
-    return reduce(DataFrame.unionByName, [FEEDS[n](e) for n in names or FEEDS])
-
+_landed: dict[tuple[str, str, str], DataFrame] = {}
 
-def with_faults(pages: DataFrame) -> DataFrame:
-    """The same pages with shards that break.
 
-    The warnings feed is refused for an unknown field, and every thirteenth source's
-    field shard answers only truncated pages.
-    """
-    refused = F.col("query_name") == "data_quality_warnings"
-    stuck = (F.col("query_name") == "datasource_fields") & (F.substring("scope_id", 4, 20).try_cast("bigint") % 13 == 5)
-    body = (F.when(refused, F.lit('{"data": null, "errors": [{"message": "Field \'isElevated\' is undefined"}]}'))
-            .when(stuck, F.lit('{"data": {"publishedDatasourcesConnection": {"nodes": [{}]}}, "errors": [{"extensions": {"code": "TIME_LIMIT_EXCEEDED"}}]}'))
-            .otherwise(F.col("body")))
-    return pages.withColumn("body", body)
+def stored_pages(e: Estate, *names: str) -> DataFrame:
+    """Pages of the named feeds as they lie in the shared folder, landed once per application and folder of tables."""
+    parts = []
+    for n in names or FEEDS:
+        key = (e.spark.sparkContext.applicationId, e.sf_dir, n)
+        if key not in _landed:
+            pages, path = FEEDS[n](e), f"{shared_dir(e.spark)}/catalog_audit/landed-{n}-{uuid.uuid4().hex}"
+            pages.write.parquet(path)
+            _landed[key] = e.spark.read.schema(pages.schema).parquet(path)
+        parts.append(_landed[key])
+    return reduce(DataFrame.unionByName, parts)

@@ -104,22 +104,48 @@ def _items(body: Column, key: str) -> Column:
     return F.coalesce(F.get_json_object(body, f"$.{key}"), under(body))
 
 
+def page_audit(pages: DataFrame) -> DataFrame:
+    """What each response says of itself, in one pass over the bodies.
+
+    (query_name, scope_id, cursor, seq, response, error, ids of its nodes, total stated, whether a page follows,
+    nodes without any owner). A partial or fatal page has no nodes.
+    """
+    graph = F.col("query_name").isin(*CONNECTIONS)
+    c = response_class(pages).withColumn("_c", F.when((F.col("response") == "ok") & graph, _connection(F.col("query_name"), F.col("data"))))
+    named = lambda n, path: F.coalesce(F.get_json_object(n, path), F.lit("")) != ""
+    owned = F.filter("_c.nodes", lambda n: named(n, "$.owner.username") | named(n, "$.owner.email"))
+    return c.select(
+        "query_name", F.coalesce("scope_id", F.lit("")).alias("scope_id"), "cursor", "seq", "response", "error",
+        F.transform("_c.nodes", lambda n: F.coalesce(F.get_json_object(n, "$.id"), n)).alias("ids"), F.col("_c.totalCount").alias("total_count"),
+        F.coalesce("_c.pageInfo.hasNextPage", F.lit(False)).alias("has_next"), (F.size("_c.nodes") - F.size(owned)).cast("bigint").alias("unowned"))
+
+
 def shard_completeness(pages: DataFrame) -> DataFrame:
-    """Per shard: pages, accepted nodes, subdivisions, and whether the last page was reached.
+    return shard_status(page_audit(pages))
+
+
+def shard_status(audit: DataFrame) -> DataFrame:
+    """Per shard: pages, distinct accepted nodes, subdivisions, and whether it is whole.
 
-    A shard is complete when an accepted page says no page follows; otherwise its last
-    error tells ``unavailable`` (the site's schema lacks the query) from ``failed``.
+    A shard is complete when an accepted page says that no page follows and its distinct nodes are as many as its
+    pages state, so a page missing from the middle shows. Otherwise its last error tells
+    ``unavailable`` (the site's schema lacks the query) from ``failed``. Nodes are counted through one row per
+    (shard, id), which also carries the page figures of the page's first row: no shard is gathered.
     """
-    c = response_class(pages.filter(F.col("query_name").isin(*CONNECTIONS))).withColumn(
-        "_c", F.when(F.col("response") == "ok", _connection(F.col("query_name"), F.col("data"))))
-    g = c.groupBy("query_name", F.coalesce("scope_id", F.lit("")).alias("scope_id")).agg(
-        F.count(F.lit(1)).alias("pages"),
-        F.coalesce(F.sum(F.when(F.col("response") == "ok", F.greatest(F.size("_c.nodes"), F.lit(0)))), F.lit(0)).cast("bigint").alias("nodes"),
-        F.max("_c.totalCount").alias("total_count"),
-        F.count_if(F.col("response") == "partial").alias("subdivisions"),
-        F.coalesce(F.bool_or((F.col("response") == "ok") & ~F.coalesce("_c.pageInfo.hasNextPage", F.lit(False))), F.lit(False)).alias("reached_end"),
-        F.max_by("error", F.when(F.col("error").isNotNull(), F.col("seq"))).alias("error"))
-    lacking = F.coalesce(F.col("error").rlike("|".join(SCHEMA_ERRORS)), F.lit(False))
-    status = F.when(F.col("reached_end"), "complete").when(lacking, "unavailable").otherwise("failed")
-    return g.select("query_name", "scope_id", "pages", "nodes", "total_count", "subdivisions", status.alias("status"),
-                    F.when(~F.col("reached_end"), F.col("error")).alias("error"))
+    shard = ["query_name", "scope_id"]
+    each = audit.where(F.col("query_name").isin(*CONNECTIONS)).select(
+        *shard, "seq", "response", "error", "total_count", "has_next", F.posexplode_outer("ids").alias("pos", "id"))
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    by_id = each.groupBy(*shard, "id").agg(
+        F.count_if(first).alias("pages"), F.count_if(first & (F.col("response") == "partial")).alias("subdivisions"), F.max("total_count").alias("total_count"),
+        F.bool_or((F.col("response") == "ok") & ~F.col("has_next")).alias("reached_end"),
+        F.max(F.when(F.col("error").isNotNull(), F.struct("seq", "error"))).alias("last"))
+    g = by_id.groupBy(*shard).agg(
+        F.sum("pages").alias("pages"), F.count("id").alias("nodes"), F.max("total_count").alias("total_count"), F.sum("subdivisions").alias("subdivisions"),
+        F.bool_or("reached_end").alias("reached_end"), F.max("last").alias("last"))
+    short = F.coalesce(F.col("nodes") < F.col("total_count"), F.lit(False))
+    whole = F.col("reached_end") & ~short
+    lacking = F.coalesce(F.col("last.error").rlike("|".join(SCHEMA_ERRORS)), F.lit(False))
+    status = F.when(whole, "complete").when(~F.col("reached_end") & lacking, "unavailable").otherwise("failed")
+    error = F.when(whole, F.lit(None)).when(F.col("reached_end"), F.format_string("%d of %d nodes read", "nodes", "total_count")).otherwise(F.col("last.error"))
+    return g.select(*shard, "pages", "nodes", "total_count", "subdivisions", status.alias("status"), error.alias("error"))

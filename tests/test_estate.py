@@ -181,15 +181,29 @@ def test_redaction_and_secret_guard(frame, estate, tmp_path):
     assert rows(detail.redact_columns(df, ["formula"])) == [("a", "[redacted]"), ("b", None)]
     texts = frame("id string, t string", [("a", "Bearer abcdefghijklmnop1"), ("b", "pwd = hunter2"), ("c", '{"api_key": "z"}'), ("d", "X-Vendor-Auth: 1"), ("e", "plain password text")])
     assert rows(detail.secret_scan(texts, "id", "t")) == [("a", "bearer token"), ("b", "password literal"), ("c", "secret-shaped key"), ("d", "auth header")]
-    with pytest.raises(Exception, match="write aborted"):
+    with pytest.raises(Exception, match="looks like a secret"):
         detail.guarded(texts, ["t"], "working").write.json(str(tmp_path / "leak"))
     assert rows(detail.guarded(texts.filter("id = 'e'"), ["id", "t"], "working")) == [("e", "plain password text")]
 
 
+def test_findings_are_published_together_or_not_at_all(frame, estate, tmp_path, spark):
+    path = str(tmp_path / "doc")
+    assert rep.published_findings(spark, path, estate.run_id) == {}
+    good = {"a": frame("id string", [("x",), ("y",)]), "b": frame("n int", [])}
+    assert rows(rep.write_findings(estate, path, sections=good)) == [("a", 2), ("b", 0)]
+    bad = {"a": frame("id string", [("new",)]), "last": frame("id string", [("pwd = hunter2",)])}
+    with pytest.raises(Exception, match="looks like a secret"):
+        rep.write_findings(estate, path, sections=bad)
+    assert rows(rep.published_findings(spark, path, estate.run_id)["a"]) == [("x",), ("y",)]
+    assert len([p for p in (tmp_path / "doc" / "sections").iterdir() if p.is_dir()]) == 1  # what failed is gone
+    rep.write_findings(estate, path, sections={"a": frame("id string", [("z",)])})
+    assert {k: rows(v) for k, v in rep.published_findings(spark, path, estate.run_id).items()} == {"a": [("z",)]}
+
+
 def test_builds(estate, tmp_path, spark):
     out = {r.section: r["rows"] for r in rep.write_findings(estate, str(tmp_path / "p"), "presentation").collect()}
     assert "security_fields" not in out and out["facets"] > 0
-    v = spark.read.json(str(tmp_path / "p" / f"run_id={estate.run_id}" / "variants"))
+    v = rep.published_findings(spark, str(tmp_path / "p"), estate.run_id)["variants"]
     assert {r.resolved_formula for r in v.select("resolved_formula").distinct().collect()} == {"[redacted]"}
     light = {r.section for r in rep.report_tables(estate, "light").select("section").distinct().collect()}
     assert not light & {"facets", "register"} and "definitions" in light

@@ -2,9 +2,12 @@ import json
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
+from catalog_audit.plans import findings as fnd, rules, scoring
 from catalog_audit.plans.coverage import coverage_register
-from catalog_audit.sources import flatten, landed
+from catalog_audit.sources import feeds, flatten, landed
+from catalog_audit.sources.estate import Estate
 from catalog_audit.streaming.pages import stream_page_ingest
 
 
@@ -12,8 +15,8 @@ def page(query, body, seq=1, status=200, scope=None, cursor=None, size=200):
     return {"query_name": query, "scope_id": scope, "cursor": cursor, "page_size": size, "seq": seq, "status": status, "body": body}
 
 
-def conn(query, nodes, more=False, errors=None):
-    body = {"data": {landed.CONNECTIONS[query]: {"nodes": nodes, "pageInfo": {"hasNextPage": more, "endCursor": "c"}, "totalCount": 9}}}
+def conn(query, nodes, more=False, errors=None, total=None):
+    body = {"data": {landed.CONNECTIONS[query]: {"nodes": nodes, "pageInfo": {"hasNextPage": more, "endCursor": "c"}, "totalCount": total}}}
     if errors is not None:
         body["errors"] = errors
     return body
@@ -63,6 +66,43 @@ def test_partial_page_is_never_loaded(land):
     assert reg["usage_events"] == ("skipped", "feed not landed") and reg["datasources"] == ("failed", "incomplete: published_datasources")
 
 
+def test_a_lost_middle_page_shows(land):
+    n = [{"id": f"p{i}", "name": str(i)} for i in range(6)]
+    given = [page("projects", conn("projects", n[:2], True, total=6), seq=1), page("projects", conn("projects", n[2:4], True, total=6), seq=2), page("projects", conn("projects", n[4:], total=6), seq=3)]
+    df, _ = land(given, "whole")
+    assert rows(landed.shard_completeness(df), "nodes", "total_count", "status", "error") == [(6, 6, "complete", None)]
+    df, _ = land([given[0], given[2], page("projects", conn("projects", n[4:], total=6), seq=4)], "lost")  # the last page landed twice
+    assert rows(landed.shard_completeness(df), "pages", "nodes", "status", "error") == [(3, 4, "failed", "4 of 6 nodes read")]
+    assert {r.measure: (r.status, r.reason) for r in coverage_register(df).collect()}["projects"] == ("failed", "incomplete: projects: 4 of 6 nodes read")
+
+
+def with_faults(pages):
+    """The same pages with the warnings feed refused for an unknown field, and every thirteenth source's fields answered by truncated pages only."""
+    refused = F.col("query_name") == "data_quality_warnings"
+    stuck = (F.col("query_name") == "datasource_fields") & (F.substring("scope_id", 4, 20).try_cast("bigint") % 13 == 5)
+    body = (F.when(refused, '{"data": null, "errors": [{"message": "Field \'isElevated\' is undefined"}]}')
+            .when(stuck, '{"data": {"publishedDatasourcesConnection": {"nodes": [{}]}}, "errors": [{"extensions": {"code": "TIME_LIMIT_EXCEEDED"}}]}')
+            .otherwise(F.col("body")))
+    return pages.withColumn("body", body)
+
+
+def test_a_missing_feed_reaches_rules_facets_and_posture(spark):
+    e = Estate(spark, "/root/testdata/sf0.001")
+    whole, broken = Estate(spark, e.sf_dir), Estate(spark, e.sf_dir)
+    clean = feeds.stored_pages(e)
+    broken.put("coverage", coverage_register(with_faults(clean.where("query_name NOT IN ('permissions', 'published_datasources')"))))
+    reg = {r.measure: (r.status, r.reason) for r in broken["coverage"].collect()}
+    assert reg["data_quality_warnings"] == ("unavailable", "query refused by the schema: Field 'isElevated' is undefined")
+    assert reg["fields"][0] == "partial" and reg["permissions"] == ("skipped", "feed not landed")
+    for t in (whole, broken):
+        t.put("dqw", e["dqw"].where("false"))
+    assert rules.rule_result(whole, "GOV-02").first().fires and not rules.rule_result(broken, "GOV-02").first().fires
+    status = lambda t: {r.mechanism: r.status for r in fnd.governance_posture(t).collect()}
+    assert status(broken)["permission_grants"] == status(broken)["data_quality_warnings"] == "unmeasured" != status(whole)["permission_grants"]
+    assert scoring.arc_scores(whole).count() > scoring.arc_scores(broken).count()
+    assert fnd.calibrate_permissions(broken).count() == 0
+
+
 def test_fields_and_projection(land):
     up = lambda t, c: {"name": c, "remoteType": "x", "table": t}
     df, _ = land([page("datasource_fields", fields("d1", [
