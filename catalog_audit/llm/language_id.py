@@ -82,7 +82,9 @@ def fit_svm(x: np.ndarray, y: np.ndarray, classes: list[str], strength: float =
 
 
 class LanguageModel:
-    def __init__(self, families: list[str], top: np.ndarray, within: dict[str, tuple[list[str], np.ndarray | None]]):
+    """``within`` has for each family its languages and the machine of each pair (i, j); a positive margin votes for i."""
+
+    def __init__(self, families: list[str], top: np.ndarray, within: dict[str, tuple[list[str], dict[tuple[int, int], np.ndarray]]]):
         self.families, self.top, self.within = families, top, within
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,27 +94,50 @@ class LanguageModel:
         name = np.empty(len(x), object)
         for k, family in enumerate(self.families):
             at = np.flatnonzero(best == k)
-            langs, w = self.within[family]
-            if w is None or not len(at):
-                name[at] = langs[0]
-                continue
-            inner = x[at] @ w[:-1] + w[-1]
-            pick = inner.argmax(1)
-            name[at] = np.array(langs, object)[pick]
-            score[at] = score[at] * _chance(inner[np.arange(len(at)), pick])
+            if len(at):
+                langs, machines = self.within[family]
+                pick, chance = voted(x[at], len(langs), machines)
+                name[at] = np.array(langs, object)[pick]
+                score[at] *= chance
         return name, score
 
 
+def voted(x: np.ndarray, languages: int, machines: Mapping[tuple[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(language, chance) by the votes of all pairs; the chance is that of the winner's narrowest duel."""
+    votes, sums = np.zeros((2, len(x), languages))
+    narrow = np.full((len(x), languages), np.inf)
+    for (i, j), w in machines.items():
+        margin = (x @ w[:-1] + w[-1])[:, 0].astype(np.float64)
+        votes[:, i] += margin > 0
+        votes[:, j] += margin <= 0
+        sums[:, i] += margin
+        sums[:, j] -= margin
+        narrow[:, i] = np.minimum(narrow[:, i], margin)
+        narrow[:, j] = np.minimum(narrow[:, j], -margin)
+    pick = np.where(votes == votes.max(1, keepdims=True), sums, -np.inf).argmax(1)
+    return pick, np.where(languages > 1, _chance(narrow[np.arange(len(x)), pick]), 1.0)
+
+
+def fit_pairs(x: np.ndarray, y: np.ndarray, langs: list[str]) -> dict[tuple[int, int], np.ndarray]:
+    """One machine for every two languages, from their rows alone."""
+    out = {}
+    for i, a in enumerate(langs):
+        for j in range(i + 1, len(langs)):
+            at = (y == a) | (y == langs[j])
+            out[i, j] = fit_svm(x[at], y[at], [a])
+    return out
+
+
 def _chance(margin: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-3.0 * np.clip(margin.astype(np.float64), -30, 30)))
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE,
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE,
         families: Mapping[str, str] | None = None) -> LanguageModel | None:
     """Fit on a bounded sample of ``labelled``; None if no row has a language."""
     families = FAMILIES if families is None else families
-    known = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
-    drawn = per_class(known, "lang", sample, "key").select("lang", "key", _vector("text").alias("v")).toPandas().sort_values(["lang", "key"])
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("key"))
+    drawn = per_class(known, "lang", sample, "key").dropDuplicates(["lang", "key"]).select("lang", "key", _vector("text").alias("v")).toPandas().sort_values(["lang", "key"])
     if not len(drawn):
         return None
     x = np.frombuffer(b"".join(drawn["v"]), np.float32).reshape(-1, DIMENSIONS)
@@ -123,7 +148,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     for f in names:
         at = family == f
         langs = sorted(set(y[at]))
-        within[f] = (langs, fit_svm(x[at], y[at], langs) if len(langs) > 1 else None)
+        within[f] = (langs, fit_pairs(x[at], y[at], langs))
     return LanguageModel(names, fit_svm(x, family, names), within)
 
 

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 
 def per_class(rows: DataFrame, label: str, total: int, *key: Column | str, seed: int = 11) -> DataFrame:
-    """About ``total`` rows in all, shared evenly by the values of ``label``: a class with fewer is taken whole.
+    """About ``total`` keys in all, shared evenly by the values of ``label``: a class with fewer is taken whole.
 
-    Rows are taken when the hash of ``key`` falls below the class's share, so the draw is the same in every run. The
-    expected size is ``total`` at any table size; the caller cuts the collected rows at twice that.
+    Keys are taken when their hash falls below the class's share, so the draw is the same in every run and its
+    expected size is ``total`` at any table size. Rows of one key are taken together: the caller keeps one of each.
+    The shares, one number a class, are a scalar that the scan compares with; no row moves.
     """
     counts = rows.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_rows"))
-    classes = counts.agg(F.count(F.lit(1)).alias("n")).scalar()
-    share = counts.select("_class", (F.lit(float(total)) / classes / F.col("_rows")).alias("_share"))
+    entries = F.collect_list(F.struct("_class", (F.lit(float(total)) / F.col("_rows")).alias("_share")))
+    shares = counts.where("_class IS NOT NULL").agg(F.struct(F.map_from_entries(entries).alias("of"), F.count(F.lit(1)).alias("n")).alias("s"))
     number = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 52)).cast("double") / float(1 << 52)
-    return rows.join(share, F.col(label) == F.col("_class")).where(number < F.col("_share")).drop("_class", "_share").limit(2 * total)
+    drawn = rows.withColumn("_s", shares.select("s").scalar())
+    return drawn.where(number * F.col("_s.n") < F.try_element_at(F.col("_s.of"), F.col(label))).drop("_s")

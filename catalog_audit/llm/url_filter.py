@@ -91,7 +91,8 @@ class UrlModel:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel | None:
     """(address, verdict) -> the two models and the calibrated cut; None unless both kinds occur."""
-    drawn = per_class(labelled.where("address <> ''"), "verdict", sample, "address").withColumn(
+    # an address is one piece of evidence, however many pages repeat it
+    drawn = per_class(labelled.where("address <> ''").distinct(), "verdict", sample, "address").withColumn(
         "calibrate", F.pmod(F.xxhash64(F.lit(3), "address"), F.lit(4)) == 0)
     at = F.explode(F.sequence(F.lit(1), F.length("address"))).alias("i")
     places = drawn.where("NOT calibrate").select("verdict", "address", at)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from catalog_audit.llm import byte_bpe, html_text, language_id, near_dedup, quality_rules, url_filter
+from catalog_audit.llm.sampling import per_class
 from catalog_audit.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -136,6 +137,53 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in language_id.identify(odd, None).collect()} == {"und"}
 
 
+def test_machines_of_pairs_vote():
+    rng = np.random.default_rng(4)
+    langs = ["a", "b", "c", "d"]
+    centre = rng.normal(size=(4, language_id.DIMENSIONS)).astype(np.float32)
+    y = np.array([langs[i % 4] for i in range(80)], object)
+    x = np.array([centre[langs.index(v)] for v in y]) * 0.05 + rng.normal(size=(80, language_id.DIMENSIONS)).astype(np.float32) * 0.03
+    machines = language_id.fit_pairs(x, y, langs)
+    assert sorted(machines) == [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    other = x.copy()
+    other[y == "c"] += 7  # rows of a third language
+    assert (language_id.fit_pairs(other, y, langs)[0, 1] == machines[0, 1]).all()
+    assert not (language_id.fit_pairs(other, y, langs)[0, 2] == machines[0, 2]).all()
+    probe = rng.normal(size=(200, language_id.DIMENSIONS)).astype(np.float32) * 0.05
+    pick, chance = language_id.voted(probe, 4, machines)
+    for row, got in zip(probe, pick):
+        votes, sums = [0] * 4, [0.0] * 4
+        for (i, j), w in machines.items():
+            m = float((row[None, :] @ w[:-1] + w[-1])[0, 0])
+            votes[i if m > 0 else j] += 1
+            sums[i] += m
+            sums[j] -= m
+        tied = [k for k in range(4) if votes[k] == max(votes)]
+        assert sums[got] >= max(sums[k] for k in tied) - 1e-4 and got in tied
+    assert ((0 <= chance) & (chance <= 1)).all()
+    assert language_id.voted(probe, 1, {})[1].tolist() == [1.0] * 200
+
+
+def test_language_rows_that_repeat_clash_or_run_long(frame):
+    word = {"en": "the and of with that ", "de": "und der nicht mit dem ", "nl": "het van een niet dat "}
+    known = [(i, word[v] * (3 + i % 5) + f"x{i}", v) for i, v in enumerate(list(word) * 12)] + [(7, word["en"] * 9, "en")] * 40
+    model = language_id.fit(frame("doc_id long, text string, lang string", known))
+    assert model.families == ["germanic"] and sorted(model.within["germanic"][1]) == [(0, 1), (0, 2), (1, 2)]
+    rows = [(1, word["de"] * 40000, "r", "x", "y", 0.5)] + [(2, word["nl"] * 4, "r", "x", "y", 0.5)] * 3
+    got = language_id.identify(frame("doc_id long, text string, row string, lang_pred string, written string, score double", rows), model, keep=("doc_id", "row"))
+    assert sorted((r["row"]["doc_id"], r["lang_pred"]) for r in got.collect()) == [(1, "de"), (2, "nl"), (2, "nl"), (2, "nl")]
+
+
+def test_samples_are_even_and_need_no_exchange_of_texts(frame):
+    rows = frame("lang string, text string", [("en", f"t{i}") for i in range(3000)] + [("de", f"u{i}") for i in range(300)] + [("fr", f"v{i}") for i in range(20)] + [(None, "n")])
+    drawn = per_class(rows, "lang", 600, "text")
+    sizes = {r["lang"]: r["n"] for r in drawn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert 140 < sizes["en"] < 260 and 140 < sizes["de"] < 260 and sizes["fr"] == 20 and None not in sizes
+    assert drawn.columns == ["lang", "text"] and per_class(rows.limit(0), "lang", 5, "text").count() == 0
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def page(i, body, extra=""):
     return (f"<!DOCTYPE html><html><head><title>T{i}</title><style>p{{}}</style></head><body><header><a href='/'>Site</a></header><nav><ul><li>m{i}</li></ul></nav>"
             f"<div class=cookie-notice>We use cookies</div><div class='ad'>buy {i}</div>{body}<aside>side {i}</aside>{extra}<form>f<input></form><footer>&copy; f{i}")
