@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalog_audit.functions.names import blank, content_tokens
@@ -10,11 +10,17 @@ from catalog_audit.operators.ordering import running
 
 
 def stale_refresh(tables, as_of: str, within: int = 30) -> DataFrame:
-    """Sources whose last success is older than twice their mean refresh interval and whose content was viewed lately."""
-    span = F.date_diff(F.max("completed_at"), F.min("completed_at"))
-    per = tables["refresh_jobs"].filter("completed_at IS NOT NULL").groupBy("datasource_id").agg(
-        F.try_divide(span.cast("double"), (F.count(F.lit(1)) - 1).cast("double")).alias("interval_days"),
-        F.max(F.when(F.col("status") != "Failed", F.col("completed_at"))).alias("last_success"))
+    """Sources whose last success is older than twice their median refresh interval and whose content was viewed lately.
+
+    Intervals are days between completions that follow one another, over distinct days: a source has no more
+    of them than days, however many jobs it ran.
+    """
+    jobs = tables["refresh_jobs"].filter("completed_at IS NOT NULL")
+    day = F.to_date("completed_at")
+    days = jobs.groupBy("datasource_id", day.alias("day")).agg(F.count_if(F.col("status") != "Failed").alias("good"))
+    gaps = days.withColumn("gap", F.date_diff("day", F.lag("day").over(Window.partitionBy("datasource_id").orderBy("day"))))
+    per = gaps.groupBy("datasource_id").agg(
+        F.percentile("gap", F.lit(0.5)).alias("interval_days"), F.max(F.when(F.col("good") > 0, F.col("day"))).alias("last_success"))
     age = F.date_diff(F.to_date(F.lit(as_of)), F.col("last_success"))
     late = per.withColumn("age_days", age).filter(F.col("last_success").isNull() | (F.col("age_days") > 2 * F.col("interval_days")))
     edges = tables["lineage"].filter("downstream_type = 'workbook' AND upstream_type = 'datasource'").select(

@@ -90,7 +90,7 @@ DIMENSION_LABELS = {
 LABELS = {
     "semantic.singularity": ("One formula per metric", "Share of metric groups in which a single formula draws most of the views."),
     "semantic.describability": ("Described fields", "Fields with a non-blank description, over all fields."),
-    "semantic.exposure_shape": ("Published versus embedded", "Published sources over all sources; very wide sources count against it."),
+    "semantic.exposure_shape": ("Published versus embedded", "References of workbooks to published sources, over their references to published and embedded ones."),
     "semantic.consensus": ("Interviewed agreement", "Interview score: do owners accept the same formulas?"),
     "semantic.lifecycle": ("Rule changes", "How edits to formulas are made; not measured by a scan."),
     "adoption.reach": ("Viewed content", "Workbooks with at least one view in the window, over all workbooks."),
@@ -103,12 +103,12 @@ LABELS = {
     "action.reversibility": ("Undo", "Interview score: can an automatic action be taken back?"),
     "operating.ownership": ("Operating roles", "Interview score: is every asset somebody's job?"),
     "value.attribution": ("Attributed value", "Interview score: is benefit booked to the reports that brought it?"),
-    "governance.accountability": ("Owned sources", "Sources with an owner name or address, over all sources."),
+    "governance.accountability": ("Owned sources", "Sources whose owner name is not blank, over all sources."),
     "governance.assurance": ("Certified sources", "Sources marked certified, over all sources."),
     "governance.preventive": ("Before the fact", "Interview score, lowered by sensitive grants to everyone."),
     "governance.detective": ("While it happens", "Interview score, lowered by certified items under a live warning."),
     "governance.corrective": ("After the fact", "Interview score: does a finding get fixed?"),
-    "SEC-01": ("User test in a formula", "Formulas that call a user or group function after their references are expanded."),
+    "SEC-01": ("User test in a formula", "Formulas whose own text calls a user or group function; what they refer to is not expanded."),
     "SEC-02": ("Sensitive grant to all", "Allow grants of a listed capability to a group that holds every user."),
     "SEM-01": ("Crowded metric group", "Groups with more members than the limit."),
     "SEM-02": ("Contested metric group", "Groups in which two or more formulas are viewed and none meets the share and ratio tests."),
@@ -123,10 +123,10 @@ LABELS = {
     "DF-06": ("Failing jobs", "Failed refresh jobs over all jobs, above the limit."),
     "DF-07": ("Coarser query", "Custom queries with a sign of lost rows."),
     "DF-08": ("Columns differ", "Sources on one table that type a shared column differently, or, if asked for, project other columns."),
-    "GOV-01": ("Ownerless source", "Published sources with neither owner name nor address."),
+    "GOV-01": ("Ownerless source", "Published sources whose owner name is blank."),
     "GOV-02": ("No warnings at all", "The warning feed was read and is empty."),
     "GOV-03": ("Certified under warning", "Certified sources with an active warning."),
-    "EST-01": ("Never opened", "Workbooks without a view and older than the idle limit."),
+    "EST-01": ("Never opened", "Workbooks with no view in the usage that was read."),
     "EST-02": ("Rule writers", "People who may edit formulas; not measured by a scan."),
     "ADO-01": ("Few active people", "Distinct viewers over licensed people, under the limit."),
     "ADO-02": ("Views in few places", "The smallest number of workbooks that reaches the given part of all views."),

@@ -72,6 +72,14 @@ def variant_convergence(baseline, current) -> DataFrame:
     return side(baseline, "baseline").join(side(current, "current"), "concept_key", "full")
 
 
+def variant_change(baseline, current) -> DataFrame:
+    """``variant_convergence`` with what moved: the number of variants, and whether a dominant one was gained or lost."""
+    won = [F.coalesce(f"{tag}_dominant", F.lit(False)) for tag in ("baseline", "current")]
+    return variant_convergence(baseline, current).withColumns({
+        "variants_delta": F.col("current_variants") - F.col("baseline_variants"),
+        "dominance": F.when(won[0] == won[1], "unchanged").when(won[1], "gained").otherwise("lost")})
+
+
 def estate_drift(baseline, current) -> DataFrame:
     """New and cleared debt per kind, both directions side by side."""
     def debts(t):

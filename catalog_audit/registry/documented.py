@@ -6,8 +6,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from catalog_audit.operators import documented as doc
-from catalog_audit.oracle.ctes import CTES, NS
+from catalog_audit.operators import documented as doc, similar
+from catalog_audit.oracle.ctes import CTES, NS, STOPS
 from catalog_audit.plans import comparison as cmp, scoring
 from catalog_audit.plans.coverage import coverage_register
 from catalog_audit.registry.base import add
@@ -58,23 +58,38 @@ add("variant_convergence", lambda e: cmp.variant_convergence(baseline(e), e).sel
     """SELECT split_part(concept_key, ':', 1) AS kind, b.variant_count AS baseline_variants, c.variant_count AS current_variants, b.won AS baseline_dominant, c.won AS current_dominant
        FROM (SELECT concept_key, variant_count, (SELECT bool_or(is_dominant) FROM variants_b v WHERE v.group_id=g.group_id) AS won FROM groups_b g) b FULL JOIN
        (SELECT concept_key, variant_count, (SELECT bool_or(is_dominant) FROM variants v WHERE v.group_id=g.group_id) AS won FROM groups g) c USING (concept_key)""", _OLD)
-def _guarded_movement(e):
-    """Facet movement between two runs whose headers are the oldest and the newest order."""
+
+_SAME = ("query_set_version", "rules_version", "tool_version")
+
+
+def _guard(e, same: tuple[str, ...] = ()):
+    """What two runs may not be compared on; their headers are the oldest order and the newest (of those ``same`` in the named attributes)."""
     runs = e.raw("orders").select(F.col("o_orderkey").alias("run"), *[F.expr(x).alias(a) for a, x in _ATTRIBUTES.items()])
-    ends = runs.agg(F.min("run").alias("a"), F.max("run").alias("b"))
-    named = runs.withColumn("run", F.when(F.col("run") == ends.select("a").scalar(), "first").when(F.col("run") == ends.select("b").scalar(), "last"))
+    first = runs.agg(F.min_by(F.struct(*runs.columns), "run").alias("r"))
+    like = runs.withColumn("first", first.select("r").scalar())
+    for a in same:
+        like = like.where(F.col(a) == F.col(f"first.{a}"))
+    last = like.agg(F.max("run").alias("b"))
+    named = runs.withColumn("run", F.when(F.col("run") == first.select("r.run").scalar(), "first").when(F.col("run") == last.select("b").scalar(), "last"))
+    return cmp.voids(named, "run", "first", "last")
+
+
+def _guarded_movement(e):
     moved = cmp.facet_movement(scoring.facet_threshold_scores(baseline(e)), scoring.facet_threshold_scores(e))
-    return cmp.guarded(moved, cmp.voids(named, "run", "first", "last"), "facets", ["delta"])
+    return cmp.guarded(moved, _guard(e), "facets", ["delta"])
 
 
-add("estate_drift", lambda e: cmp.estate_drift(earlier_lineage(e), e),
-    """SELECT kind, count(*) FILTER (b IS NULL) AS new_debt, count(*) FILTER (c IS NULL) AS cleared_debt, count(*) FILTER (b IS NOT NULL AND c IS NOT NULL) AS persisting
-       FROM (SELECT kind, item, 1 AS b FROM debt_then) FULL JOIN (SELECT kind, item, 1 AS c FROM debt_now) USING (kind, item) GROUP BY 1""",
-    {"same_debt": r"""SELECT 'unowned_source' AS kind, id AS item FROM e_datasources WHERE trim(coalesce(owner,''))='' UNION ALL SELECT 'workbook_security_rule', id FROM e_calc
+_DEBTS = {"same_debt": r"""SELECT 'unowned_source' AS kind, id AS item FROM e_datasources WHERE trim(coalesce(owner,''))='' UNION ALL SELECT 'workbook_security_rule', id FROM e_calc
        WHERE regexp_matches(formula, '(?i)\b(USERNAME|ISMEMBEROF|FULLNAME|USERDOMAIN)\s*\(')""",
      "debt_now": "SELECT * FROM same_debt UNION ALL SELECT DISTINCT 'embedded_source', 'wb_'||l_partkey||'/ds_'||l_suppkey FROM lineitem WHERE l_returnflag='R'",
      "debt_then": """SELECT * FROM same_debt UNION ALL SELECT DISTINCT 'embedded_source', 'wb_'||l_partkey||'/ds_'||l_suppkey FROM lineitem WHERE l_returnflag='R'
-       AND l_shipdate < DATE '1998-01-01'"""})
+       AND l_shipdate < DATE '1998-01-01'"""}
+add("estate_drift", lambda e: cmp.estate_drift(earlier_lineage(e), e),
+    """SELECT kind, count(*) FILTER (b IS NULL) AS new_debt, count(*) FILTER (c IS NULL) AS cleared_debt, count(*) FILTER (b IS NOT NULL AND c IS NOT NULL) AS persisting
+       FROM (SELECT kind, item, 1 AS b FROM debt_then) FULL JOIN (SELECT kind, item, 1 AS c FROM debt_now) USING (kind, item) GROUP BY 1""",
+    _DEBTS)
+
+
 def _first_pages(e):
     """The register as it stood when every shard had landed its first page of two hundred keys."""
     if "coverage_then" not in e._made:
@@ -107,9 +122,36 @@ add("guarded_movement", lambda e: _guarded_movement(e),
         FROM order_runs b, order_runs c WHERE b.run=(SELECT min(run) FROM order_runs) AND c.run=(SELECT max(run) FROM order_runs)) g""",
     _SCORES | _OLD | {"banded_then": _before(_SCORES["banded"], _CHAIN),
                       "order_runs": "SELECT o_custkey AS site, o_orderkey AS run, " + ", ".join(f"{x} AS {a}" for a, x in _ATTRIBUTES.items()) + " FROM orders"})
+_HEADERS = {"order_runs": "SELECT o_custkey AS site, o_orderkey AS run, " + ", ".join(f"{x} AS {a}" for a, x in _ATTRIBUTES.items()) + " FROM orders",
+            "oldest": "SELECT * FROM order_runs WHERE run=(SELECT min(run) FROM order_runs)",
+            "ends": "SELECT b, c FROM oldest b, order_runs c WHERE c.run=(SELECT max(n.run) FROM order_runs n, oldest o WHERE " + " AND ".join(f"n.{a}=o.{a}" for a in _SAME) + ")",
+            "void": "SELECT " + ", ".join(f"coalesce(bool_or({' OR '.join(f'b.{a} IS DISTINCT FROM c.{a}' for a, s in cmp.GUARDS.items() if s in (subject, 'all'))}), true) AS {subject}"
+                                          for subject in ("facets", "variants", "all")).replace(" AS all", " AS estate") + """,
+              array_to_string(list_filter(any_value([""" + ", ".join(f"CASE WHEN b.{a} IS DISTINCT FROM c.{a} THEN '{a}' END" for a in cmp.GUARDS) + """]), lambda x: x IS NOT NULL), ',') AS why FROM ends"""}
+
+
+def _verdict(subject: str) -> str:
+    return f"CASE WHEN {subject} THEN 'incomparable' ELSE 'comparable' END AS verdict, CASE WHEN {subject} THEN why ELSE '' END AS void_reason"
+
+
+add("guarded_compare", lambda e: cmp.guarded(cmp.flag_lifecycle(cmp.flag_states(baseline(e)), cmp.flag_states(e)), _guard(e, _SAME), "facets", ["state"]),
+    """SELECT flag_id, b.count AS baseline_count, c.count AS current_count, CASE WHEN facets THEN NULL WHEN b.fires AND c.fires THEN 'persisting' WHEN b.fires THEN 'resolved'
+       WHEN c.fires THEN 'new' ELSE 'silent' END AS state, """ + _verdict("facets") + " FROM flags_then b FULL JOIN flags_now c USING (flag_id), void",
+    _EXTRA | _OLD | _HEADERS | {"flags_now": _NOW, "flags_then": _THEN})
+add("guarded_convergence", lambda e: cmp.guarded(cmp.variant_change(baseline(e), e), _guard(e, _SAME), "variants", ["variants_delta", "dominance"]).select(
+        "baseline_variants", "current_variants", "variants_delta", "dominance", "verdict", "void_reason"),
+    """SELECT b.variant_count AS baseline_variants, c.variant_count AS current_variants, CASE WHEN NOT variants THEN c.variant_count-b.variant_count END AS variants_delta,
+       CASE WHEN variants THEN NULL WHEN coalesce(c.won,false)=coalesce(b.won,false) THEN 'unchanged' WHEN c.won THEN 'gained' ELSE 'lost' END AS dominance, """ + _verdict("variants") + """
+       FROM (SELECT concept_key, variant_count, (SELECT bool_or(is_dominant) FROM variants_b v WHERE v.group_id=g.group_id) AS won FROM groups_b g) b FULL JOIN
+       (SELECT concept_key, variant_count, (SELECT bool_or(is_dominant) FROM variants v WHERE v.group_id=g.group_id) AS won FROM groups g) c USING (concept_key), void""", _OLD | _HEADERS)
+add("guarded_drift", lambda e: cmp.guarded(cmp.estate_drift(earlier_lineage(e), e), _guard(e, _SAME), "estate", ["new_debt", "cleared_debt"]),
+    """SELECT kind, CASE WHEN NOT estate THEN count(*) FILTER (b IS NULL) END AS new_debt, CASE WHEN NOT estate THEN count(*) FILTER (c IS NULL) END AS cleared_debt,
+       count(*) FILTER (b IS NOT NULL AND c IS NOT NULL) AS persisting, """ + _verdict("estate") + """
+       FROM (SELECT kind, item, 1 AS b FROM debt_then) FULL JOIN (SELECT kind, item, 1 AS c FROM debt_now) USING (kind, item), void GROUP BY kind, estate, why""", _DEBTS | _HEADERS)
 add("stale_refresh", lambda e: doc.stale_refresh(e, "2001-08-20").withColumn("age_days", F.col("age_days").cast("bigint")),
-    """SELECT datasource_id, age_days FROM (SELECT datasource_id, date_diff('day', min(completed_at)::DATE, max(completed_at)::DATE)::DOUBLE/(count(*)-1) AS iv,
-       date_diff('day', (max(completed_at) FILTER (status<>'Failed'))::DATE, DATE '2001-08-20') AS age_days FROM e_refresh GROUP BY 1)
+    """SELECT datasource_id, age_days FROM (SELECT datasource_id, quantile_cont(gap, 0.5) AS iv, date_diff('day', max(day) FILTER (good), DATE '2001-08-20') AS age_days
+       FROM (SELECT *, date_diff('day', lag(day) OVER (PARTITION BY datasource_id ORDER BY day), day) AS gap FROM (SELECT datasource_id, completed_at::DATE AS day,
+       bool_or(status<>'Failed') AS good FROM e_refresh GROUP BY 1,2)) GROUP BY 1)
        WHERE (age_days IS NULL OR age_days > 2*iv) AND datasource_id IN (SELECT l.upstream_id FROM e_lineage l JOIN usage ON workbook_id=l.downstream_id
        WHERE l.downstream_type='workbook' AND l.upstream_type='datasource' AND last_viewed_days_ago<=30)""")
 
@@ -155,3 +197,19 @@ add("fuzzy_name_groups", doc.fuzzy_name_groups,
        SELECT names, array_to_string(toks, ' ') AS words, unnest(list_distinct([toks] || list_filter(list_transform(toks, lambda t: list_filter(toks, lambda x: x<>t)),
        lambda s: len(s)>=1))) AS key FROM (SELECT toks, count(*) AS names FROM (SELECT field_id, list_sort(list(tok)) AS toks FROM name_tokens GROUP BY 1) GROUP BY 1))
        GROUP BY 1 HAVING count(*)>=2""")
+_NAMES = {"plain_names": r"""SELECT DISTINCT trim(regexp_replace(lower(name), '[^\p{L}]+', ' ', 'g')) AS name FROM (SELECT name FROM e_workbooks UNION ALL SELECT name FROM e_fields)
+          WHERE trim(regexp_replace(lower(name), '[^\p{L}]+', ' ', 'g'))<>''""",
+          "name_words": """SELECT name, list_distinct(list_transform(list_filter(regexp_extract_all(name, '([a-z]{2,})', 1), lambda t: length(t)>=3 AND NOT list_contains("""
+          + STOPS + """, t)), lambda t: CASE WHEN length(t)>3 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN t[:-2] ELSE t END)) AS ws FROM plain_names"""}
+
+
+def _names(e):
+    return similar.distinct_names(e["workbooks"].select("name").unionByName(e["fields"].select("name")), "name")
+
+
+add("fuzzy_name_edits", lambda e: similar.within_edits(_names(e), 3).withColumn("distance", F.col("distance").cast("bigint")),
+    "SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name) AS distance FROM plain_names a JOIN plain_names b ON a.name<b.name AND levenshtein(a.name, b.name)<=3", _NAMES)
+add("fuzzy_name_words", lambda e: similar.alike_words(_names(e), 0.3).select("a", "b", F.col("shared").cast("bigint").alias("shared"), F.round("jaccard", 6).alias("jaccard")),
+    """SELECT a.name AS a, b.name AS b, len(list_intersect(a.ws, b.ws)) AS shared, round(len(list_intersect(a.ws, b.ws))/(len(a.ws)+len(b.ws)-len(list_intersect(a.ws, b.ws))), 6) AS jaccard
+       FROM name_words a JOIN name_words b ON a.name<b.name WHERE len(a.ws)>0 AND len(b.ws)>0 AND
+       len(list_intersect(a.ws, b.ws))/(len(a.ws)+len(b.ws)-len(list_intersect(a.ws, b.ws)))>=0.3""", _NAMES)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog_audit.functions import formula as fx
 from catalog_audit.functions.names import humanize_code
-from catalog_audit.operators import graph, measures as m, stats, usage as u
+from catalog_audit.operators import graph, measures as m, stats, trends, usage as u
 from catalog_audit.oracle.ctes import USER_CTX
 from catalog_audit.registry.base import add
 from catalog_audit.plans.catalog import broad_grant_policy
@@ -179,3 +179,32 @@ add("bucketize", lambda e: stats.bucketize(e["usage_events"], "last_viewed_days_
 add("parse_iso", lambda e: m.iso_probe(e),
     """SELECT event_id, strftime(ts, '%Y-%m-%d') AS parsed, greatest(0, date_diff('day', ts::DATE, DATE '2024-01-15'))::BIGINT AS days_ago
        FROM events""")
+
+
+def _view_days(e):
+    """Every view of a known workbook: day, workbook_id, user_id."""
+    luids = u.luid_map_union(e)
+    seen = e["raw_usage"].filter("event_name = 'view'").join(luids, F.col("item_luid") == F.col("luid"))
+    return seen.select(F.to_date("event_ts").alias("day"), "workbook_id", "user_id")
+
+
+def _adoption_trend(e, length: int = 7):
+    """The sketched figures of every week beside exact ones: whether they lie within their bounds."""
+    if "daily_sketches" not in e._made:
+        e.put("daily_sketches", e._stage("daily-sketches", trends.daily_sketches(_view_days(e))))
+    told = trends.trend(e["daily_sketches"], length).withColumnRenamed("users", "estimate")
+    ends = F.explode(F.sequence(F.col("day"), F.date_add("day", length - 1))).alias("span_end")
+    exact = _view_days(e).select("day", "user_id").distinct().select(ends, "user_id").groupBy("span_end").agg(F.count_distinct("user_id").alias("users"))
+    depth = _view_days(e).groupBy("day", "workbook_id").agg(F.count(F.lit(1)).alias("n")).groupBy("day", "n").agg(F.count(F.lit(1)).alias("books"))
+    ranks = depth.select(ends, "n", "books").join(told.select("span_end", "median_views"), "span_end").groupBy("span_end").agg(
+        (F.sum(F.when(F.col("n") < F.col("median_views"), F.col("books")).otherwise(0)) / F.sum("books")).alias("below"),
+        (F.sum(F.when(F.col("n") <= F.col("median_views"), F.col("books")).otherwise(0)) / F.sum("books")).alias("upto"))
+    return told.join(exact, "span_end").join(ranks, "span_end").select(
+        F.date_format("span_end", "yyyy-MM-dd").alias("span_end"), F.col("views").cast("bigint").alias("views"), "users",
+        (F.abs(F.col("estimate") - F.col("users")) <= 0.05 * F.col("users") + 1).alias("users_within"),
+        ((F.col("below") <= 0.5 + 0.017) & (F.col("upto") >= 0.5 - 0.017)).alias("median_within"))
+
+
+add("adoption_trend", _adoption_trend,
+    """SELECT strftime(span_end, '%Y-%m-%d') AS span_end, count(*) AS views, count(DISTINCT user_id) AS users, true AS users_within, true AS median_within
+       FROM (SELECT event_ts::DATE + i::INT AS span_end, user_id FROM e_raw_usage JOIN luid_map ON luid=item_luid, range(7) r(i) WHERE event_name='view') GROUP BY 1""")

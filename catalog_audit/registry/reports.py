@@ -25,8 +25,8 @@ _RULE_SQL = {
         count(*) FILTER (upstream_type='datasource') AS p FROM e_lineage WHERE downstream_type='workbook')""",
     "DF-02": "SELECT coalesce(max(sources),0)>10 AS fires, coalesce(max(sources),0) AS count FROM fanout",
     "DF-03": "SELECT max(depth)>=2 AS fires, max(depth)::BIGINT AS count FROM up_chain",
-    "DF-04": """SELECT count(*)>=1 AS fires, count(*) AS count FROM e_datasources d WHERE NOT EXISTS (SELECT 1 FROM e_lineage l
-        WHERE l.downstream_type='datasource' AND l.downstream_id=d.id)""",
+    "DF-04": """SELECT count(*)>=1 AS fires, count(*) AS count FROM e_datasources ANTI JOIN (SELECT downstream_id AS id FROM e_lineage
+        WHERE downstream_type='datasource') USING (id)""",
     "DF-05": "SELECT count(DISTINCT datasource_id)>=1 AS fires, count(DISTINCT datasource_id) AS count FROM failed_views WHERE last_viewed_days_ago<=30",
     "DF-06": "SELECT f::DOUBLE/t>0.1 AS fires, f AS count FROM (SELECT count(*) AS t, count(*) FILTER (status='Failed') AS f FROM e_refresh)",
     "DF-07": f"SELECT count(*)>=1 AS fires, count(*) AS count FROM e_custom_sql WHERE regexp_matches(query, '{GROUP_BY}')",
@@ -69,7 +69,7 @@ add("flag_evidence", rules.flag_evidence,
         AND capability IN ('Write','Delete','ChangePermissions','ProjectLeader') UNION ALL SELECT 'SEM-01', group_id, variant_count FROM groups WHERE variant_count>5
         UNION ALL SELECT DISTINCT 'SEM-02', label, NULL::BIGINT FROM (SELECT group_id, label FROM variants GROUP BY 1,2 HAVING NOT bool_or(is_dominant) AND count(*) FILTER (views>0)>=2)
         UNION ALL SELECT 'SEM-04', datasource_id, count(*) FROM e_fields GROUP BY datasource_id HAVING count(*)>300 UNION ALL SELECT 'DF-02', upstream_id, sources FROM fanout WHERE sources>10
-        UNION ALL SELECT 'DF-04', id, NULL FROM e_datasources d WHERE NOT EXISTS (SELECT 1 FROM e_lineage l WHERE l.downstream_type='datasource' AND l.downstream_id=d.id)
+        UNION ALL SELECT 'DF-04', id, NULL FROM e_datasources ANTI JOIN (SELECT downstream_id AS id FROM e_lineage WHERE downstream_type='datasource') USING (id)
         UNION ALL SELECT DISTINCT 'DF-05', datasource_id, NULL::BIGINT FROM failed_views WHERE last_viewed_days_ago<=30
         UNION ALL SELECT 'DF-08', 'types:'||table_key||'/'||column_name||':'||names, types FROM evidence_cols WHERE types>=2
         UNION ALL SELECT 'DF-08', 'column:'||table_key||'/'||column_name, sources FROM evidence_cols WHERE sources<table_sources
