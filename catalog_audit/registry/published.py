@@ -16,7 +16,7 @@ def _counted(section: str, rows: str) -> str:
 
 _SECTIONS = {
     "facets": f"count(*) FROM {_of('score_findings')} WHERE kind='facet'", "domains": f"count(*) FROM {_of('domain_register')}",
-    "flags": f"count(*) FROM {_of('evaluate_rules')} WHERE outcome='fired'", "coverage": f"count(*) FROM {_of('coverage_register')}",
+    "flags": f"count(DISTINCT flag_id) FROM {_of('evaluate_rules')} WHERE outcome='fired'", "coverage": f"count(*) FROM {_of('coverage_register')}",
     "definition_multiplicity": f"count(*) FROM {_of('definition_multiplicity')}", "variants": f"sum(rows) FROM {_of('write_variant_sheets')}",
     "security_exposure": f"count(*) FROM {_of('security_exposure')}", "security_fields": f"count(*) FROM {_of('user_context_fields')}",
     "retirement": f"count(*) FROM {_of('retirement_case')}", "governance_posture": f"count(*) FROM {_of('governance_posture')}", "meta": f"count(*) FROM {_of('run_meta')}",
@@ -32,7 +32,7 @@ def _cases(code: str, names: dict, otherwise: str) -> str:
 _NAME = {k: n for k, (n, _) in catalog.LABELS.items()}
 add("report_tables", rep.report_tables, f"""
 SELECT 'definitions' AS section, label AS item, 'defined '||definition_count||' ways across '||variant_count||' fields; '||dominance AS text FROM {_of('definition_multiplicity')}
-UNION ALL SELECT 'flags', flag_id, {_cases('flag_id', _NAME, 'flag_id')}||': '||count FROM {_of('evaluate_rules')} WHERE outcome='fired'
+UNION ALL SELECT DISTINCT 'flags', flag_id, {_cases('flag_id', _NAME, 'flag_id')}||': '||count FROM {_of('evaluate_rules')} WHERE outcome='fired'
 UNION ALL SELECT 'security', 'user context', user_context_fields||' fields, '||affected_workbooks||' workbooks' FROM {_of('security_exposure')}
 UNION ALL SELECT 'retirement', 'workbooks', zero_view_workbooks||' of '||workbooks_total||' without views' FROM {_of('retirement_case')}
 UNION ALL SELECT 'governance', mechanism, status FROM {_of('governance_posture')}
