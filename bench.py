@@ -18,8 +18,9 @@ from pyspark.sql import SparkSession
 from catalog_audit.registry import QUERIES, fresh
 from catalog_audit.session import release_stages
 
+# the first entry lands the feeds and audits them, which the others read
 HEADLINE = [
-    "retirement_case", "usage_rollup", "field_views", "failed_source_recent_views", "column_divergence", "normalize_formula",
+    "coverage_register", "retirement_case", "usage_rollup", "field_views", "failed_source_recent_views", "column_divergence", "normalize_formula",
     "token_bind", "formula_closure", "concept_groups", "rank_groups", "definition_multiplicity", "material_disagreement",
     "secret_scan", "load_lineage", "stream_usage_rollup", "evaluate_rules", "domain_register",
 ]

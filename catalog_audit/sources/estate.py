@@ -298,9 +298,8 @@ class Estate(Mapping):
     # -- configuration ---------------------------------------------------------
     def _coverage(self):
         """What the landed pages show to be measured; rules, facets and findings read it."""
-        from catalog_audit.plans.coverage import coverage_register
-        from catalog_audit.sources.feeds import stored_pages
-        return self._stage("coverage", coverage_register(stored_pages(self)))
+        from catalog_audit.sources.feeds import stored_register
+        return stored_register(self)
 
     def _interview(self):
         from catalog_audit.sources.config_inputs import load_interview

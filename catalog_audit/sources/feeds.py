@@ -196,3 +196,14 @@ def stored_pages(e: Estate, *names: str) -> DataFrame:
             _landed[key] = e.spark.read.schema(pages.schema).parquet(path)
         parts.append(_landed[key])
     return reduce(DataFrame.unionByName, parts)
+
+
+def stored_register(e: Estate) -> DataFrame:
+    """The coverage register of all landed pages, written once beside them: part of landing, not of the queries that read it."""
+    from catalog_audit.plans.coverage import coverage_register
+    key = (e.spark.sparkContext.applicationId, e.sf_dir, "register")
+    if key not in _landed:
+        register, path = coverage_register(stored_pages(e)), f"{shared_dir(e.spark)}/catalog_audit/landed-register-{uuid.uuid4().hex}"
+        register.coalesce(1).write.parquet(path)
+        _landed[key] = e.spark.read.schema(register.schema).parquet(path)
+    return _landed[key]
