@@ -176,7 +176,9 @@ def resolve_formulas(tables, max_depth: int = MAX_DEPTH) -> DataFrame:
                          (F.col("height") + 1).cast("bigint").alias("resolution_depth"),
                          F.when(F.col("loose"), STATUS[1]).otherwise(STATUS[0]).alias("resolution_status"))
     if waiting:
-        closed = closed.unionByName(_unroll(materialize(pending, "pending"), base, uses, done, max_depth))
+        # one table instead of a union of levels: every level below joins it
+        finished = materialize(done.select("field_id", "text", "height", "loose"), "finished")
+        closed = closed.unionByName(_unroll(materialize(pending, "pending"), base, uses, finished, max_depth))
     norm = fx.normalize_formula(F.col("resolved_formula"))
     return (closed.withColumn("norm", norm)
             .withColumn("normalized_hash", fx.hash_normalized(F.col("norm"))))

@@ -34,7 +34,9 @@ def stream_page_ingest(spark: SparkSession, folder: str, query: str, key: str =
     table = page_table(nodes, f"{path}/table", key)
 
     def merge(df: DataFrame, batch: int) -> None:
-        table.merge(df.withColumn("batch", F.lit(batch).cast("bigint")), batch)
+        changes = df.withColumn("batch", F.lit(batch).cast("bigint")).persist()
+        table.merge(changes, batch)
+        changes.unpersist()
 
     stream = (nodes.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint")
               .trigger(availableNow=True).foreachBatch(merge).start())
