@@ -111,6 +111,33 @@ def test_quality_fences_bind(frame):
     assert {r["reason"] for r in quality_rules.judge_quality(frame(DOCS, none)).collect()} == {"base"}
 
 
+def test_quality_fences_of_rare_measures_are_natural_breaks(frame):
+    """Where quartiles are equal, the fence equals a plain search for the cut of greatest variance between the classes."""
+    def text(i, symbols, lines):
+        w = [f"v{i}x{k}" for k in range(40)]
+        body = " ".join(x + "#" * (k < symbols) for k, x in enumerate(w))
+        return "\n".join([body, *[f"same line {i}"] * lines])
+
+    plans = [(i % 17 == 0, i % 9 == 0) for i in range(180)]
+    rows = [(i, text(i, 20 + i % 5 if s else 0, (6 if i % 2 else 2) if d else 1), "en", "a", 0, "r", 1, True) for i, (s, d) in enumerate(plans)]
+    fence = quality_rules.thresholds(frame(DOCS, rows).select("lang", "source", quality_rules.text_counts(F.col("text")).alias("counts"))).first()["fence"]
+    counts = [quality_rules.counts_of(pa.array([r[1]])) for r in rows]
+    for name, part, whole in (("symbol_share", "n_symbols", "n_words"), ("dup_line_share", "n_dup_lines", "n_lines")):
+        values = sorted(min(1.0, c[part][0] / c[whole][0]) for c in counts)
+        cuts = [(a + b) / 2 for a, b in zip(values, values[1:]) if a < b]
+
+        def between(cut, values=values):
+            low, high = [v for v in values if v < cut], [v for v in values if v > cut]
+            return len(low) * len(high) * (np.mean(low) - np.mean(high)) ** 2
+
+        assert abs(fence[name] - max(cuts, key=between)) < 1e-6
+    kept = {r["doc_id"]: r["reason"] for r in quality_rules.judge_quality(frame(DOCS, rows)).select("row.doc_id", "reason").collect()}
+    assert {i for i, r in kept.items() if r == "symbol_share"} == {i for i, (s, _) in enumerate(plans) if s and kept[i] != "base"}
+    # without anything to part, nothing fails
+    same = [(i, " ".join(f"w{(i * 40 + k):07}" for k in range(40)), "en", "a", 0, "r", 1, True) for i in range(40)]
+    assert quality_rules.judge_quality(frame(DOCS, same)).where("kept").count() == 40
+
+
 def test_exact_dedup(frame):
     rows = corpus() + [(500, "one"), (501, "one")]
     got = {r["doc_id"]: r for r in exact_dedup.mark_duplicates(docs(frame, rows), keep=("doc_id",)).collect()}
